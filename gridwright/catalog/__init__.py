@@ -1,0 +1,19 @@
+"""The registered queries, one or more per operator."""
+
+from __future__ import annotations
+
+from gridwright.catalog.base import QUERIES, SQL
+
+
+def _load() -> None:
+    from gridwright.catalog import profile_queries, table_queries  # noqa: F401
+
+
+def queries() -> dict:
+    _load()
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(SQL)
