@@ -6,7 +6,9 @@ from gridwright.catalog.base import QUERIES, SQL
 
 
 def _load() -> None:
-    from gridwright.catalog import profile_queries, table_queries  # noqa: F401
+    from gridwright.catalog import (  # noqa: F401
+        metric_queries, model_queries, prepare_queries, profile_queries, table_queries,
+    )
 
 
 def queries() -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridwright.catalog.base import (
-    GAP_SQL, LINE_NUM_SQL, NUM, SQL, gapped, languages, line_numbers, query, r4, table,
+    GAP_SQL, NUM, gapped, languages, line_numbers, query, r4, table,
 )
 from gridwright.operators import profile as P
 
@@ -223,14 +223,12 @@ def _(spark, sf):
     return P.target_distribution(table(spark, sf, "events"), "event_type")
 
 
-@query("a21_target_distribution_numeric", "SELECT bin, n FROM (" + histogram_sql("l_quantity", "lineitem", 30) + ")")
+@query("a21_target_distribution_numeric", histogram_sql("l_quantity", "lineitem", 30))
 def _(spark, sf):
-    df = table(spark, sf, "lineitem")
-    assert P.target_distribution(df, "l_quantity").columns == ["label", "n"]
-    return P.histogram(df, "l_quantity", 30).select("bin", "n")
+    return P.target_distribution(table(spark, sf, "lineitem"), "l_quantity")
 
 
-CORR_SQL = "SELECT l_quantity AS a, l_extendedprice AS b, l_extendedprice * 1.01 + l_quantity AS c, l_discount AS d, 5.0 AS k FROM lineitem"
+CORR_SQL = "SELECT l_quantity AS a, l_extendedprice AS b, l_extendedprice * 1.01 + l_quantity AS c, l_discount AS d, 5.0::DOUBLE AS k FROM lineitem"
 CORR_COLUMNS = ["a", "b", "c", "d", "k"]
 
 
@@ -243,8 +241,8 @@ def _related(spark, sf):
 
 def corr_sql(a: str, b: str) -> str:
     if "k" in (a, b):
-        return "CAST(NULL AS DOUBLE)"
-    return "1.0::DOUBLE" if a == b else r4(f"corr({a}, {b})")
+        return "max(CAST(NULL AS DOUBLE))"
+    return "max(1.0::DOUBLE)" if a == b else r4(f"corr({a}, {b})")
 
 
 @query("a22_correlation", " UNION ALL ".join(

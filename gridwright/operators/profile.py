@@ -373,7 +373,7 @@ def target_distribution(df: DataFrame, target: str) -> DataFrame:
     )
     if few:
         return value_counts(df, [target]).select(F.col("value").alias("label"), "n")
-    return histogram(df, target, 30).select(F.col("lower").cast("string").alias("label"), "n")
+    return histogram(df, target, 30)
 
 
 def correlation(df: DataFrame, columns: Sequence[str] | None = None,
