@@ -339,7 +339,7 @@ def _(spark, sf):
 
 @query("s06_save_model")
 def _(spark, sf):
-    run = _trained(spark, sf, ["Logistic Regression"])
+    run = _trained(spark, sf, ["Decision Tree"])
     path = run.save(scratch_path(spark, "model"))
     back = K.Scorer.load(spark, path)
     out = back.predict(run.test).groupBy("prediction").agg(F.count("*").alias("n"))

@@ -115,6 +115,10 @@ class LinearScores(FittedStage):
         out = staged.withColumn("prediction", argmax(cols))
         if s["kind"] == "probability":
             out = out.withColumn("probability", softmax(cols))
+        elif s["kind"] == "sigmoid":
+            parts = [1.0 / (1.0 + F.exp(-c)) for c in cols]
+            total = add_all(parts)
+            out = out.withColumn("probability", F.array(*[x / total for x in parts]))
         return out.drop(*names)
 
 
@@ -144,30 +148,182 @@ def with_outputs(df: DataFrame, values: Column, classification: bool, probabilit
 # -- summed gradients -------------------------------------------------------------------------
 
 def sum_over_rows(df: DataFrame, columns: Sequence[str], size: int,
-                  fn: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """Sum of a per-batch vector over all rows.
+                  fn: Callable[[np.ndarray], np.ndarray], largest: int = 0) -> np.ndarray:
+    """Sum of a per-batch vector over all rows (its last ``largest`` cells: the maximum).
 
-    Each task adds up its batches; the cells are then summed by a hash
+    Each task adds up its batches; the cells are then combined by a hash
     aggregation, so the driver receives ``size`` numbers however many tasks ran.
     """
     narrow = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    plain = size - largest
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
+        total[plain:] = -np.inf
+        rows = 0
         for b in batches:
             if b.num_rows:
-                total += fn(np.column_stack([
+                rows += b.num_rows
+                part = fn(np.column_stack([
                     b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(size, dtype="int32")), pa.array(total)], names=["i", "v"])
-
-    rows = narrow.mapInArrow(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+                total[:plain] += part[:plain]
+                total[plain:] = np.maximum(total[plain:], part[plain:])
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(size, dtype="int32")), pa.array(total)], names=["i", "v"])
+
+    combined = F.when(F.col("i") < plain, F.sum("v")).otherwise(F.max("v"))
+    cells = narrow.mapInArrow(partial, "i int, v double").groupBy("i").agg(combined.alias("v")).toPandas()
     out = np.zeros(size)
-    for row in rows:
-        out[row["i"]] = row["v"]
+    out[cells["i"]] = cells["v"]
     return out
 
 
+def fit_margins(
+    df: DataFrame,
+    features: Sequence[str],
+    label: str,
+    n_outputs: int,
+    loss: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]],
+    l2: float,
+    mapping: Callable[[np.ndarray], np.ndarray] | None = None,
+    center: bool = False,
+    max_iter: int = 100,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Minimise mean loss + l2/2 |W|^2 of linear margins, all outputs in each pass.
+
+    ``loss(margins, y)`` gives per-row values and slopes, both (rows, outputs).
+    ``mapping`` expands the raw features inside the task, so a wide explicit
+    feature map is never stored. The search runs on standardised features with
+    the penalty expressed in the original scale. Returns (coef, intercept).
+    """
+    columns = [*features, label]
+    p = len(features)
+    expand = mapping or (lambda x: x)
+    d = expand(np.zeros((1, p))).shape[1]
+
+    def moments(z: np.ndarray) -> np.ndarray:
+        x, y = expand(z[:, :p]), z[:, p]
+        return np.concatenate([[len(z), y.sum(), (y * y).sum()], x.sum(axis=0), (x * x).sum(axis=0)])
+
+    m = sum_over_rows(df, columns, 3 + 2 * d, moments)
+    n = m[0]
+    mean = m[3:3 + d] / n
+    sd = np.sqrt(np.maximum(m[3 + d:] / n - mean ** 2, 0.0))
+    sd = np.where(sd > 1e-12, sd, 1.0)
+    y_mean = m[1] / n if center else 0.0
+    y_sd = float(np.sqrt(max(m[2] / n - y_mean ** 2, 0.0))) or 1.0 if center else 1.0
+    penalty = l2 * (y_sd / sd) ** 2
+
+    def objective(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        w = theta.reshape(n_outputs, d + 1)
+
+        def part(z: np.ndarray) -> np.ndarray:
+            x = (expand(z[:, :p]) - mean) / sd
+            margins = (x @ w[:, :d].T + w[:, d]) * y_sd + y_mean
+            value, slope = loss(margins, z[:, p])
+            slope = slope * y_sd
+            grad = np.column_stack([slope.T @ x, slope.sum(axis=0)])
+            return np.concatenate([[value.sum()], grad.ravel()])
+
+        total = sum_over_rows(df, columns, 1 + theta.size, part) / n
+        value = total[0] + 0.5 * float(np.sum(penalty * w[:, :d] ** 2))
+        grad = total[1:].reshape(w.shape)
+        grad[:, :d] += penalty * w[:, :d]
+        return value / y_sd, grad.ravel() / y_sd
+
+    theta = minimize(objective, np.zeros(n_outputs * (d + 1)), max_iter).reshape(n_outputs, d + 1)
+    coef = theta[:, :d] * y_sd / sd
+    return coef, y_mean + theta[:, d] * y_sd - coef @ mean
+
+
+def hinge(classes: Sequence[float]):
+    """One-against-the-rest hinge loss; one output per entry of ``classes``."""
+    wanted = np.asarray(classes)
+
+    def loss(margins: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        side = np.where(y[:, None] == wanted[None, :], 1.0, -1.0)
+        short = 1.0 - side * margins
+        return np.maximum(short, 0.0), np.where(short > 0, -side, 0.0)
+
+    return loss
+
+
+def logistic(df: DataFrame, features: Sequence[str], label: str, classes: Sequence[float], l2: float,
+             joint: bool, max_iter: int = 100, tolerance: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
+    """Logistic fits by Newton's method: a handful of passes whatever the conditioning.
+
+    ``joint``: one softmax over all classes; otherwise one independent fit per
+    class, all in the same passes. Minimises mean loss + l2/2 |W|^2.
+    """
+    columns = [*features, label]
+    p, k = len(features), len(classes)
+    wanted = np.asarray(classes)
+    stats = sum_over_rows(df, columns, 1 + 2 * p, lambda z: np.concatenate(
+        [[len(z)], z[:, :p].sum(axis=0), (z[:, :p] ** 2).sum(axis=0)]))
+    n, mean = stats[0], stats[1:1 + p] / stats[0]
+    sd = np.sqrt(np.maximum(stats[1 + p:] / n - mean ** 2, 0.0))
+    sd = np.where(sd > 1e-12, sd, 1.0)
+    penalty = np.tile(np.concatenate([l2 / sd ** 2, [0.0]]), k)
+    d = p + 1
+    width = k * d
+    cells = (width * width if joint else k * d * d)
+
+    def evaluate(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        w = theta.reshape(k, d)
+
+        def part(z: np.ndarray) -> np.ndarray:
+            x = np.column_stack([(z[:, :p] - mean) / sd, np.ones(len(z))])
+            t = (z[:, p, None] == wanted[None, :]).astype(float)
+            s = x @ w.T
+            if joint:
+                top = s.max(axis=1, keepdims=True)
+                e = np.exp(s - top)
+                share = e / e.sum(axis=1, keepdims=True)
+                value = (np.log(e.sum(axis=1)) + top[:, 0] - (s * t).sum(axis=1)).sum()
+                hess = np.empty((k, d, k, d))
+                for a in range(k):
+                    for b in range(k):
+                        v = share[:, a] * ((a == b) - share[:, b])
+                        hess[a, :, b, :] = (x * v[:, None]).T @ x
+            else:
+                share = 1.0 / (1.0 + np.exp(-np.clip(s, -500, 500)))
+                value = (np.logaddexp(0.0, s) - s * t).sum()
+                hess = np.stack([(x * (share[:, a] * (1 - share[:, a]))[:, None]).T @ x for a in range(k)])
+            return np.concatenate([[value], ((share - t).T @ x).ravel(), hess.ravel()])
+
+        total = sum_over_rows(df, columns, 1 + width + cells, part) / n
+        if joint:
+            hess = total[1 + width:].reshape(width, width)
+        else:
+            hess = np.zeros((width, width))
+            for a, block in enumerate(total[1 + width:].reshape(k, d, d)):
+                hess[a * d:(a + 1) * d, a * d:(a + 1) * d] = block
+        value = total[0] + 0.5 * float(penalty @ theta ** 2)
+        return value, total[1:1 + width] + penalty * theta, hess + np.diag(penalty)
+
+    theta = np.zeros(width)
+    value, grad, hess = evaluate(theta)
+    for _ in range(max_iter):
+        if np.max(np.abs(grad)) < tolerance:
+            break
+        # the softmax has a free direction (equal intercepts): smallest-norm step
+        step = -np.linalg.lstsq(hess + 1e-12 * np.eye(width), grad, rcond=1e-12)[0]
+        slope, size = float(grad @ step), 1.0
+        for _ in range(30):
+            new_value, new_grad, new_hess = evaluate(theta + size * step)
+            if np.isfinite(new_value) and new_value <= value + 1e-4 * size * slope + 1e-15 * abs(value):
+                break
+            size *= 0.5
+        done = value - new_value <= 1e-13 * max(1.0, abs(value))
+        theta, value, grad, hess = theta + size * step, new_value, new_grad, new_hess
+        if done:
+            break
+    w = theta.reshape(k, d)
+    coef = w[:, :p] / sd
+    return coef, w[:, p] - coef @ mean
+
+
 def minimize(value_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray,
              max_iter: int = 100, tolerance: float = 1e-5, memory: int = 10) -> np.ndarray:
     """Limited-memory BFGS with a backtracking step; each call is one Spark job."""

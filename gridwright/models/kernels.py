@@ -7,16 +7,12 @@ kernel and a linear machine is fitted on it.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.functions.columns import col
 from gridwright.models.base import FittedStage
-from gridwright.models.common import Problem, score_matrix
-from gridwright.models.linear import fit_linear_loss
+from gridwright.models.common import Problem, fit_margins, hinge, logistic, score_matrix
 
 MAPPED_FEATURES = 128
 
@@ -45,18 +41,20 @@ def _cosines(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
 class KernelMachine(FittedStage):
     """Margins on mapped features; Platt-scaled probabilities for classes."""
 
-    def _transform(self, df: DataFrame) -> DataFrame:
+    def margins(self):
         s = self.state
         coef, intercept = np.array(s["coef"]), np.array(s["intercept"])
         mapped = s["map"] is not None
-        if mapped:
-            w, b = np.array(s["map"]["w"]), np.array(s["map"]["b"])
+        w, b = (np.array(s["map"]["w"]), np.array(s["map"]["b"])) if mapped else (None, None)
+
+        def score(x: np.ndarray) -> np.ndarray:
+            return (_cosines(x, w, b) if mapped else x) @ coef.T + intercept
 
-        def margins(x: np.ndarray) -> np.ndarray:
-            z = _cosines(x, w, b) if mapped else x
-            return z @ coef.T + intercept
+        return score
 
-        staged = df.withColumn("_m", score_matrix(df, s["features"], margins))
+    def _transform(self, df: DataFrame) -> DataFrame:
+        s = self.state
+        staged = df.withColumn("_m", score_matrix(df, s["features"], self.margins()))
         if not s["platt"]:
             return staged.withColumn("prediction", F.col("_m")[0]).drop("_m")
         share = [
@@ -75,60 +73,48 @@ class KernelMachine(FittedStage):
 
 
 def rbf_classifier(df: DataFrame, problem: Problem, params: dict) -> KernelMachine:
-    """C-weighted hinge loss on the mapped features, then one logistic fit per margin."""
+    """C-weighted hinge loss on the mapped features, all classes in each pass; then
+    one logistic fit per margin (Platt), again all in the same passes."""
     n, size = df.count(), int(params.get("mapped_features", MAPPED_FEATURES))
-    w, b = _draw(len(problem.features), _gamma(df, problem, params), size, problem.seed)
-    mapped = df.select(
-        array_to_vector(score_matrix(df, problem.features, lambda x: _cosines(x, w, b))).alias("z"),
-        col(problem.label).cast("double").alias("y")).persist()
-    svc = LinearSVC(featuresCol="z", labelCol="y", regParam=1.0 / (params.get("C", 1.0) * n),
-                    standardization=False, maxIter=params.get("max_iter", 100))
-    if problem.n_classes == 2:
-        model = svc.fit(mapped)
-        coef, intercept = [model.coefficients.toArray()], [model.intercept]
-    else:
-        model = OneVsRest(classifier=svc, featuresCol="z", labelCol="y").fit(mapped)
-        coef = [m.coefficients.toArray() for m in model.models]
-        intercept = [m.intercept for m in model.models]
-    platt = []
+    features = problem.features
+    w, b = _draw(len(features), _gamma(df, problem, params), size, problem.seed)
     wanted = [1.0] if problem.n_classes == 2 else problem.classes
-    arr = mapped.select(vector_to_array("z").alias("z"), "y")
+    coef, intercept = fit_margins(
+        df, features, problem.label, len(wanted), hinge(wanted), 1.0 / (params.get("C", 1.0) * n),
+        mapping=lambda x: _cosines(x, w, b), max_iter=params.get("max_iter", 100))
+    model = KernelMachine({
+        "features": features, "map": {"w": w.tolist(), "b": b.tolist()},
+        "coef": coef.tolist(), "intercept": intercept.tolist(), "platt": []})
+    margins = df.select(
+        col(problem.label).cast("double").alias("label"),
+        score_matrix(df, features, model.margins()).alias("m"))
+    platt = []
     for i, c in enumerate(wanted):
-        dot = F.aggregate(
-            F.zip_with("z", F.array(*[F.lit(float(v)) for v in coef[i]]), lambda a, q: a * q),
-            F.lit(float(intercept[i])), lambda a, v: a + v)
-        frame = VectorAssembler(inputCols=["m"], outputCol="f").transform(
-            arr.select(dot.alias("m"), F.when(F.col("y") == c, 1.0).otherwise(0.0).alias("t")))
-        fit = LogisticRegression(featuresCol="f", labelCol="t", maxIter=50).fit(frame)
-        platt.append([float(fit.coefficients[0]), float(fit.intercept)])
-    mapped.unpersist()
-    return KernelMachine({
-        "features": problem.features, "map": {"w": w.tolist(), "b": b.tolist()},
-        "coef": [np.asarray(c).tolist() for c in coef], "intercept": [float(v) for v in intercept],
-        "platt": platt})
+        one = margins.select(F.col("m")[i].alias("m"), F.when(F.col("label") == c, 1.0).otherwise(0.0).alias("t"))
+        slope, offset = logistic(one, ["m"], "t", [1.0], 1e-6, joint=False)
+        platt.append([float(slope[0, 0]), float(offset[0])])
+    model.state["platt"] = platt
+    return model
 
 
 def support_vector_regressor(df: DataFrame, problem: Problem, params: dict) -> KernelMachine:
     """Epsilon-insensitive loss by summed gradients, linear or on mapped features."""
     n, width = df.count(), params.get("epsilon", 0.1)
-    rbf = params.get("kernel", "rbf") == "rbf"
-    features, data, mapping = problem.features, df, None
-    if rbf:
+    features, mapping, state = problem.features, None, None
+    if params.get("kernel", "rbf") == "rbf":
         size = int(params.get("mapped_features", MAPPED_FEATURES))
         w, b = _draw(len(features), _gamma(df, problem, params), size, problem.seed)
-        mapping = {"w": w.tolist(), "b": b.tolist()}
-        staged = df.select(score_matrix(df, features, lambda x: _cosines(x, w, b)).alias("z"),
-                           col(problem.label).cast("double").alias(problem.label))
-        features = [f"z{i}" for i in range(size)]
-        data = staged.select(*[F.col("z")[i].alias(f) for i, f in enumerate(features)], problem.label)
-    data = data.persist()
-
-    def loss(residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        state = {"w": w.tolist(), "b": b.tolist()}
+
+        def mapping(x: np.ndarray) -> np.ndarray:
+            return _cosines(x, w, b)
+
+    def loss(margins: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        residual = margins - y[:, None]
         excess = np.abs(residual) - width
         return np.maximum(excess, 0.0), np.where(excess > 0, np.sign(residual), 0.0)
 
-    l2 = 1.0 / (params.get("C", 1.0) * n)
-    fitted = fit_linear_loss(data, problem, features, loss, l2, params.get("max_iter", 100))
-    data.unpersist()
-    return KernelMachine({"features": problem.features, "map": mapping, "coef": fitted.state["coef"],
-                          "intercept": fitted.state["intercept"], "platt": []})
+    coef, intercept = fit_margins(df, features, problem.label, 1, loss, 1.0 / (params.get("C", 1.0) * n),
+                                  mapping=mapping, center=True, max_iter=params.get("max_iter", 100))
+    return KernelMachine({"features": features, "map": state, "coef": coef.tolist(),
+                          "intercept": intercept.tolist(), "platt": []})

@@ -4,50 +4,57 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.functions.columns import col
 from gridwright.models.common import (
-    LinearScores, Problem, fit_vector, minimize, sum_over_rows,
+    LinearScores, Problem, fit_margins, fit_vector, hinge, logistic,
 )
-from gridwright.operators.gram import gram
+from gridwright.operators.gram import Gram, gram
 from gridwright.operators.preprocess import bayesian_ridge
 
 
-def _label_facts(df: DataFrame, problem: Problem) -> tuple[int, float, float]:
-    """Rows, population deviation and sample deviation of the label."""
-    y = col(problem.label).cast("double")
-    row = df.agg(F.count("*"), F.stddev_pop(y), F.stddev_samp(y)).first()
-    return row[0], row[1] or 1.0, row[2] or 1.0
+# Newton's method holds a square matrix of this many coefficients at most.
+NEWTON_WIDTH = 200
 
 
 # -- classifiers ----------------------------------------------------------------------------
 
-def logistic_regression(df: DataFrame, problem: Problem, params: dict) -> PipelineModel:
-    # C weighs the summed loss, regParam the mean loss: regParam = 1 / (C n).
-    # The solver choice does not change the optimum.
-    reg = 1.0 / (params.get("C", 1.0) * df.count())
-    est = LogisticRegression(regParam=reg, elasticNetParam=0.0, standardization=False,
+def logistic_regression(df: DataFrame, problem: Problem, params: dict):
+    """C weighs the summed loss, so the mean loss gets an L2 weight of 1 / (C n).
+
+    Few coefficients: Newton's method, about ten passes. Many: MLlib's
+    quasi-Newton fit. Both reach the same optimum, whatever solver is named.
+    """
+    l2 = 1.0 / (params.get("C", 1.0) * df.count())
+    binary = problem.n_classes == 2
+    if problem.n_classes * (len(problem.features) + 1) <= NEWTON_WIDTH:
+        coef, intercept = logistic(
+            df, problem.features, problem.label, [1.0] if binary else problem.classes, l2, joint=not binary)
+        return _scores(problem, coef, intercept, "probability")
+    est = LogisticRegression(regParam=l2, elasticNetParam=0.0, standardization=False,
                              maxIter=params.get("max_iter", 1000))
     return fit_vector(est, df, problem, "vector")
 
 
-def sgd_classifier(df: DataFrame, problem: Problem, params: dict) -> PipelineModel:
-    """The regularised objective of the stochastic learner, solved in batch."""
+def _scores(problem: Problem, coef: np.ndarray, intercept: np.ndarray, kind: str) -> LinearScores:
+    return LinearScores({"features": problem.features, "kind": kind,
+                         "coef": np.asarray(coef).tolist(), "intercept": np.asarray(intercept).tolist()})
+
+
+def sgd_classifier(df: DataFrame, problem: Problem, params: dict) -> LinearScores:
+    """The stochastic learner's objective, one class against the rest, solved in batch."""
     alpha = params.get("alpha", 1e-4)
+    wanted = [1.0] if problem.n_classes == 2 else problem.classes
     if params.get("loss", "hinge") == "hinge":
-        est = LinearSVC(regParam=alpha, standardization=False, maxIter=params.get("max_iter", 100))
-        kind = "none"
-    else:
-        est = LogisticRegression(regParam=alpha, standardization=False, maxIter=params.get("max_iter", 1000))
-        kind = "vector"
-    if problem.n_classes > 2:
-        est = OneVsRest(classifier=est.copy({est.featuresCol: "_features", est.labelCol: problem.label}))
-        kind = "raw" if kind == "vector" else "none"
-    return fit_vector(est, df, problem, kind)
+        coef, intercept = fit_margins(df, problem.features, problem.label, len(wanted), hinge(wanted), alpha,
+                                      max_iter=params.get("max_iter", 100))
+        return _scores(problem, coef, intercept, "scores")
+    coef, intercept = logistic(df, problem.features, problem.label, wanted, alpha, joint=False)
+    return _scores(problem, coef, intercept, "probability" if problem.n_classes == 2 else "sigmoid")
 
 
 def ridge_classifier(df: DataFrame, problem: Problem, params: dict) -> LinearScores:
@@ -61,8 +68,7 @@ def ridge_classifier(df: DataFrame, problem: Problem, params: dict) -> LinearSco
              [*problem.features, *[f"_t{i}" for i in range(len(wanted))]])
     coef = np.linalg.solve(g.scatter[:p, :p] + alpha * np.eye(p), g.scatter[:p, p:]).T
     intercept = g.mean[p:] - coef @ g.mean[:p]
-    return LinearScores({"features": problem.features, "kind": "scores",
-                         "coef": coef.tolist(), "intercept": intercept.tolist()})
+    return _scores(problem, coef, intercept, "scores")
 
 
 def linear_discriminant(df: DataFrame, problem: Problem, params: dict) -> LinearScores:
@@ -85,39 +91,95 @@ def linear_discriminant(df: DataFrame, problem: Problem, params: dict) -> Linear
     intercept = np.log(counts / g.n) - 0.5 * np.sum(coef * centred, axis=1) - coef @ g.mean
     if len(rows) == 2:
         coef, intercept = coef[1:] - coef[:1], intercept[1:] - intercept[:1]
-    return LinearScores({"features": x, "kind": "probability",
-                         "coef": coef.tolist(), "intercept": intercept.tolist()})
+    return _scores(problem, coef, intercept, "probability")
 
 
-# -- regressors ------------------------------------------------------------------------------
+# -- regressors: solved from the cross products of one pass ------------------------------------
 
-def linear_regression(df: DataFrame, problem: Problem, params: dict) -> PipelineModel:
-    est = LinearRegression(solver="normal", regParam=0.0, fitIntercept=params.get("fit_intercept", True))
-    return fit_vector(est, df, problem)
+def _solve(xx: np.ndarray, xy: np.ndarray) -> np.ndarray:
+    return np.linalg.lstsq(xx, xy, rcond=None)[0]
 
 
-def ridge(df: DataFrame, problem: Problem, params: dict) -> PipelineModel:
-    # MLlib divides the L2 weight by the label deviation; alpha weighs the summed loss
-    n, sd, _ = _label_facts(df, problem)
-    est = LinearRegression(solver="normal", regParam=params.get("alpha", 1.0) / n * sd,
-                           elasticNetParam=0.0, standardization=False)
-    return fit_vector(est, df, problem)
+def _centred(g: Gram) -> tuple[np.ndarray, np.ndarray, float]:
+    p = len(g.mean) - 1
+    return g.scatter[:p, :p], g.scatter[:p, p], g.n
 
 
-def lasso(df: DataFrame, problem: Problem, params: dict) -> PipelineModel:
-    est = LinearRegression(regParam=params.get("alpha", 1.0), elasticNetParam=1.0, standardization=False,
-                           maxIter=params.get("max_iter", 5000), tol=1e-9)
-    return fit_vector(est, df, problem)
+def _with_intercept(g: Gram, coef: np.ndarray) -> tuple[np.ndarray, float]:
+    return coef, float(g.mean[-1] - g.mean[:-1] @ coef)
 
 
-def elastic_net(df: DataFrame, problem: Problem, params: dict) -> PipelineModel:
-    # the L1 part counts as it is, the L2 part is scaled by the label deviation
+def solve_linear(g: Gram, params: dict) -> tuple[np.ndarray, float]:
+    p = len(g.mean) - 1
+    if not params.get("fit_intercept", True):
+        return _solve(g.raw[:p, :p], g.raw[:p, p]), 0.0
+    xx, xy, _ = _centred(g)
+    return _with_intercept(g, _solve(xx, xy))
+
+
+def solve_ridge(g: Gram, params: dict) -> tuple[np.ndarray, float]:
+    xx, xy, _ = _centred(g)
+    return _with_intercept(g, _solve(xx + params.get("alpha", 1.0) * np.eye(len(xy)), xy))
+
+
+def solve_sgd_squared(g: Gram, params: dict) -> tuple[np.ndarray, float]:
+    """Mean squared loss halved, so the penalty counts n times."""
+    xx, xy, n = _centred(g)
+    return _with_intercept(g, _solve(xx + n * params.get("alpha", 1e-4) * np.eye(len(xy)), xy))
+
+
+def solve_elastic_net(g: Gram, params: dict) -> tuple[np.ndarray, float]:
+    """Coordinate descent on the cross products; no further pass over the rows."""
     alpha, share = params.get("alpha", 1.0), params.get("l1_ratio", 0.5)
-    _, _, sd = _label_facts(df, problem)
-    total = alpha * share + alpha * (1 - share) * sd
-    est = LinearRegression(regParam=total, elasticNetParam=alpha * share / total, standardization=False,
-                           maxIter=params.get("max_iter", 5000), tol=1e-9)
-    return fit_vector(est, df, problem)
+    xx, xy, n = _centred(g)
+    xx, xy = xx / n, xy / n
+    coef = np.zeros(len(xy))
+    for _ in range(params.get("max_iter", 5000)):
+        largest = 0.0
+        for j in range(len(xy)):
+            if xx[j, j] <= 0:
+                continue
+            pull = xy[j] - xx[j] @ coef + xx[j, j] * coef[j]
+            new = np.sign(pull) * max(abs(pull) - alpha * share, 0.0) / (xx[j, j] + alpha * (1 - share))
+            largest = max(largest, abs(new - coef[j]) * np.sqrt(xx[j, j]))
+            coef[j] = new
+        if largest < 1e-12 * max(1.0, np.sqrt(max(g.scatter[-1, -1] / n, 0.0))):
+            break
+    return _with_intercept(g, coef)
+
+
+def solve_lasso(g: Gram, params: dict) -> tuple[np.ndarray, float]:
+    return solve_elastic_net(g, {**params, "l1_ratio": 1.0})
+
+
+def solve_bayesian_ridge(g: Gram, params: dict) -> tuple[np.ndarray, float]:
+    return bayesian_ridge(
+        g, alpha_1=params.get("alpha_1", 1e-6), lambda_1=params.get("lambda_1", 1e-6))[:2]
+
+
+def from_gram(solve):
+    """A fit function that needs nothing but the cross products."""
+    def fit(df: DataFrame, problem: Problem, params: dict) -> LinearScores:
+        coef, intercept = solve(gram(df, [*problem.features, problem.label]), params)
+        return _scores(problem, [coef], [intercept], "regression")
+    return fit
+
+
+linear_regression = from_gram(solve_linear)
+ridge = from_gram(solve_ridge)
+lasso = from_gram(solve_lasso)
+elastic_net = from_gram(solve_elastic_net)
+bayesian_ridge_regression = from_gram(solve_bayesian_ridge)
+_sgd_squared = from_gram(solve_sgd_squared)
+
+
+def gram_loss(g: Gram, coef: np.ndarray, intercept: float) -> tuple[float, float]:
+    """Mean squared error and R^2 of a linear model on the rows behind ``g``."""
+    p = len(coef)
+    bias = g.mean[p] - g.mean[:p] @ coef - intercept
+    s = g.scatter
+    rss = s[p, p] - 2 * coef @ s[:p, p] + coef @ s[:p, :p] @ coef + g.n * bias ** 2
+    return float(rss / g.n), float(1 - rss / s[p, p]) if s[p, p] > 0 else float("nan")
 
 
 def huber(df: DataFrame, problem: Problem, params: dict) -> PipelineModel:
@@ -127,64 +189,18 @@ def huber(df: DataFrame, problem: Problem, params: dict) -> PipelineModel:
     return fit_vector(est, df, problem)
 
 
-def bayesian_ridge_regression(df: DataFrame, problem: Problem, params: dict) -> LinearScores:
-    g = gram(df, [*problem.features, problem.label])
-    coef, intercept, _, _ = bayesian_ridge(
-        g, alpha_1=params.get("alpha_1", 1e-6), lambda_1=params.get("lambda_1", 1e-6))
-    return LinearScores({"features": problem.features, "kind": "regression",
-                         "coef": [coef.tolist()], "intercept": [intercept]})
-
-
-def sgd_regressor(df: DataFrame, problem: Problem, params: dict):
+def sgd_regressor(df: DataFrame, problem: Problem, params: dict) -> LinearScores:
     """Batch solution of the regularised squared or fixed-width Huber loss."""
-    alpha = params.get("alpha", 1e-4)
     if params.get("loss", "squared_error") == "squared_error":
-        _, sd, _ = _label_facts(df, problem)
-        est = LinearRegression(solver="normal", regParam=alpha * sd, elasticNetParam=0.0, standardization=False)
-        return fit_vector(est, df, problem)
+        return _sgd_squared(df, problem, params)
     width = params.get("epsilon", 0.1)
 
-    def loss(residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def loss(margins: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        residual = margins - y[:, None]
         size = np.abs(residual)
-        inside = size <= width
-        value = np.where(inside, 0.5 * residual ** 2, width * (size - 0.5 * width))
-        return value, np.where(inside, residual, width * np.sign(residual))
+        value = np.where(size <= width, 0.5 * residual ** 2, width * (size - 0.5 * width))
+        return value, np.clip(residual, -width, width)
 
-    return fit_linear_loss(df, problem, problem.features, loss, alpha, params.get("max_iter", 200))
-
-
-def fit_linear_loss(df: DataFrame, problem: Problem, features: list[str], loss, l2: float,
-                    max_iter: int = 200) -> LinearScores:
-    """Minimise mean loss(prediction - label) + l2/2 |w|^2 by summed gradients.
-
-    The search runs on centred, scaled features (with the penalty expressed in
-    the original scale), which keeps the number of passes small.
-    """
-    p = len(features)
-    columns = [*features, problem.label]
-    stats = df.agg(*[f(col(c).cast("double")).alias(f"{s}{i}") for i, c in enumerate(columns)
-                     for s, f in (("m", F.avg), ("s", F.stddev_pop))], F.count("*").alias("n")).first()
-    mean = np.array([stats[f"m{i}"] for i in range(p + 1)])
-    sd = np.array([stats[f"s{i}"] or 1.0 for i in range(p + 1)])
-    n = stats["n"]
-    sy = sd[p]
-    penalty = l2 * (sy / sd[:p]) ** 2
-
-    def objective(theta: np.ndarray) -> tuple[float, np.ndarray]:
-        def part(z: np.ndarray) -> np.ndarray:
-            x = (z[:, :p] - mean[:p]) / sd[:p]
-            residual = (x @ theta[:p] + theta[p]) * sy - (z[:, p] - mean[p])
-            value, slope = loss(residual)
-            slope = slope * sy
-            return np.concatenate([[value.sum()], x.T @ slope, [slope.sum()]])
-
-        total = sum_over_rows(df, columns, p + 2, part) / n
-        value = total[0] + 0.5 * float(penalty @ (theta[:p] ** 2))
-        gradient = total[1:] + np.concatenate([penalty * theta[:p], [0.0]])
-        return value / sy, gradient / sy
-
-    theta = minimize(objective, np.zeros(p + 1), max_iter)
-    coef = theta[:p] * sy / sd[:p]
-    intercept = mean[p] + theta[p] * sy - coef @ mean[:p]
-    return LinearScores({"features": features, "kind": "regression",
-                         "coef": [coef.tolist()], "intercept": [float(intercept)]})
+    coef, intercept = fit_margins(df, problem.features, problem.label, 1, loss, params.get("alpha", 1e-4),
+                                  center=True, max_iter=params.get("max_iter", 200))
+    return _scores(problem, coef, intercept, "regression")

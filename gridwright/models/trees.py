@@ -12,7 +12,6 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, OneVsRest, RandomForestClassifier,
 )
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +19,8 @@ from pyspark.sql import functions as F
 from gridwright.functions.columns import add_all, col
 from gridwright.models.base import FittedStage
 from gridwright.models.common import (
-    VECTOR, Problem, argmax, fit_vector, score_matrix, softmax, with_outputs,
+    VECTOR, Problem, argmax, fit_vector, score_matrix, softmax, sum_over_rows, with_outputs,
 )
-from gridwright.session import checkpoint
 
 # MLlib grows no deeper than this; stands for "no limit".
 DEEPEST = 30
@@ -77,14 +75,82 @@ def histogram_boosting(df: DataFrame, problem: Problem, params: dict) -> Pipelin
 
 # -- boosting by re-weighting ---------------------------------------------------------------
 
-def _tree_rules(node) -> dict:
-    """A small MLlib tree as nested rules (read over the gateway, node by node)."""
-    kind = node.getClass().getSimpleName()
-    if kind == "LeafNode":
-        return {"value": node.prediction()}
-    split = node.split()
-    return {"feature": split.featureIndex(), "at": split.threshold(),
-            "left": _tree_rules(node.leftChild()), "right": _tree_rules(node.rightChild())}
+BOOST_BINS = 64
+
+
+def _cut_points(df: DataFrame, features: list[str], bins: int = BOOST_BINS) -> list[np.ndarray]:
+    grid = [i / bins for i in range(1, bins)]
+    row = df.agg(*[
+        F.percentile_approx(col(c).cast("double"), grid, 50 * bins).alias(str(i)) for i, c in enumerate(features)
+    ]).first()
+    return [np.array(sorted(set(row[i] or []))) for i in range(len(features))]
+
+
+def _grow(df: DataFrame, columns: list[str], cuts: list[np.ndarray], weigh, depth: int, classes: int) -> dict:
+    """One weighted histogram tree; a pass over the data per level.
+
+    ``weigh(x, y)`` gives row weights inside the task, so weights are never stored.
+    ``classes`` is 0 for a regression tree. Trees are arrays indexed by node.
+    """
+    p = len(columns) - 1
+    wide = max(len(c) for c in cuts) + 1
+    stats = classes or 3
+    tree = {"feature": np.array([-1]), "threshold": np.array([0.0]), "left": np.array([-1]),
+            "right": np.array([-1]), "value": [None], "weight": [None]}
+    live = [0]
+    for _ in range(depth):
+        place = np.full(len(tree["feature"]), -1)
+        place[live] = np.arange(len(live))
+        shape = (len(live), p, wide, stats)
+        frozen = {k: tree[k] for k in ("feature", "threshold", "left", "right")}
+
+        def part(z: np.ndarray) -> np.ndarray:
+            x, y = z[:, :p], z[:, p]
+            w = weigh(x, y)
+            slot = place[_descend(x, frozen)]
+            rows = slot >= 0
+            values = np.eye(classes)[y.astype(int)] * w[:, None] if classes else np.column_stack([w, w * y, w * y * y])
+            out = np.zeros((shape[0] * p * wide, stats))
+            for j in range(p):
+                cell = (slot[rows] * p + j) * wide + np.searchsorted(cuts[j], x[rows, j], side="left")
+                for k in range(stats):
+                    out[:, k] += np.bincount(cell, values[rows, k], len(out))
+            return out.ravel()
+
+        sums = sum_over_rows(df, columns, int(np.prod(shape)), part).reshape(shape)
+        following = []
+        for i, node in enumerate(live):
+            total = sums[i, 0].sum(axis=0)
+            tree["value"][node], tree["weight"][node] = _leaf(total, bool(classes)), total
+            left = np.cumsum(sums[i], axis=1)[:, :-1]
+            gain = _gain(left, total, bool(classes))
+            for j in range(p):  # a column with few cuts has no later candidates
+                gain[j, len(cuts[j]):] = -np.inf
+            j, cut = np.unravel_index(np.argmax(gain), gain.shape)
+            if not gain[j, cut] > 1e-12 * max(1.0, float(np.abs(total).max())):
+                continue
+            kids = [len(tree["feature"]), len(tree["feature"]) + 1]
+            tree["feature"][node], tree["threshold"][node] = j, cuts[j][cut]
+            tree["left"][node], tree["right"][node] = kids
+            for name, blank in (("feature", -1), ("threshold", 0.0), ("left", -1), ("right", -1)):
+                tree[name] = np.append(tree[name], [blank, blank])
+            for part_sums in (left[j, cut], total - left[j, cut]):
+                tree["value"].append(_leaf(part_sums, bool(classes)))
+                tree["weight"].append(part_sums)
+            following += kids
+        live = following
+        if not live:
+            break
+    tree["output"] = np.array([float(np.argmax(v)) if classes else v[0] for v in tree["value"]])
+    return tree
+
+
+def _rules(tree: dict, node: int = 0) -> dict:
+    """Arrays to nested rules, for scoring as a column expression."""
+    if tree["feature"][node] < 0:
+        return {"value": float(tree["output"][node])}
+    return {"feature": int(tree["feature"][node]), "at": float(tree["threshold"][node]),
+            "left": _rules(tree, int(tree["left"][node])), "right": _rules(tree, int(tree["right"][node]))}
 
 
 def _tree_column(rules: dict, features: list[str]) -> Column:
@@ -138,66 +204,62 @@ class BoostedRules(FittedStage):
 def ada_boost(df: DataFrame, problem: Problem, params: dict) -> BoostedRules:
     """SAMME for classes, R2 with linear loss for numbers.
 
-    Row weights are a column updated by the newest tree's expression; the lineage
-    is cut by a reliable checkpoint every ten rounds.
+    Row weights follow from the trees so far, so every task computes them on the
+    fly: nothing is stored per row between rounds and no lineage builds up. A
+    round takes one pass (stumps) or four (depth-3 trees and their loss).
     """
     rounds = int(params.get("n_estimators", 50))
     rate = float(params.get("learning_rate", 1.0))
-    k = problem.n_classes
-    base = VectorAssembler(inputCols=problem.features, outputCol=VECTOR).transform(
-        df.select(*[col(c) for c in problem.features], col(problem.label).cast("double").alias("_y")))
-    current = checkpoint(base.withColumn("_w", F.lit(1.0)))
+    k = problem.n_classes if problem.is_classification else 0
+    columns = [*problem.features, problem.label]
+    p = len(problem.features)
+    cuts = _cut_points(df, problem.features)
     trees: list[dict] = []
     weights: list[float] = []
-    for i in range(rounds):
-        args = {"featuresCol": VECTOR, "labelCol": "_y", "weightCol": "_w", "seed": problem.seed + i}
-        if problem.is_classification:
-            tree = DecisionTreeClassifier(maxDepth=1, **args).fit(current)
-        else:
-            tree = DecisionTreeRegressor(maxDepth=3, **args).fit(current)
-        rules = _tree_rules(tree._call_java("rootNode"))
-        guess = _tree_column(rules, problem.features)
-        if problem.is_classification:
-            wrong = F.when(guess != F.col("_y"), 1.0).otherwise(0.0)
-            row = current.agg((F.sum(F.col("_w") * wrong) / F.sum("_w")).alias("e")).first()
-            error = row["e"]
-            if error <= 0:
-                trees.append(rules)
-                weights.append(1.0)
+    tops: list[float] = []
+    offset = 0.0
+
+    def weigh(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        log = np.full(len(y), -offset)
+        for i, t in enumerate(trees):
+            guess = t["output"][_descend(x, t)]
+            log += weights[i] * (guess != y) if k else -weights[i] * (1 - np.abs(y - guess) / tops[i])
+        return np.exp(log)
+
+    for _ in range(rounds):
+        tree = _grow(df, columns, cuts, weigh, 1 if k else 3, k)
+        if k:
+            leaves = [w for w, f in zip(tree["weight"], tree["feature"]) if f < 0]
+            total = float(sum(w.sum() for w in leaves))
+            error = float(sum(w.sum() - w.max() for w in leaves)) / total
+            if error <= 1e-12:
+                trees, weights = [*trees, tree], [*weights, 1.0]
                 break
             if error >= 1 - 1 / k:
                 break
-            alpha = rate * (math.log((1 - error) / error) + math.log(k - 1))
-            new = F.col("_w") * F.exp(F.lit(alpha) * wrong)
+            alpha, top = rate * (math.log((1 - error) / error) + math.log(k - 1)), 0.0
+            offset += math.log(total * (1 - error + error * math.exp(alpha)) / total)
         else:
-            gap = F.abs(F.col("_y") - guess)
-            # two aggregates of one pass: the weighted loss scales with the largest gap
-            row = current.agg(F.max(gap).alias("top"), (F.sum(F.col("_w") * gap) / F.sum("_w")).alias("e")).first()
-            if not row["top"]:
-                trees.append(rules)
-                weights.append(1.0)
+            def loss(z: np.ndarray) -> np.ndarray:
+                x, y = z[:, :p], z[:, p]
+                gap, w = np.abs(y - tree["output"][_descend(x, tree)]), weigh(x, y)
+                return np.array([(w * gap).sum(), w.sum(), gap.max()])
+
+            lost, total, top = sum_over_rows(df, columns, 3, loss, largest=1)
+            error = lost / total / top if top > 0 else 0.0
+            if error <= 1e-12:
+                trees, weights, tops = [*trees, tree], [*weights, 1.0], [*tops, 1.0]
                 break
-            error = row["e"] / row["top"]
             if error >= 0.5:
                 if not trees:
-                    trees.append(rules)
-                    weights.append(1.0)
+                    trees, weights, tops = [tree], [1.0], [1.0]
                 break
-            beta = error / (1 - error)
-            alpha = rate * math.log(1 / beta)
-            new = F.col("_w") * F.pow(F.lit(beta), (1 - gap / F.lit(row["top"])) * rate)
-        trees.append(rules)
-        weights.append(alpha)
-        current = current.withColumn("_w", new)
-        # keep the mean weight at one
-        mean = current.agg(F.avg("_w")).first()[0]
-        current = current.withColumn("_w", F.col("_w") / F.lit(mean))
-        if i % 10 == 9:
-            current = checkpoint(current)
+            alpha = rate * math.log((1 - error) / error)
+        trees, weights, tops = [*trees, tree], [*weights, alpha], [*tops, top]
     if not trees:
         raise ValueError("no tree does better than chance")
-    return BoostedRules({"features": problem.features, "trees": trees, "weights": weights,
-                         "n_classes": k if problem.is_classification else 0})
+    return BoostedRules({"features": problem.features, "trees": [_rules(t) for t in trees],
+                         "weights": weights, "n_classes": k})
 
 
 # -- extra trees ------------------------------------------------------------------------------

@@ -65,47 +65,86 @@ def pair_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 class Gram:
-    """Sums over complete rows: count, means and centred cross products."""
+    """Sums of complete rows about a fixed shift; adds and subtracts like a set of rows."""
 
-    def __init__(self, n: float, mean: np.ndarray, scatter: np.ndarray):
-        self.n, self.mean, self.scatter = n, mean, scatter
+    def __init__(self, shift: np.ndarray, sums: np.ndarray):
+        self.shift, self.sums = shift, sums
 
+    @property
+    def n(self) -> float:
+        return float(self.sums[0, 0])
 
-def gram(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> Gram:
-    """Cross products of numeric columns without missing values."""
+    @property
+    def mean(self) -> np.ndarray:
+        return self.shift + self._drift
+
+    @property
+    def _drift(self) -> np.ndarray:
+        return self.sums[0, 1:] / self.n if self.n else np.zeros(len(self.shift))
+
+    @property
+    def scatter(self) -> np.ndarray:
+        """Cross products about the mean."""
+        return self.sums[1:, 1:] - self.n * np.outer(self._drift, self._drift)
+
+    @property
+    def raw(self) -> np.ndarray:
+        """Cross products about zero."""
+        return self.scatter + self.n * np.outer(self.mean, self.mean)
+
+    def __add__(self, other: "Gram") -> "Gram":
+        return Gram(self.shift, self.sums + other.sums)
+
+    def __sub__(self, other: "Gram") -> "Gram":
+        return Gram(self.shift, self.sums - other.sums)
+
+
+def grams(df: DataFrame, columns: Sequence[str], group: str | None = None) -> dict[int, Gram]:
+    """Cross products of numeric columns without missing values, per group number.
+
+    One pass over the data for all groups. The shift is the mean of a few rows; it
+    only keeps the sums well conditioned and drops out of every result.
+    """
     columns = list(columns)
     p = len(columns)
     narrow = df.select(
-        (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"),
+        (F.col(group).cast("int") if group else F.lit(0)).alias("g"),
         *[as_double(df, c).alias(f"x{i}") for i, c in enumerate(columns)],
     )
-    head = narrow.agg(
-        F.sum("w").alias("n"),
-        *[(F.sum(F.col("w") * F.col(f"x{i}")) / F.sum("w")).alias(f"x{i}") for i in range(p)],
-    ).first()
-    shift = np.array([head[f"x{i}"] or 0.0 for i in range(p)])
+    head = narrow.limit(1000).agg(*[F.avg(f"x{i}") for i in range(p)]).first()
+    shift = np.array([v if v is not None else 0.0 for v in head], dtype=float)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((p + 1, p + 1))
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            z = _matrix(batch)
-            w, x = z[:, 0], z[:, 1:] - shift
-            x1 = np.column_stack([np.ones(len(x)), x])
-            total += (x1 * w[:, None]).T @ x1
+            if not batch.num_rows:
+                continue
+            g = batch.column(0).to_numpy(zero_copy_only=False)
+            x = np.column_stack([np.ones(batch.num_rows), _matrix(batch, 1) - shift])
+            for k in np.unique(g):
+                part = x[g == k]
+                total[k] = total.get(k, 0.0) + part.T @ part
         i, j = np.triu_indices(p + 1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(i.astype("int32")), pa.array(j.astype("int32")), pa.array(total[i, j])],
-            names=["i", "j", "s"],
-        )
+        for k, t in total.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(i), k, dtype="int32")), pa.array(i.astype("int32")),
+                 pa.array(j.astype("int32")), pa.array(t[i, j])],
+                names=["g", "i", "j", "s"],
+            )
 
     cells = (
-        narrow.mapInArrow(sums, "i int, j int, s double")
-        .groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+        narrow.mapInArrow(sums, "g int, i int, j int, s double")
+        .groupBy("g", "i", "j").agg(F.sum("s").alias("s")).toPandas()
     )
-    full = np.zeros((p + 1, p + 1))
-    for row in cells:
-        full[row["i"], row["j"]] = full[row["j"], row["i"]] = row["s"]
-    n = full[0, 0]
-    drift = full[0, 1:] / n if n else full[0, 1:]
-    scatter = full[1:, 1:] - n * np.outer(drift, drift)
-    return Gram(n, shift + drift, scatter)
+    out = {}
+    for k, part in cells.groupby("g"):
+        full = np.zeros((p + 1, p + 1))
+        full[part["i"], part["j"]] = part["s"]
+        full[part["j"], part["i"]] = part["s"]
+        out[int(k)] = Gram(shift, full)
+    return out
+
+
+def gram(df: DataFrame, columns: Sequence[str]) -> Gram:
+    return grams(df, columns).get(0) or Gram(
+        np.zeros(len(columns)), np.zeros((len(columns) + 1, len(columns) + 1)))

@@ -18,6 +18,8 @@ class Algorithm:
     category: str
     grid: dict[str, list]
     fit: Callable
+    # for linear least squares: coefficients from cross products alone
+    solve: Callable | None = None
 
     def points(self) -> list[dict]:
         names = list(self.grid)
@@ -62,13 +64,18 @@ CLASSIFIERS = [
               {"alpha": [0.0001, 0.001], "loss": ["hinge", "log_loss"]}, linear.sgd_classifier),
 ]
 REGRESSORS = [
-    Algorithm("Linear Regression", "Linear", {"fit_intercept": [True, False]}, linear.linear_regression),
-    Algorithm("Ridge Regression", "Linear", {"alpha": [0.1, 1.0, 10.0, 100.0]}, linear.ridge),
-    Algorithm("Lasso Regression", "Linear", {"alpha": [0.01, 0.1, 1.0, 10.0]}, linear.lasso),
+    Algorithm("Linear Regression", "Linear", {"fit_intercept": [True, False]}, linear.linear_regression,
+              linear.solve_linear),
+    Algorithm("Ridge Regression", "Linear", {"alpha": [0.1, 1.0, 10.0, 100.0]}, linear.ridge,
+              linear.solve_ridge),
+    Algorithm("Lasso Regression", "Linear", {"alpha": [0.01, 0.1, 1.0, 10.0]}, linear.lasso,
+              linear.solve_lasso),
     Algorithm("Elastic Net", "Linear",
-              {"alpha": [0.1, 1.0], "l1_ratio": [0.2, 0.5, 0.8]}, linear.elastic_net),
+              {"alpha": [0.1, 1.0], "l1_ratio": [0.2, 0.5, 0.8]}, linear.elastic_net,
+              linear.solve_elastic_net),
     Algorithm("Bayesian Ridge", "Bayesian",
-              {"alpha_1": [1e-6, 1e-5], "lambda_1": [1e-6, 1e-5]}, linear.bayesian_ridge_regression),
+              {"alpha_1": [1e-6, 1e-5], "lambda_1": [1e-6, 1e-5]}, linear.bayesian_ridge_regression,
+              linear.solve_bayesian_ridge),
     Algorithm("Huber Regressor", "Robust",
               {"epsilon": [1.1, 1.35, 1.5], "alpha": [0.0001, 0.001]}, linear.huber),
     Algorithm("Decision Tree", "Tree",

@@ -10,12 +10,15 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright.functions.columns import as_double, col
 from gridwright.models.common import Problem
+from gridwright.models.linear import gram_loss
 from gridwright.operators import metrics as M
+from gridwright.operators.gram import grams
 from gridwright.operators.preprocess import dictionary, encode
 from gridwright.operators.profile import detect_task
 from gridwright.operators.splits import folds, holdout, nested_samples
@@ -69,28 +72,56 @@ def score(df: DataFrame, scoring: str, problem: Problem) -> float | None:
 # -- search ----------------------------------------------------------------------------------
 
 def cross_validate(df: DataFrame, problem: Problem, fit: Callable, params: dict, k: int, scoring: str,
-                   fold: str = "fold") -> list[float]:
+                   fold: str = "fold", parallelism: int = 4) -> list[float]:
     """Score on each fold of a model fitted on the other folds."""
-    out = []
-    for f in range(k):
+    def one(f: int) -> float:
         model = fit(df.filter(F.col(fold) != f), problem, params)
-        out.append(score(model.transform(df.filter(F.col(fold) == f)), scoring, problem))
-    return out
+        return score(model.transform(df.filter(F.col(fold) == f)), scoring, problem)
+
+    return _spread(one, range(k), parallelism)
+
+
+def _spread(fn: Callable, items, parallelism: int) -> list:
+    """Run independent Spark actions from a few driver threads, in input order."""
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return list(pool.map(inheritable_thread_target(SparkSession.getActiveSession())(fn), items))
+
+
+GRAM_SCORES = {
+    "r2": lambda mse, r2: r2,
+    "neg_mean_squared_error": lambda mse, r2: -mse,
+    "neg_root_mean_squared_error": lambda mse, r2: -float(np.sqrt(mse)),
+}
 
 
 def search(df: DataFrame, problem: Problem, algorithm: Algorithm, points: Sequence[dict], k: int,
            scoring: str, parallelism: int = 4) -> tuple[dict, list[float]]:
     """Best grid point by mean fold score (the first on ties) and its fold scores.
 
-    Points are fitted from a few driver threads at a time; each fit is itself a
-    distributed job.
+    Least-squares models need one pass for the whole search: the cross products
+    per fold give every fit and every score. Others are fitted point by point and
+    fold by fold, a few at a time; each fit is itself a distributed job.
     """
-    def run(point: dict) -> list[float]:
-        return cross_validate(df, problem, algorithm.fit, point, k, scoring)
-
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        results = list(pool.map(run, points))
-    best = int(np.argmax([np.mean(r) for r in results]))
+    if algorithm.solve and scoring in GRAM_SCORES:
+        parts = grams(df, [*problem.features, problem.label], "fold")
+        whole = parts[0]
+        for f in range(1, k):
+            whole = whole + parts[f]
+        results = [
+            [GRAM_SCORES[scoring](*gram_loss(parts[f], *algorithm.solve(whole - parts[f], point)))
+             for f in range(k)]
+            for point in points
+        ]
+    else:
+        def run(job: tuple[int, int]) -> float:
+            point, f = points[job[0]], job[1]
+            model = algorithm.fit(df.filter(F.col("fold") != f), problem, point)
+            return score(model.transform(df.filter(F.col("fold") == f)), scoring, problem)
+
+        jobs = [(i, f) for i in range(len(points)) for f in range(k)]
+        flat = _spread(run, jobs, parallelism)
+        results = [flat[i * k:(i + 1) * k] for i in range(len(points))]
+    best = int(np.argmax([np.mean(x) for x in results]))
     return points[best], results[best]
 
 
@@ -239,7 +270,7 @@ def _one(algorithm: Algorithm, problem: Problem, fit_rows: DataFrame, test_rows:
         best, scores = search(fit_rows, problem, algorithm, unique, k, scoring, options.parallelism)
     else:
         best = dict(fixed)
-        scores = cross_validate(fit_rows, problem, algorithm.fit, best, k, scoring)
+        _, scores = search(fit_rows, problem, algorithm, [best], k, scoring, options.parallelism)
     model = algorithm.fit(fit_rows, problem, best)
     scored = checkpoint(model.transform(test_rows))  # read by every metric below
     elapsed = round(time.time() - started, 3)
@@ -292,7 +323,8 @@ def write_leaderboard(board: DataFrame, path: str) -> None:
 
 
 def learning_curve(df: DataFrame, problem: Problem, fit: Callable, params: dict, keys: Sequence[str],
-                   steps: int = 8, k: int = 5, scoring: str | None = None) -> DataFrame:
+                   steps: int = 8, k: int = 5, scoring: str | None = None,
+                   parallelism: int = 4) -> DataFrame:
     """Train and validation scores over growing nested samples of the training folds.
 
     A sample is a hash prefix per fold, so a larger one contains the smaller.
@@ -302,18 +334,20 @@ def learning_curve(df: DataFrame, problem: Problem, fit: Callable, params: dict,
     if "fold" not in df.columns:
         df = folds(df, keys, k, problem.label if problem.is_classification else None)
     marked = checkpoint(nested_samples(df, keys, shares[:-1], ["fold"], seed="curve"))
-    rows = []
-    for i in range(steps):
-        sample = marked.filter(F.col("step") <= i)
-        sizes, inner, outer = [], [], []
-        for f in range(k):
-            part = sample.filter(F.col("fold") != f)
-            model = fit(part, problem, params)
-            sizes.append(part.count())
-            inner.append(score(model.transform(part), scoring, problem))
-            outer.append(score(model.transform(marked.filter(F.col("fold") == f)), scoring, problem))
-        rows.append((i, float(np.mean(sizes)), float(np.mean(inner)), float(np.std(inner)),
-                     float(np.mean(outer)), float(np.std(outer))))
+    def one(job: tuple[int, int]) -> tuple[int, float, float]:
+        i, f = job
+        part = marked.filter((F.col("step") <= i) & (F.col("fold") != f))
+        model = fit(part, problem, params)
+        return (part.count(), score(model.transform(part), scoring, problem),
+                score(model.transform(marked.filter(F.col("fold") == f)), scoring, problem))
+
+    jobs = [(i, f) for i in range(steps) for f in range(k)]
+    done = np.array(_spread(one, jobs, parallelism)).reshape(steps, k, 3)
+    rows = [
+        (i, float(done[i, :, 0].mean()), float(done[i, :, 1].mean()), float(done[i, :, 1].std()),
+         float(done[i, :, 2].mean()), float(done[i, :, 2].std()))
+        for i in range(steps)
+    ]
     return df.sparkSession.createDataFrame(
         rows, "step int, train_size double, train_mean double, train_std double, "
               "validation_mean double, validation_std double")
