@@ -229,7 +229,7 @@ def rank_cutoffs(
     targets = checkpoint(keep_hits(targets).select(*by, "_p", "_c", "n", "_below", "_want"))
     while size < 30 and (targets.agg(F.max("_c")).first()[0] or 0) > rows_per_bucket:
         inside = rows.withColumn("_p", F.substring("_h", 1, size))
-        inside = join_sized(inside, targets.drop("_c"), [*groups, "_p"])
+        inside = join_sized(inside, targets.drop("_c"), [*groups, "_p"], materialised=True)
         size += digits
         counted = (
             inside.withColumn("_up", F.col("_p")).withColumn("_p", F.substring("_h", 1, size))
@@ -239,7 +239,7 @@ def rank_cutoffs(
         targets = checkpoint(keep_hits(placed).select(*by, "_p", "_c", "n", "_below", "_want"))
 
     inside = rows.withColumn("_p", F.substring("_h", 1, size))
-    inside = join_sized(inside, targets.drop("_c", "n"), [*groups, "_p"])
+    inside = join_sized(inside, targets.drop("_c", "n"), [*groups, "_p"], materialised=True)
     order = Window.partitionBy(*by, "_p").orderBy("_h")
     picked = (
         inside.withColumn("_rank", F.row_number().over(order) + F.col("_below"))

@@ -358,7 +358,7 @@ def minimize(value_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]
         else:
             break
         s, y = t * d, g_new - g
-        done = f - f_new <= tolerance * 1e-3 * max(1.0, abs(f))
+        done = f - f_new <= tolerance * 0.1 * max(1.0, abs(f))
         x, f, g = x + s, f_new, g_new
         if y @ s > 1e-12:
             steps, changes = [*steps[-memory + 1:], s], [*changes[-memory + 1:], y]
