@@ -138,7 +138,7 @@ def languages(spark, sf) -> DataFrame:
     t = F.col("text")
     return table(spark, sf, "documents").filter(F.length(t) > 0).select(
         "doc_id", "lang",
-        *[((F.length(t) - F.length(F.translate(t, v, ""))).cast("double") / F.length(t)).alias(k)
+        *[(F.regexp_count(t, F.lit(f"[{v}]")).cast("double") / F.length(t)).alias(k)
           for k, v in ACCENTS.items()],
     )
 

@@ -17,7 +17,7 @@ from gridwright.plans import scoring as K
 from gridwright.plans import trainer as T
 from gridwright.plans.registry import find
 from gridwright.plans.runlog import RunLog, compare
-from gridwright.session import checkpoint, scratch_path
+from gridwright.session import checkpoint, scratch_path, spread
 
 LANGS = ["de", "en", "es", "fr"]
 
@@ -45,8 +45,8 @@ def net_rows(spark, sf) -> tuple[DataFrame, Problem]:
 def _evaluate(rows: DataFrame, problem: Problem, keys, name: str, params: dict) -> DataFrame:
     """Fit on the training part, report on the held-out part."""
     strata = "label" if problem.is_classification else None
-    marked = checkpoint(S.holdout(
-        rows.select(*keys, *problem.features, "label"), keys, 0.2, strata))
+    marked = spread(checkpoint(S.holdout(
+        rows.select(*keys, *problem.features, "label"), keys, 0.2, strata)))
     model = find(problem.task, name).fit(marked.filter("NOT is_test").drop("is_test"), problem, params)
     scored = model.transform(marked.filter("is_test").drop("is_test"))
     if problem.is_classification:

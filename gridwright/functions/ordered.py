@@ -21,7 +21,7 @@ from gridwright.functions.columns import as_double, col, hash_key
 from gridwright.session import checkpoint
 
 # Above this many cells (rows x columns) one-buffer percentiles are not used.
-EXACT_BUFFER_CELLS = 4_000_000
+EXACT_BUFFER_CELLS = 400_000
 # Ordered rows one task should handle inside a bucket.
 ROWS_PER_BUCKET = 1_000_000
 # Largest row count of a side that may be broadcast (narrow rows).
@@ -38,8 +38,8 @@ def quantiles(
     """Exact quantiles with linear interpolation: ``{column: [q, ...]}``.
 
     ``percentile`` keeps every distinct value of a column in one buffer, so it
-    serves only tables of checked size. Larger ones go through
-    ``bucketed_quantiles``, which is exact too.
+    serves only tables of checked, small size. Larger ones go through
+    ``selected_quantiles``, which is exact too.
     """
     columns = list(columns)
     probabilities = [float(p) for p in probabilities]
@@ -47,7 +47,7 @@ def quantiles(
         return {}
     n = df.count() if n_rows is None else n_rows
     if n * len(columns) > buffer_cells:
-        return bucketed_quantiles(df, columns, probabilities)
+        return selected_quantiles(df, columns, probabilities)
     probs = F.array(*[F.lit(p) for p in probabilities])
     row = df.agg(*[
         F.percentile(as_double(df, c), probs).alias(str(i)) for i, c in enumerate(columns)
@@ -58,81 +58,99 @@ def quantiles(
     }
 
 
-def bucketed_quantiles(
+def selected_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float],
-    buckets: int = 512,
+    bins: int = 4096,
+    rows_per_pick: int = 20_000,
 ) -> dict[str, list[float | None]]:
-    """Exact quantiles in three scans whose shuffles stay small at any row count.
+    """Exact quantiles by counting: every shuffle holds counts, never the rows.
 
-    1. sketch cut points per column, 2. count rows per bucket, 3. count the
-    values of the few buckets that hold a wanted rank and select there.
+    The value range of each column is cut into equal bins and counted. Only bins
+    in which a wanted rank falls are looked at again: as (value, count) pairs
+    where few rows remain or one value fills the bin, else cut into bins anew. A
+    bin narrows by ``bins`` each time, so a handful of passes serves any skew.
     """
     columns = list(columns)
-    long = unpivot_doubles(df, columns)
-    grid = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = {
-        row["column"]: sorted(set(row["cuts"]))
-        for row in long.groupBy("column")
-        .agg(F.percentile_approx("value", grid, 20 * buckets).alias("cuts"))
-        .collect()
-    }
-    result: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
-    if not cuts:
-        return result
-    tagged = _tag_buckets(df, cuts)
-    counts: dict[str, dict[int, int]] = {}
-    for row in tagged.groupBy("column", "bucket").count().collect():
-        counts.setdefault(row["column"], {})[row["bucket"]] = row["count"]
-
-    # (column, bucket) -> number of rows below the bucket; and the ranks wanted
-    below: dict[tuple[str, int], int] = {}
-    wanted: dict[str, set[int]] = {}
-    for c, by_bucket in counts.items():
-        n = sum(by_bucket.values())
-        ranks = {i for p in probabilities for i in _rank_pair(p, n)[:2]}
-        start = 0
-        for b in sorted(by_bucket):
-            if any(start <= k < start + by_bucket[b] for k in ranks):
-                below[(c, b)] = start
-            start += by_bucket[b]
-        wanted[c] = ranks
-    keep = None
-    for c, b in below:
-        test = (F.col("column") == c) & (F.col("bucket") == b)
-        keep = test if keep is None else keep | test
-    inside = (
-        tagged.filter(keep).groupBy("column", "bucket", "value").agg(F.count("*").alias("n"))
-    )
-    w = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    offset = F.create_map(*[
-        x for (c, b), s in below.items() for x in (F.lit(f"{c}\x00{b}"), F.lit(s))
-    ])
-    inside = inside.withColumn(
-        "first", offset[F.concat(F.col("column"), F.lit("\x00"), F.col("bucket").cast("string"))]
-        + F.sum("n").over(w) - F.col("n")
-    )
-    rank_list = F.create_map(*[
-        x for c in wanted for x in (F.lit(c), F.array(*[F.lit(k) for k in sorted(wanted[c])]))
-    ])
-    hit = F.filter(
-        rank_list[F.col("column")],
-        lambda k: (k >= F.col("first")) & (k < F.col("first") + F.col("n")),
-    )
-    found = {
-        (row["column"], row["rank"]): row["value"]
-        for row in inside.select("column", "value", F.explode(hit).alias("rank")).collect()
-    }
-    for c, by_bucket in counts.items():
-        n = sum(by_bucket.values())
-        for i, p in enumerate(probabilities):
-            lo, hi, frac = _rank_pair(p, n)
-            a, b = found[(c, lo)], found[(c, hi)]
-            result[c][i] = a if lo == hi else (1.0 - frac) * a + frac * b
-    return result
+    data = df.select(*[as_double(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    head = data.agg(*[
+        f(f"v{i}").alias(f"{s}{i}") for i in range(len(columns))
+        for s, f in (("n", F.count), ("a", F.min), ("b", F.max))
+    ]).first()
+    sizes = [head[f"n{i}"] for i in range(len(columns))]
+    wanted = [
+        sorted({k for p in probabilities for k in _rank_pair(p, n)[:2]}) if n else [] for n in sizes
+    ]
+    found: dict[tuple[int, int], float] = {}
+    # open ranges [low, high] of a column: rows below, rows inside, ranks to find
+    spans = []
+    for i, n in enumerate(sizes):
+        if not n:
+            continue
+        low, high = head[f"a{i}"], head[f"b{i}"]
+        if low == high or not math.isfinite(high - low):
+            spans.append((i, low, high, 0, 0, wanted[i]))
+        else:
+            spans.append((i, low, high, 0, n, wanted[i]))
+    while spans:
+        fine = [s for s in spans if s[4] <= rows_per_pick]
+        wide = [s for s in spans if s[4] > rows_per_pick]
+        spans = []
+        if fine:
+            cells = _span_cells(fine, lambda v, low, high: v)
+            counts: dict[int, list[tuple[float, int]]] = {}
+            for row in data.select(F.explode(cells).alias("c")).filter("c IS NOT NULL").groupBy(
+                    "c.span", "c.at").agg(F.count("*").alias("n")).collect():
+                counts.setdefault(row["span"], []).append((row["at"], row["n"]))
+            for k, (i, _, _, below, _, ranks) in enumerate(fine):
+                at = below
+                for value, n in sorted(counts.get(k, [])):
+                    found.update({(i, r): value for r in ranks if at <= r < at + n})
+                    at += n
+        if wide:
+            def slot(v, low, high):
+                return F.least(F.floor((v - F.lit(low)) / F.lit((high - low) / bins)), F.lit(bins - 1).cast("long"))
+
+            cells = _span_cells(wide, slot)
+            rows = data.select(F.explode(cells).alias("c")).filter("c IS NOT NULL").select(
+                "c.span", "c.at", "c.v").groupBy("span", "at").agg(
+                F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
+            by_span: dict[int, list] = {}
+            for row in rows:
+                by_span.setdefault(row["span"], []).append(row)
+            for k, (i, _, _, below, _, ranks) in enumerate(wide):
+                at = below
+                for row in sorted(by_span.get(k, []), key=lambda r: r["at"]):
+                    hit = [r for r in ranks if at <= r < at + row["n"]]
+                    if hit and row["a"] == row["b"]:
+                        found.update({(i, r): row["a"] for r in hit})
+                    elif hit:
+                        spans.append((i, row["a"], row["b"], at, row["n"], hit))
+                    at += row["n"]
+    out: dict[str, list[float | None]] = {}
+    for i, c in enumerate(columns):
+        values: list[float | None] = []
+        for p in probabilities:
+            if not sizes[i]:
+                values.append(None)
+                continue
+            lo, hi, frac = _rank_pair(p, sizes[i])
+            a, b = found[(i, lo)], found[(i, hi)]
+            values.append(a if lo == hi else (1.0 - frac) * a + frac * b)
+        out[c] = values
+    return out
+
+
+def _span_cells(spans: Sequence[tuple], place) -> Column:
+    """Array with one entry per span that holds the row's value."""
+    entries = []
+    for k, (i, low, high, *_rest) in enumerate(spans):
+        v = F.col(f"v{i}")
+        at = place(v, low, high)
+        entries.append(F.when((v >= F.lit(low)) & (v <= F.lit(high)), F.struct(
+            F.lit(k).alias("span"), at.alias("at"), v.alias("v"))))
+    return F.array(*entries)
 
 
 def _rank_pair(p: float, n: int) -> tuple[int, int, float]:
@@ -141,37 +159,6 @@ def _rank_pair(p: float, n: int) -> tuple[int, int, float]:
     return lo, min(math.ceil(position), n - 1), position - lo
 
 
-def unpivot_doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Long frame (column, value) of the non-missing numbers."""
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), as_double(df, c).alias("value")) for c in columns
-    ])
-    return (
-        df.select(F.explode(cells).alias("cell"))
-        .select("cell.column", "cell.value")
-        .filter("value IS NOT NULL")
-    )
-
-
-def _tag_buckets(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
-    names = [c for c in cuts]
-    staged = df.select(*[as_double(df, c).alias(f"v{i}") for i, c in enumerate(names)])
-    for i, c in enumerate(names):
-        staged = bucketize(staged, f"v{i}", f"b{i}", cuts[c])
-    cells = F.array(*[
-        F.struct(
-            F.lit(c).alias("column"), F.col(f"v{i}").alias("value"),
-            F.col(f"b{i}").cast("int").alias("bucket"),
-        )
-        for i, c in enumerate(names)
-    ])
-    return (
-        staged.select(F.explode(cells).alias("cell"))
-        .select("cell.column", "cell.value", "cell.bucket")
-        .filter("value IS NOT NULL")
-    )
-
-
 def bucketize(df: DataFrame, source: str, target: str, cuts: Sequence[float]) -> DataFrame:
     """Left-closed bucket number by binary search over sorted cut points."""
     inner = sorted({float(x) for x in cuts if math.isfinite(x)})

@@ -38,9 +38,13 @@ def gaussian_naive_bayes(df: DataFrame, problem: Problem, params: dict) -> Gauss
         *[f(col(c).cast("double")).alias(f"{s}{i}") for i, c in enumerate(x)
           for s, f in (("m", F.avg), ("v", F.var_pop))],
     ).orderBy("_y").collect()
-    spread = df.agg(*[F.var_pop(col(c).cast("double")).alias(str(i)) for i, c in enumerate(x)]).first()
-    eps = params.get("var_smoothing", 1e-9) * max(spread[i] or 0.0 for i in range(len(x)))
+    # total variance from the class parts: no second pass over the rows
     total = sum(r["n"] for r in rows)
+    spread = []
+    for i in range(len(x)):
+        mean = sum(r["n"] * r[f"m{i}"] for r in rows) / total
+        spread.append(sum(r["n"] * (r[f"v{i}"] + (r[f"m{i}"] - mean) ** 2) for r in rows) / total)
+    eps = params.get("var_smoothing", 1e-9) * max(spread)
     return GaussianBayes({"features": x, "classes": [
         {"log_prior": math.log(r["n"] / total),
          "mean": [r[f"m{i}"] for i in range(len(x))],

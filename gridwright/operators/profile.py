@@ -195,19 +195,20 @@ def quartiles(df: DataFrame, columns: Sequence[str] | None = None,
     return frame.select("column", *[r(F.col(c)).alias(c) for c in ("q25", "median", "q75")])
 
 
+def _outlier_count(x: Column, q1: float | None, q3: float | None) -> Column:
+    if q1 is None:
+        return F.count_if(F.lit(False))
+    reach = 1.5 * (q3 - q1)
+    return F.count_if((x < q1 - reach) | (x > q3 + reach))
+
+
 def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     columns = numeric_columns(df) if columns is None else list(columns)
     q = quantiles(df, columns, [0.25, 0.75])
-    tests = []
-    for i, c in enumerate(columns):
-        q1, q3 = q[c]
-        if q1 is None:
-            tests.append(F.lit(0).cast("long").alias(f"o{i}"))
-            continue
-        reach = 1.5 * (q3 - q1)
-        x = as_double(df, c)
-        tests.append(F.count_if((x < q1 - reach) | (x > q3 + reach)).alias(f"o{i}"))
-    return _stack(df.agg(*tests), [
+    one = df.agg(*[
+        _outlier_count(as_double(df, c), *q[c]).alias(f"o{i}") for i, c in enumerate(columns)
+    ])
+    return _stack(one, [
         {"column": F.lit(c), "n_outliers_iqr": F.col(f"o{i}")} for i, c in enumerate(columns)
     ])
 
@@ -227,16 +228,32 @@ def samples(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None =
 
 
 def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """All numeric column facts joined into one row per column."""
+    """All numeric column facts, one row per column.
+
+    Quartiles first; then every other fact, outliers included, in one fused
+    aggregate; distinct values come from the shared long frame.
+    """
     columns = numeric_columns(df) if columns is None else list(columns)
     narrow = df.select(*[col(c) for c in columns])
-    return (
-        missing(narrow)
-        .join(numeric_stats(narrow, columns), "column")
-        .join(quartiles(narrow, columns), "column")
-        .join(iqr_outliers(narrow, columns), "column")
-        .join(distinct_counts(narrow, columns), "column")
-    )
+    q = quantiles(narrow, columns, [0.25, 0.5, 0.75])
+    aggs = [F.count("*").alias("n")]
+    for i, c in enumerate(columns):
+        x = as_double(narrow, c)
+        aggs.append(F.count_if(col(c).isNull()).alias(f"missing_{i}"))
+        aggs += [f(x).alias(f"{s}_{i}") for s, f in NUMERIC_STATS.items()]
+        aggs.append(_outlier_count(x, q[c][0], q[c][2]).alias(f"outliers_{i}"))
+    facts = _stack(narrow.agg(*aggs), [
+        {
+            "column": F.lit(c),
+            "n_missing": F.col(f"missing_{i}"),
+            "pct_missing": r(ratio(F.col(f"missing_{i}") * 100.0, F.col("n")), 2),
+            **{s: F.col(f"{s}_{i}") if s in COUNT_STATS else r(F.col(f"{s}_{i}")) for s in NUMERIC_STATS},
+            **{name: r(F.lit(q[c][j])) for j, name in enumerate(("q25", "median", "q75"))},
+            "n_outliers_iqr": F.col(f"outliers_{i}"),
+        }
+        for i, c in enumerate(columns)
+    ])
+    return facts.join(distinct_counts(narrow, columns), "column")
 
 
 def profile(df: DataFrame, target: str | None = None, keys: Sequence[str] = ()) -> dict[str, DataFrame]:

@@ -23,7 +23,7 @@ from gridwright.operators.preprocess import dictionary, encode
 from gridwright.operators.profile import detect_task
 from gridwright.operators.splits import folds, holdout, nested_samples
 from gridwright.plans.registry import Algorithm, algorithms
-from gridwright.session import checkpoint
+from gridwright.session import checkpoint, spread
 
 # More classes than this cannot be a classification target.
 CLASS_CAP = 10_000
@@ -215,7 +215,7 @@ def split(df: DataFrame, target: str, features: Sequence[str], keys: Sequence[st
     marked = checkpoint(holdout(narrow, keys, options.test_size, strata))
     problem = Problem(list(features), task, n_classes=len(labels) if labels else 0)
     train, test = marked.filter("NOT is_test").drop("is_test"), marked.filter("is_test").drop("is_test")
-    train = checkpoint(folds(train, keys, options.cv_folds, strata))
+    train = spread(checkpoint(folds(train, keys, options.cv_folds, strata)))
     return problem, labels, train, test
 
 
@@ -333,7 +333,7 @@ def learning_curve(df: DataFrame, problem: Problem, fit: Callable, params: dict,
     shares = np.linspace(0.1, 1.0, steps).tolist()
     if "fold" not in df.columns:
         df = folds(df, keys, k, problem.label if problem.is_classification else None)
-    marked = checkpoint(nested_samples(df, keys, shares[:-1], ["fold"], seed="curve"))
+    marked = spread(checkpoint(nested_samples(df, keys, shares[:-1], ["fold"], seed="curve")))
     def one(job: tuple[int, int]) -> tuple[int, float, float]:
         i, f = job
         part = marked.filter((F.col("step") <= i) & (F.col("fold") != f))

@@ -37,6 +37,18 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a checkpointed frame that is read many times one task per core.
+
+    Only a frame with fewer partitions than the cluster has cores is shuffled
+    (a table of few files); a large one keeps its partitions.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= wanted:
+        return df
+    return checkpoint(df.repartition(wanted))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for tables written between steps."""
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
