@@ -406,9 +406,10 @@ def _(spark, sf):
     rows, problem = net_rows(spark, sf)
     model = find("regression", "Linear Regression").fit(rows, problem, {})
     scorer = K.Scorer(model, "Linear Regression", "regression", NET_FEATURES, None)
-    facts = scorer.info(spark).select("name", "task_type", F.size("features").alias("n_features"))
-    return M.rounded(scorer.importance(spark), 2).join(
-        facts.withColumnRenamed("name", "model"), F.col("model").isNotNull())
+    facts = scorer.info(spark).first()
+    return M.rounded(scorer.importance(spark), 2).select(
+        F.lit(facts["name"]).alias("model"), F.lit(facts["task_type"]).alias("task_type"),
+        F.lit(len(facts["features"])).alias("n_features"), "*")
 
 
 # -- run log -----------------------------------------------------------------------------------------

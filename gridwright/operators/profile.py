@@ -100,13 +100,35 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None,
         return _stack(one, [
             {"column": F.lit(c), "n_unique": F.col(f"d{i}")} for i, c in enumerate(columns)
         ])
-    counted = value_counts(df, columns).groupBy("column").agg(F.count("*").alias("n_unique"))
+    counted = None
+    for family in _families(df, columns):
+        cells = F.array(*[
+            F.struct(F.lit(c).alias("column"), value.alias("value")) for c, value in family
+        ])
+        values = df.select(F.inline(cells)).filter("value IS NOT NULL").distinct()
+        part = values.groupBy("column").agg(F.count("*").alias("n_unique"))
+        counted = part if counted is None else counted.unionByName(part)
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     return names.join(counted, "column", "left").select(
         "column", F.coalesce("n_unique", F.lit(0)).cast("long").alias("n_unique")
     )
 
 
+def _families(df: DataFrame, columns: Sequence[str]) -> list[list[tuple[str, Column]]]:
+    """Columns grouped by a common type, so that values keep their native form."""
+    integers = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    out: dict[str, list[tuple[str, Column]]] = {}
+    for c in columns:
+        kind = df.schema[c].dataType
+        if isinstance(kind, integers):
+            out.setdefault("bigint", []).append((c, col(c).cast("bigint")))
+        elif isinstance(kind, (T.FloatType, T.DoubleType)):
+            out.setdefault("double", []).append((c, col(c).cast("double") + F.lit(0.0)))
+        else:
+            out.setdefault(kind.simpleString(), []).append((c, col(c)))
+    return list(out.values())
+
+
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int | None = 5) -> DataFrame:
     """Most frequent values per column, ties in ascending value order.
 
