@@ -126,9 +126,8 @@ def _vectors(spark, sf) -> tuple[DataFrame, list[str]]:
 
 def _neighbours(spark, sf, task: str, params: dict) -> DataFrame:
     df, names = _vectors(spark, sf)
-    problem = Problem(names, task, n_classes=10)
-    fitted = df.filter("NOT is_test").orderBy("vec_id")
-    model = find(task, "K-Nearest Neighbors").fit(fitted, problem, params)
+    problem = Problem(names, task, n_classes=10, settings={"key": "vec_id"})
+    model = find(task, "K-Nearest Neighbors").fit(df.filter("NOT is_test"), problem, params)
     return model.transform(df.filter("is_test")).select("vec_id", "prediction")
 
 

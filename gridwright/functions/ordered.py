@@ -280,9 +280,17 @@ def running_totals(
     if buckets > 1:
         grid = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
         cuts = df.agg(F.percentile_approx(order, grid, 20 * buckets)).first()[0] or []
+    g = [col(x) for x in groups]
+    if not cuts:  # few rows: one window per group, no offsets
+        whole = Window.partitionBy(*g)
+        upto = whole.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(
+            *[col(c) for c in df.columns],
+            *[F.sum(s).over(upto).alias(f"cum_{s}") for s in sums],
+            *[F.sum(s).over(whole).alias(f"total_{s}") for s in sums],
+        )
     tagged = bucketize(df, order, "_b", cuts)
     tagged = tagged.withColumn("_b", F.col("_b").cast("int"))
-    g = [col(x) for x in groups]
     per_bucket = tagged.groupBy(*g, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     all_rows = Window.partitionBy(*g)
     above = all_rows.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)

@@ -35,11 +35,12 @@ class NearestNeighbors(FittedStage):
 
 
 def nearest_neighbors(df: DataFrame, problem: Problem, params: dict) -> NearestNeighbors:
-    train = df.select(
-        F.monotonically_increasing_id().alias("id"),
-        feature_array(df, problem.features).alias("x"), col(problem.label).cast("double").alias("v"))
-    # zero-padded ids keep text order equal to number order
-    train = checkpoint(train.select(F.lpad(F.col("id").cast("string"), 20, "0").alias("did"), "x", "v"))
+    # ties go to the smaller key; zero-padding keeps text order equal to number order
+    key = problem.settings.get("key")
+    row = col(key) if key else F.monotonically_increasing_id()
+    train = checkpoint(df.select(
+        F.lpad(row.cast("string"), 20, "0").alias("did"),
+        feature_array(df, problem.features).alias("x"), col(problem.label).cast("double").alias("v")))
     return NearestNeighbors(
         {"features": problem.features, "k": int(params.get("n_neighbors", 5)),
          "metric": params.get("metric", "euclidean"),

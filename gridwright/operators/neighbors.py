@@ -167,12 +167,11 @@ def knn_join(
     else:
         counts = {0: n}
     chunks = {c: max(1, math.ceil(m / chunk_rows)) for c, m in counts.items()}
-    n_chunks = _lookup(donors.sparkSession, chunks, "n_chunks")
-    donors = (
-        donors.join(n_chunks, "cell")
-        .withColumn("chunk", F.pmod(F.xxhash64("did"), F.col("n_chunks")).cast("int"))
-        .drop("n_chunks")
-    )
+    if grid.axes:
+        donors = donors.join(_lookup(donors.sparkSession, chunks, "n_chunks"), "cell")
+    else:
+        donors = donors.withColumn("n_chunks", F.lit(chunks[0]))
+    donors = donors.withColumn("chunk", F.pmod(F.xxhash64("did"), F.col("n_chunks")).cast("int")).drop("n_chunks")
     home = _with_cell(queries, grid)
     if grid.axes:
         home = checkpoint(home)

@@ -177,7 +177,7 @@ NUMERIC_STATS = {
     "skewness": corrected_skewness, "kurtosis": corrected_kurtosis,
     "n_zeros": lambda x: F.count_if(x == 0), "n_negative": lambda x: F.count_if(x < 0),
 }
-COUNT_STATS = {"n_zeros", "n_negative"}
+COUNT_STATS = {"n_zeros", "n_negative", "count"}
 
 
 def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None,
@@ -185,7 +185,7 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None,
     """One fused aggregate for all numeric columns, one row per column."""
     columns = numeric_columns(df) if columns is None else list(columns)
     one = df.agg(*[
-        NUMERIC_STATS[s](as_double(df, c)).alias(f"{s}_{i}")
+        {**NUMERIC_STATS, "count": F.count}[s](as_double(df, c)).alias(f"{s}_{i}")
         for i, c in enumerate(columns) for s in stats
     ])
     return _stack(one, [
@@ -369,11 +369,9 @@ def describe_all(df: DataFrame) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, column: str) -> DataFrame:
-    return (
-        df.agg(F.count(col(column)).alias("count")).withColumn("column", F.lit(column))
-        .join(numeric_stats(df, [column], ["mean", "std", "min", "max"]), "column")
-        .join(quartiles(df, [column]), "column")
-    )
+    q = quantiles(df, [column], [0.25, 0.5, 0.75])[column]
+    return numeric_stats(df, [column], ["count", "mean", "std", "min", "max"]).select(
+        "*", *[r(F.lit(v)).alias(name) for name, v in zip(("q25", "median", "q75"), q)])
 
 
 def target_summary(df: DataFrame, label: str, task: str) -> DataFrame:

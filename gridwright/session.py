@@ -22,6 +22,9 @@ def shared_folder(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    in_use = spark.sparkContext.getCheckpointDir()
+    if in_use:
+        return in_use
     if not _is_local(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="gridwright-")
