@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import mixing, packing, toxicity
+from gridwright.llm import mixing, packing, secret_scan, toxicity
 from gridwright.llm.frames import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_mixing")
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.plan(read_table(spark, sf_dir, "documents")))
+
+
+def secret_model(docs: DataFrame) -> secret_scan.SecretModel:
+    """Fit on findings of a bounded sample of documents that their formats label."""
+    sample = secret_scan.sample_of(docs)
+    dictionary = secret_scan.dictionary_of(sample)
+    found = secret_scan.findings(sample, dictionary)
+    return secret_scan.fit(found.withColumn("label", secret_scan.by_format(F.col("value"), F.col("before"))), dictionary)
+
+
+@query("op9_secret_scan")
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_model(docs))
