@@ -7,7 +7,7 @@ Exact for every pair of documents whose sets have a Jaccard similarity of
    Equal sets are one from here on, whatever their number of copies.
 2. Survivors: in a linked pair (J >= t) at most ``n - ceil(t n)`` shingles of a set
    are missing from the other. So of the ``n - ceil(t n) + l`` lowest hashes of
-   each, ``l`` are common. Only those enter the index, and a set whose lowest
+   each, ``l`` (a tenth of the set) are common. Only those enter the index, and a set whose lowest
    hashes are not shared often enough with any other set is out.
 3. Index lists: the survivors' shared hashes, rarest first, only as many as the
    prefix bound asks for. A list is kept in blocks by size class (a set meets its
@@ -65,7 +65,7 @@ def may_miss(size: int, percent: int) -> int:
 
 def asked_for(size: int, percent: int) -> int:
     """How many of the lowest hashes a set of this size wants in common (``l``)."""
-    return max(1, size * (100 - percent) // 100)
+    return max(1, size // 10)
 
 
 def class_bounds(percent: int, until: int = 1 << 40) -> np.ndarray:
@@ -88,7 +88,7 @@ def parity(hashes: np.ndarray, bits: int) -> bytes:
 
 
 def _summaries(docs: DataFrame, words: int, percent: int, id_column: str, text_column: str) -> DataFrame:
-    """Per row: id, set size, set key, size class, lowest hashes and bitmap."""
+    """Per row: its number, id, set size, set key, size class, lowest hashes and bitmap."""
     bounds = class_bounds(percent)
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,21 +112,27 @@ def _summaries(docs: DataFrame, words: int, percent: int, id_column: str, text_c
 
     rows = docs.select(column(id_column).alias("doc_id"), text_of(text_column).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(summarise, f"doc_id {kind}, n long, set_key string, size_class int, low array<long>, bits binary")
+    return rows.mapInArrow(summarise, f"doc_id {kind}, n long, set_key string, size_class int, low array<long>, bits binary").withColumn(
+        "row", F.monotonically_increasing_id())  # fixed once the rows are written
 
 
-def _index(sets: DataFrame, percent: int) -> DataFrame:
+def _only(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows whose key is in ``keys``, without a shuffle where those are few enough."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, on, "left_semi")
+
+
+def _index(low: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """List entries of the surviving sets: hash, id, size, size class, what may follow, ``l``, frequency."""
-    tokens = sets.select("id", F.explode("low").alias("token"))
+    tokens = low.select(F.col("doc_id").cast("long").alias("id"), F.explode("low").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     found = tokens.join(often, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found"))
     n, shared = F.col("n"), F.size("found")
 
     def least(size: F.Column) -> F.Column:
-        return F.greatest(F.lit(1), F.floor(size * (100 - percent) / 100))
+        return F.greatest(F.lit(1), F.floor(size / 10))
 
     need = least(F.ceil(n * percent / 100))  # the least `l` of any set that may be linked
-    return sets.select("id", "n", "size_class", F.size("low").alias("lowest")).join(found, "id").filter(shared >= need).select(
+    return sets.select("id", "n", "size_class").join(found, "id").filter(shared >= need).select(
         "id", "n", "size_class", least(n).alias("l"), shared.alias("shared"),
         F.posexplode(F.slice("found", F.lit(1), F.greatest(F.lit(0), shared - need.cast("int") + 1))).alias("place", "entry"),
     ).select("id", "n", "size_class", "l", (F.col("shared") - F.col("place")).alias("rest"), "entry.token", "entry.df")
@@ -143,10 +149,7 @@ def _verified(docs_sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, words: int, id_column: str, text_column: str) -> DataFrame:
     """The whole sets of the documents in ``ids``, from their texts."""
-    ids = checkpoint(ids)
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    rows = docs.select(column(id_column).alias("id"), text_of(text_column).alias("text")).join(ids, "id", "left_semi")
+    rows = _only(docs.select(column(id_column).cast("long").alias("id"), text_of(text_column).alias("text")), checkpoint(ids), "id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,8 +159,7 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, words: int, id_column: str, tex
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["id", "grams"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return written(rows.mapInArrow(hashed, f"id {kind}, grams array<long>"), "sets")
+    return written(rows.mapInArrow(hashed, "id long, grams array<long>"), "sets")
 
 
 def _fold(bits: list[bytes], wide: int) -> np.ndarray:
@@ -294,10 +296,11 @@ def components(links: DataFrame) -> DataFrame:
 def join(docs: DataFrame, words: int = 3, percent: int = 90, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` for every row. Ids are integers."""
     summaries = written(_summaries(docs, words, percent, id_column, text_column), "summaries")
-    sets = checkpoint(summaries.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(
-        F.min("doc_id").cast("long").alias("id"), F.any_value("n").alias("n"), F.any_value("size_class").alias("size_class"),
-        F.any_value("low").alias("low"), F.any_value("bits").alias("bits")))
-    entries = written(_index(sets, percent), "entries")
+    full = summaries.filter("n > 0 AND doc_id IS NOT NULL")
+    best = F.min(F.struct(F.col("doc_id").cast("long").alias("id"), "row"))
+    sets = checkpoint(full.groupBy("set_key", "n", "size_class").agg(best.alias("best")).select(
+        "set_key", "n", "size_class", "best.id", "best.row"))
+    entries = written(_index(_only(full, sets.select("row"), "row"), sets, percent), "entries")
 
     pivots = entries.groupBy("token", "size_class").agg(F.min("id").alias("pivot"), F.count("*").alias("sets"))
     near = entries.select("token", "size_class", "id", "n")
@@ -311,13 +314,17 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, id_column: str = "d
 
     first = linked(stars)
     known = components(first)
-    with_sets = entries.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")).join(
-        sets.select("id", "bits", "n"), ["id", "n"])
-    second = linked(checkpoint(_in_lists(with_sets, percent)))
+    named = entries.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # lists whose sets are all in one component are answered
+    open_ = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    active = checkpoint(named.join(open_.select("token"), "token"))
+    chosen = _only(sets, checkpoint(active.select("id").distinct()), "id").select("id", "n", "row")
+    maps = _only(summaries.select("row", "bits"), chosen.select("row"), "row").join(chosen, "row").drop("row")
+    second = linked(checkpoint(_in_lists(active.join(maps, ["id", "n"]), percent)))
     final = components(first.union(second))
 
     classes = sets.select("set_key", "id").join(final, "id", "left").select(
         "set_key", F.coalesce("component", "id").alias("component_id"))
     alone = summaries.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return summaries.filter("n > 0 AND doc_id IS NOT NULL").join(classes, "set_key").select(
+    return full.join(classes, "set_key").select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
