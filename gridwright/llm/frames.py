@@ -15,6 +15,9 @@ from gridwright.session import scratch_path
 #: A word as the queries count it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Most integer keys that are broadcast (16 MB); beyond, a join shuffles.
+BROADCAST_KEYS = 2_000_000
+
 
 def column(name: str) -> Column:
     """A column by its exact name, also when the name holds a dot."""
@@ -33,6 +36,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def only(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows whose integer key is in ``keys``, without a shuffle where those are few enough."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_semi")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.frames import column, slices, text_of, written
+from gridwright.llm.frames import column, only, slices, text_of, written
 from gridwright.llm.shingles import shingle_sets
 from gridwright.session import checkpoint
 
@@ -54,8 +54,6 @@ MOST_BITS = 4096
 LIST_SETS = 4000
 #: Pairs looked at together.
 PAIR_RUN = 1 << 18
-#: Most ids that are broadcast (16 MB); beyond, the join shuffles.
-BROADCAST_IDS = 2_000_000
 
 
 def may_miss(size: int, percent: int) -> int:
@@ -116,11 +114,6 @@ def _summaries(docs: DataFrame, words: int, percent: int, id_column: str, text_c
         "row", F.monotonically_increasing_id())  # fixed once the rows are written
 
 
-def _only(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """The rows whose key is in ``keys``, without a shuffle where those are few enough."""
-    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, on, "left_semi")
-
-
 def _index(low: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """List entries of the surviving sets: hash, id, size, size class, what may follow, ``l``, frequency."""
     tokens = low.select(F.col("doc_id").cast("long").alias("id"), F.explode("low").alias("token"))
@@ -149,7 +142,7 @@ def _verified(docs_sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, words: int, id_column: str, text_column: str) -> DataFrame:
     """The whole sets of the documents in ``ids``, from their texts."""
-    rows = _only(docs.select(column(id_column).cast("long").alias("id"), text_of(text_column).alias("text")), checkpoint(ids), "id")
+    rows = only(docs.select(column(id_column).cast("long").alias("id"), text_of(text_column).alias("text")), checkpoint(ids), "id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,7 +293,7 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, id_column: str = "d
     best = F.min(F.struct(F.col("doc_id").cast("long").alias("id"), "row"))
     sets = checkpoint(full.groupBy("set_key", "n", "size_class").agg(best.alias("best")).select(
         "set_key", "n", "size_class", "best.id", "best.row"))
-    entries = written(_index(_only(full, sets.select("row"), "row"), sets, percent), "entries")
+    entries = written(_index(only(full, sets.select("row"), "row"), sets, percent), "entries")
 
     pivots = entries.groupBy("token", "size_class").agg(F.min("id").alias("pivot"), F.count("*").alias("sets"))
     near = entries.select("token", "size_class", "id", "n")
@@ -318,8 +311,8 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, id_column: str = "d
     # lists whose sets are all in one component are answered
     open_ = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     active = checkpoint(named.join(open_.select("token"), "token"))
-    chosen = _only(sets, checkpoint(active.select("id").distinct()), "id").select("id", "n", "row")
-    maps = _only(summaries.select("row", "bits"), chosen.select("row"), "row").join(chosen, "row").drop("row")
+    chosen = only(sets, checkpoint(active.select("id").distinct()), "id").select("id", "n", "row")
+    maps = only(summaries.select("row", "bits"), chosen.select("row"), "row").join(chosen, "row").drop("row")
     second = linked(checkpoint(_in_lists(active.join(maps, ["id", "n"]), percent)))
     final = components(first.union(second))
 
