@@ -30,6 +30,7 @@ import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,21 +42,76 @@ from gridwright.llm.frames import column, ragged, slices, text_of
 
 TIERS = (4096, 2048, 1024, 512, 256)
 #: Distinct words whose ids a worker keeps.
-WORD_CACHE = 200_000
+WORD_CACHE = 500_000
 #: Bytes of text tokenized at once, a longer text apart.
-TEXT_RUN = 4 << 20
+TEXT_RUN = 8 << 20
 
-_TOKENIZERS: dict[str, tuple[object, dict[str, tuple[int, ...]]]] = {}
 
+#: Signs that are kept apart from the word they end.
+SIGNS = ("", ".", ",")
 
-def _tokenizer(path: str) -> tuple[object, dict[str, tuple[int, ...]]]:
-    """The tokenizer and the word cache of this worker, kept over its tasks."""
-    if path not in _TOKENIZERS:
+
+class WordIds:
+    """The ids of words, each tokenized once; a worker keeps them over its tasks.
+
+    Word ``k`` has ``lengths[k]`` ids from ``starts[k]`` of ``flat``.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
-    return _TOKENIZERS[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.known: dict[str, int] = {}
+        self.flat = np.empty(0, dtype=np.uint32)
+        self.starts = np.empty(0, dtype=np.int64)
+        self.lengths = np.empty(0, dtype=np.int64)
+
+    def numbers(self, words: Sequence[str]) -> np.ndarray:
+        """The number of each word; new ones are tokenized."""
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        if new:
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.flat = np.concatenate([self.flat, np.array([x for one in ids for x in one], dtype=np.uint32)])
+        return np.array([self.known[w] for w in words], dtype=np.int64)
+
+    def codes(self, words: Sequence[str]) -> np.ndarray:
+        """Per word as it stands in a text: three times the number of its stem, plus that of its sign."""
+        found = np.fromiter(map(self.seen.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            fresh = [words[i] for i in new.tolist()]
+            stems, signs = zip(*map(_split, fresh))
+            found[new] = 3 * self.numbers(stems) + np.fromiter(map(SIGNS.index, signs), dtype=np.int64, count=len(new))
+            self.seen.update(zip(fresh, found[new].tolist()))
+        return found
+
+
+_WORDS: dict[str, WordIds] = {}
+
+
+def _split(word: str) -> tuple[str, str]:
+    """A word as the tokenizer will see it, and the sign that ends it.
+
+    Up to U+00FF small letters are the same everywhere and nothing composes, so
+    the word may be put in small letters; and a letter before a final point or
+    comma always ends a token. Other words are left as they are, and so are
+    those that may hold a special token.
+    """
+    if word and max(word) <= "\xff" and "<|" not in word:
+        low = word.lower()
+        if low[-1] in ".," and low[-2:-1].isalpha():
+            return low[:-1], low[-1]
+        return low, ""
+    return word, ""
 
 
 def token_ids(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,28 +120,22 @@ def token_ids(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.n
     The tokenizer drops white space and lets nothing span it, so a text's ids are
     those of its words in turn. Every distinct word is tokenized once.
     """
-    tokenizer, cache = _tokenizer(path)
-    words = pc.ascii_split_whitespace(texts)
-    counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = words.flatten().dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    known: list[tuple[int, ...] | None] = [cache.get(w) for w in distinct]
-    new = [i for i, ids in enumerate(known) if ids is None]
-    if len(cache) + len(new) > WORD_CACHE:
-        cache.clear()
-    for start in range(0, len(new), 20_000):
-        part = new[start: start + 20_000]
-        for i, done in zip(part, tokenizer.encode_batch([distinct[j] for j in part], add_special_tokens=False)):
-            known[i] = ids = tuple(done.ids)
-            if len(cache) < WORD_CACHE:
-                cache[distinct[i]] = ids
-    sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known))
-    flat = np.fromiter((x for ids in known for x in ids), dtype=np.uint32, count=int(sizes.sum()))
-    starts = np.cumsum(sizes) - sizes
+    if path not in _WORDS:
+        _WORDS[path] = WordIds(path)
+    words = _WORDS[path]
+    if len(words.seen) > WORD_CACHE:
+        words.clear()
+    split = pc.ascii_split_whitespace(texts)
+    counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = split.flatten().dictionary_encode()
+    stem, sign = np.divmod(words.codes(coded.dictionary.to_pylist()), 3)
+    sign = words.numbers(SIGNS)[sign]
     use = coded.indices.to_numpy(zero_copy_only=False)
-    ids = ragged(flat, starts[use], sizes[use])
-    reached = np.concatenate([[0], np.cumsum(sizes[use])])
-    ends = reached[np.cumsum(counts)]
+    parts = np.column_stack([stem[use], sign[use]]).ravel()  # each word, then its sign
+    sizes = words.lengths[parts]
+    ids = ragged(words.flat, words.starts[parts], sizes)
+    reached = np.concatenate([[0], np.cumsum(sizes)])
+    ends = reached[2 * np.cumsum(counts)]
     return np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1)
 
 
