@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from gridwright.llm.frames import WORD, column, text_of
 from gridwright.session import checkpoint
 
+#: Slots that one task maps to blocks.
+SLOTS_PER_TASK = 250_000
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -102,7 +104,7 @@ def _row_key(id_column: str, source_column: str, text: Column) -> Column:
 def plan(
     docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total_share: float = 1.5, repeat_limit: int = 2,
     block_words: int = 128, shard_blocks: int = 4096, seed: int = 7, id_column: str = "doc_id",
-    text_column: str = "text", source_column: str = "source", bucket_rows: int = 20_000, max_sources: int = 100_000,
+    text_column: str = "text", source_column: str = "source", bucket_rows: int = 4_000, max_sources: int = 100_000,
 ) -> Mix:
     spark = docs.sparkSession
     text = text_of(text_column)
@@ -189,7 +191,7 @@ def _slots(docs: DataFrame, sources: list[dict], shard_blocks: int, seed: int) -
     sofar = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return drawn.select(
         "number", F.coalesce(F.sum("slots").over(sofar), F.lit(0)).alias("before"), "slots",
-    ).mapInArrow(mapped, "number long, turn long, block long")
+    ).repartition(max(1, total // SLOTS_PER_TASK), "number", "before").mapInArrow(mapped, "number long, turn long, block long")
 
 
 def _on_blocks(mix: Mix) -> DataFrame:
@@ -206,7 +208,8 @@ def taken(mix: Mix) -> DataFrame:
     """Per document: ``doc_id``, ``size``, its source's ``source_size`` and ``target``, and the words ``taken``."""
     spark = mix.documents.sparkSession
     counts = mix.slots.groupBy("number", "block").agg(F.count("*").alias("visits"))
-    parts = _on_blocks(mix).join(counts, ["number", "block"]).select(
+    # counts grow with the input whatever their plan's estimate says: never a broadcast
+    parts = _on_blocks(mix).join(counts.hint("merge"), ["number", "block"]).select(
         "doc_id", "number", "size", "row_key", "copy", "start", ((F.col("to_word") - F.col("from_word")) * F.col("visits")).alias("words"))
     none = mix.documents.select("doc_id", "number", "size", "row_key", "copy", "start", F.lit(0).cast("long").alias("words"))
     facts = spark.createDataFrame(
@@ -228,13 +231,13 @@ def texts(
     return, the text column among them.
     """
     key = ["row_key", "doc_id"]
-    runs = _on_blocks(mix).join(mix.slots, ["number", "block"]).groupBy(*key, "copy", "turn", "size").agg(
+    runs = _on_blocks(mix).join(mix.slots.hint("merge"), ["number", "block"]).groupBy(*key, "copy", "turn", "size").agg(
         F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("runs"))
     runs = runs.groupBy(*key, "size").agg(F.collect_list("runs").alias("visits"))
     rows = docs.withColumns({
         " key": _row_key(id_column, source_column, text_of(text_column)), " id": column(id_column),
     }).dropDuplicates([" key", " id"])
-    both = rows.join(runs, (rows[" key"] == runs["row_key"]) & rows[" id"].eqNullSafe(runs["doc_id"]))
+    both = rows.join(runs.hint("merge"), (rows[" key"] == runs["row_key"]) & rows[" id"].eqNullSafe(runs["doc_id"]))
     part = both.select(*[rows["`" + c + "`"] for c in keep], runs["size"].alias(" size"), F.explode("visits").alias(" runs"))
     schema = part.select(*[column(c) for c in keep]).schema
     place = list(keep).index(text_column)
