@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import jaccard, mixing, packing, secret_scan, toxicity, winnowing
+from gridwright.llm import jaccard, mixing, packing, preference, secret_scan, toxicity, winnowing
 from gridwright.llm.frames import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,40 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_winnowing")
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare(read_table(spark, sf_dir, "documents"))
+
+
+def _mask_text(spans: str) -> F.Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), " ")
+
+
+_RENDER = "'<|' || role || '|>' || chr(10) || {} || '<|end|>' || chr(10)"
+
+
+def _side_sql(name: str) -> str:
+    """Completion and mask of one side: offsets of the turns from the first other one on, as running sums."""
+    return f"""{name} AS (SELECT conv_id, string_agg(part, '' ORDER BY turn) AS body,
+  string_agg(CASE WHEN role = 'assistant' THEN (begun + length(role) + 5) || ':' || (begun + length(part) - 1) END, ' ' ORDER BY turn) AS mask
+  FROM (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begun
+    FROM (SELECT conv_id, turn, role, {_RENDER.format(name + '_text')} AS part FROM marked WHERE turn >= diff)) GROUP BY conv_id)"""
+
+
+PREFERENCE_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS good_text FROM conversations),
+f AS (SELECT conv_id, max(turn) AS last, min(turn) AS first, arg_min(good_text, turn) AS first_text FROM t WHERE role = 'assistant' GROUP BY conv_id),
+r AS (SELECT t.*, CASE WHEN role = 'assistant' AND turn = last THEN CASE WHEN first < last AND first_text <> good_text THEN first_text
+  ELSE left(good_text, length(good_text) // 2) END ELSE good_text END AS bad_text FROM t LEFT JOIN f USING (conv_id)),
+d AS (SELECT conv_id, min(turn) FILTER (WHERE good_text <> bad_text) AS diff FROM r GROUP BY conv_id),
+marked AS (SELECT r.*, d.diff FROM r JOIN d USING (conv_id)),
+p AS (SELECT conv_id, coalesce(string_agg({_RENDER.format('good_text')}, '' ORDER BY turn) FILTER (WHERE diff IS NULL OR turn < diff), '') AS prompt,
+  CAST(count(*) FILTER (WHERE diff IS NULL OR turn < diff) AS INTEGER) AS prompt_turns FROM marked GROUP BY conv_id),
+{_side_sql('good')}, {_side_sql('bad')}
+SELECT conv_id, prompt, prompt_turns, coalesce(good.body, '') AS chosen, coalesce(good.mask, '') AS chosen_mask,
+  coalesce(bad.body, '') AS rejected, coalesce(bad.mask, '') AS rejected_mask
+FROM p LEFT JOIN good USING (conv_id) LEFT JOIN bad USING (conv_id)"""
+
+
+@query("op1_preference", PREFERENCE_SQL)
+def op1_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations")
+    return preference.format_pairs(turns, preference.weakened(turns, "conv_id"), "conv_id").select(
+        F.col("pair").alias("conv_id"), "prompt", "prompt_turns", "chosen", _mask_text("chosen_mask").alias("chosen_mask"),
+        "rejected", _mask_text("rejected_mask").alias("rejected_mask"))
