@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import jaccard, mixing, packing, preference, secret_scan, toxicity, winnowing
+from gridwright.llm import jaccard, mixing, packing, preference, secret_scan, toxicity, warc, winnowing
 from gridwright.llm.frames import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,15 @@ def op1_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_pairs(turns, preference.weakened(turns, "conv_id"), "conv_id").select(
         F.col("pair").alias("conv_id"), "prompt", "prompt_turns", "chosen", _mask_text("chosen_mask").alias("chosen_mask"),
         "rejected", _mask_text("rejected_mask").alias("rejected_mask"))
+
+
+WARC_SQL = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)"""
+
+
+@query("op4_warc", WARC_SQL)
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(spark, warc.write(read_table(spark, sf_dir, "pages"))).drop("url")
