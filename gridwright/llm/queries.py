@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import jaccard, mixing, packing, preference, secret_scan, toxicity, warc, winnowing
+from gridwright.llm import jaccard, mixing, packing, preference, secret_scan, toxicity, voronoi, warc, winnowing
 from gridwright.llm.frames import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,18 @@ FROM p LEFT JOIN f USING (payload_digest)"""
 @query("op4_warc", WARC_SQL)
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, warc.write(read_table(spark, sf_dir, "pages"))).drop("url")
+
+
+TOP_K_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS whole FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.whole, c.whole) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.whole) = len(c.whole))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+
+@query("op2_voronoi_top_k", TOP_K_SQL)
+def op2_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return voronoi.top_k(vectors, F.col("vec_id") % 50 == 0, 5, "vec_id", voronoi.scaled("embedding", 256)).select(
+        "query_id", "rank", F.col("id").alias("vec_id"), "score")
