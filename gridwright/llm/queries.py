@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import jaccard, mixing, packing, preference, secret_scan, toxicity, voronoi, warc, winnowing
+from gridwright.llm import jaccard, mixing, packing, page_text, preference, secret_scan, toxicity, voronoi, warc, winnowing
 from gridwright.llm.frames import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,8 @@ def op2_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     return voronoi.top_k(vectors, F.col("vec_id") % 50 == 0, 5, "vec_id", voronoi.scaled("embedding", 256)).select(
         "query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op3_page_text")
+def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
