@@ -30,7 +30,7 @@ import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +42,13 @@ from gridwright.llm.frames import column, ragged, slices, text_of
 
 TIERS = (4096, 2048, 1024, 512, 256)
 #: Distinct words whose ids a worker keeps.
-WORD_CACHE = 500_000
+WORD_CACHE = 600_000
 #: Bytes of text tokenized at once, a longer text apart.
 TEXT_RUN = 8 << 20
 
 
-#: Signs that are kept apart from the word they end.
-SIGNS = ("", ".", ",")
+#: A small letter that always ends a token where a point or comma, the last of a word, follows.
+_SIGNED = "[a-z\u00df-\u00f6\u00f8-\u00ff][.,]$"
 
 
 class WordIds:
@@ -65,75 +65,57 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.seen: dict[str, int] = {}
         self.known: dict[str, int] = {}
         self.flat = np.empty(0, dtype=np.uint32)
         self.starts = np.empty(0, dtype=np.int64)
         self.lengths = np.empty(0, dtype=np.int64)
 
     def numbers(self, words: Sequence[str]) -> np.ndarray:
-        """The number of each word; new ones are tokenized."""
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if new:
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.flat = np.concatenate([self.flat, np.array([x for one in ids for x in one], dtype=np.uint32)])
-        return np.array([self.known[w] for w in words], dtype=np.int64)
-
-    def codes(self, words: Sequence[str]) -> np.ndarray:
-        """Per word as it stands in a text: three times the number of its stem, plus that of its sign."""
-        found = np.fromiter(map(self.seen.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        """The number of each of some distinct words; new ones are tokenized."""
+        found = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         new = np.flatnonzero(found < 0)
         if len(new):
             fresh = [words[i] for i in new.tolist()]
-            stems, signs = zip(*map(_split, fresh))
-            found[new] = 3 * self.numbers(stems) + np.fromiter(map(SIGNS.index, signs), dtype=np.int64, count=len(new))
-            self.seen.update(zip(fresh, found[new].tolist()))
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+            lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lengths.sum()))
+            found[new] = len(self.known) + np.arange(len(new))
+            self.known.update(zip(fresh, found[new].tolist()))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.flat = np.concatenate([self.flat, flat])
         return found
 
 
 _WORDS: dict[str, WordIds] = {}
 
 
-def _split(word: str) -> tuple[str, str]:
-    """A word as the tokenizer will see it, and the sign that ends it.
-
-    Up to U+00FF small letters are the same everywhere and nothing composes, so
-    the word may be put in small letters; and a letter before a final point or
-    comma always ends a token. Other words are left as they are, and so are
-    those that may hold a special token.
-    """
-    if word and max(word) <= "\xff" and "<|" not in word:
-        low = word.lower()
-        if low[-1] in ".," and low[-2:-1].isalpha():
-            return low[:-1], low[-1]
-        return low, ""
-    return word, ""
-
-
 def token_ids(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, each text followed by ``end_id``, and where each text ends.
 
-    The tokenizer drops white space and lets nothing span it, so a text's ids are
-    those of its words in turn. Every distinct word is tokenized once.
+    The tokenizer puts everything in small letters, drops white space and lets
+    nothing span it, so a text's ids are those of its words in turn. Every
+    distinct word is tokenized once, without the point or comma that ends it.
+    (Capitals stay where a text may hold a special token.)
     """
     if path not in _WORDS:
         _WORDS[path] = WordIds(path)
-    words = _WORDS[path]
-    if len(words.seen) > WORD_CACHE:
-        words.clear()
-    split = pc.ascii_split_whitespace(texts)
+    known = _WORDS[path]
+    if len(known.known) > WORD_CACHE:
+        known.clear()
+    split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
     counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = split.flatten().dictionary_encode()
-    stem, sign = np.divmod(words.codes(coded.dictionary.to_pylist()), 3)
-    sign = words.numbers(SIGNS)[sign]
+    words = coded.dictionary
+    signed = pc.match_substring_regex(words, _SIGNED)
+    stems = pc.if_else(signed, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+    point = pc.ends_with(words, ".").to_numpy(zero_copy_only=False)
+    stem = known.numbers(stems.dictionary.to_pylist())[stems.indices.to_numpy(zero_copy_only=False)]
+    sign = known.numbers(["", ".", ","])[np.where(signed.to_numpy(zero_copy_only=False), np.where(point, 1, 2), 0)]
     use = coded.indices.to_numpy(zero_copy_only=False)
     parts = np.column_stack([stem[use], sign[use]]).ravel()  # each word, then its sign
-    sizes = words.lengths[parts]
-    ids = ragged(words.flat, words.starts[parts], sizes)
+    sizes = known.lengths[parts]
+    ids = ragged(known.flat, known.starts[parts], sizes)
     reached = np.concatenate([[0], np.cumsum(sizes)])
     ends = reached[2 * np.cumsum(counts)]
     return np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1)
