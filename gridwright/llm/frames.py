@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from gridwright.session import scratch_path
 
@@ -45,6 +46,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_columns(df: DataFrame, rows: Callable[[list[pa.Array]], list[pa.Array]], schema: StructType) -> DataFrame:
+    """``mapInArrow`` on columns by their places, so their names may be anything: ``rows`` turns those of a batch into new ones."""
+    def placed(fields: int) -> list[str]:
+        return [f"c{i}" for i in range(fields)]
+
+    names = placed(len(schema))
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(rows(batch.columns), names)
+
+    kinds = StructType([StructField(n, f.dataType) for n, f in zip(names, schema)])
+    return df.toDF(*placed(len(df.columns))).mapInArrow(mapped, kinds).toDF(*schema.names)
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``limit`` bytes of text, one row at least."""
     sizes = np.nan_to_num(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False)).astype(np.int64)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwright.llm.frames import WORD, column, text_of
+from gridwright.llm.frames import WORD, column, map_columns, text_of
 from gridwright.session import checkpoint
 
 #: Slots that one task maps to blocks.
@@ -236,28 +236,26 @@ def texts(
     runs = runs.groupBy(*key, "size").agg(F.collect_list("runs").alias("visits"))
     rows = docs.withColumns({
         " key": _row_key(id_column, source_column, text_of(text_column)), " id": column(id_column),
-    }).dropDuplicates([" key", " id"])
+    }).dropDuplicates([" key", " id"]).select(" key", " id", F.struct(*[column(c) for c in keep]).alias("kept"))
     both = rows.join(runs.hint("merge"), (rows[" key"] == runs["row_key"]) & rows[" id"].eqNullSafe(runs["doc_id"]))
-    part = both.select(*[rows["`" + c + "`"] for c in keep], runs["size"].alias(" size"), F.explode("visits").alias(" runs"))
-    schema = part.select(*[column(c) for c in keep]).schema
+    part = both.select("kept", "size", F.explode("visits").alias("runs")).select("kept.*", "size", "runs")
     place = list(keep).index(text_column)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, size, runs in zip(*(batch.column(i).to_pylist() for i in (place, len(keep), len(keep) + 1))):
-                joined: list[list[int]] = []
-                for run in runs:
-                    if joined and joined[-1][1] == run["from_word"]:
-                        joined[-1][1] = run["to_word"]
-                    else:
-                        joined.append([run["from_word"], run["to_word"]])
-                if joined != [[0, size]]:
-                    spans = [m.span() for m in _WORDS.finditer(text)]
-                    text = "\n".join(text[spans[a][0]: spans[b - 1][1]] for a, b in joined)
-                out.append(text)
-            columns = list(batch.columns[: len(keep)])
-            columns[place] = pa.array(out, type=columns[place].type)
-            yield pa.RecordBatch.from_arrays(columns, list(keep))
-
-    return part.mapInArrow(cut, schema)
+    def cut(columns: list[pa.Array]) -> list[pa.Array]:
+        out = []
+        for text, size, runs in zip(*(columns[i].to_pylist() for i in (place, len(keep), len(keep) + 1))):
+            joined: list[list[int]] = []
+            for run in runs:
+                if joined and joined[-1][1] == run["from_word"]:
+                    joined[-1][1] = run["to_word"]
+                else:
+                    joined.append([run["from_word"], run["to_word"]])
+            if joined != [[0, size]]:
+                spans = [m.span() for m in _WORDS.finditer(text)]
+                text = "\n".join(text[spans[a][0]: spans[b - 1][1]] for a, b in joined)
+            out.append(text)
+        columns = list(columns[: len(keep)])
+        columns[place] = pa.array(out, type=columns[place].type)
+        return columns
+
+    return map_columns(part, cut, docs.select(*[column(c) for c in keep]).schema)

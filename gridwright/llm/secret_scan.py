@@ -33,7 +33,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.frames import column, text_of
+from gridwright.llm.frames import column, map_columns, text_of
 from gridwright.session import checkpoint
 
 #: Words that announce a credential.
@@ -260,21 +260,17 @@ def redact(docs: DataFrame, model: SecretModel, text_column: str = "text", path_
     """The rows as they are, with every secret in the text column replaced by ``mark``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_column)
-    names = docs.columns
 
-    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(place).to_pylist()
-            paths = batch.column(batch.num_columns - 1).to_pylist()
-            out = []
-            for text, found in zip(texts, _scored(shared.value, [t or "" for t in texts], paths)):
-                for a, b, score in reversed(found):
-                    if score >= 0.5:
-                        text = text[:a] + mark + text[b:]
-                out.append(text)
-            columns = list(batch.columns[:-1])
-            columns[place] = pa.array(out, type=columns[place].type)
-            yield pa.RecordBatch.from_arrays(columns, names)
+    def cleaned(columns: list[pa.Array]) -> list[pa.Array]:
+        *columns, paths = columns
+        texts, out = columns[place].to_pylist(), []
+        for text, found in zip(texts, _scored(shared.value, [t or "" for t in texts], paths.to_pylist())):
+            for a, b, score in reversed(found):
+                if score >= 0.5:
+                    text = text[:a] + mark + text[b:]
+            out.append(text)
+        columns[place] = pa.array(out, type=columns[place].type)
+        return columns
 
     path = F.lit("") if path_column is None else text_of(path_column)
-    return docs.select(*[column(c) for c in names], path.alias("path of the row")).mapInArrow(cleaned, docs.schema)
+    return map_columns(docs.select(*[column(c) for c in docs.columns], path), cleaned, docs.schema)

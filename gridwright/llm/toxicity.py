@@ -32,7 +32,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.frames import column, text_of
+from gridwright.llm.frames import column, map_columns, text_of
 
 SIZES = (3, 4, 5, 6)
 HASH_BITS = 20
@@ -212,17 +212,15 @@ def score(
     # fixed size: 2 ** HASH_BITS slots and at most `features` weights
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(columns: list[pa.Array]) -> list[pa.Array]:
         model = shared.value
-        for batch in batches:
-            text, slot = _found(batch.column(0), model.slots)
-            sums = np.bincount(text, weights=model.weights[slot], minlength=batch.num_rows) + model.bias
-            values = pa.array(1.0 / (1.0 + np.exp(-np.clip(sums, -500, 500))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], values], [*batch.schema.names[1:], "score"])
+        text, slot = _found(columns[0], model.slots)
+        sums = np.bincount(text, weights=model.weights[slot], minlength=len(columns[0])) + model.bias
+        return [*columns[1:], pa.array(1.0 / (1.0 + np.exp(-np.clip(sums, -500, 500))))]
 
     kept = [column(id_column).alias("doc_id")] if keep is None else [column(c) for c in keep]
     wanted = docs.select(*kept).schema.add("score", "double")
-    return docs.select(text_of(text_column).alias("text of the row"), *kept).mapInArrow(scored, wanted)
+    return map_columns(docs.select(text_of(text_column), *kept), scored, wanted)
 
 
 def held_out(id_column: str = "doc_id") -> F.Column:

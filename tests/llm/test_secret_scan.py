@@ -1,0 +1,94 @@
+import random
+import string
+
+import pytest
+from pyspark.sql import functions as F
+
+from gridwright.llm import queries, secret_scan
+from tests.llm.cases import no_documents, odd_documents, prose
+
+
+def findings_by_hand():
+    """Texts with secrets and look-alikes, and the values that are secrets."""
+    rng = random.Random(4)
+    rows, secret = [], set()
+    for i in range(160):
+        hexes = "".join(rng.choice("0123456789abcdef") for _ in range(32))
+        key = "AKIA" + "".join(rng.choice(string.ascii_uppercase + string.digits) for _ in range(16))
+        kind = i % 5
+        middle = [f"password={hexes}", key, f"card {rng.randrange(10**15, 10**16)}", f"order 2024-{i:04d}-0001", f'token = "{hexes}"'][kind]
+        if kind in (0, 1, 4):
+            secret.add(hexes if kind != 1 else key)
+        rows.append((i, f"{prose(i, 30)} {middle} {prose(-i - 1, 20)}", "src/app.py" if i % 2 else "docs/readme.md"))
+    return rows, secret
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    rows, secret = findings_by_hand()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    dictionary = secret_scan.dictionary_of(docs)
+    found = secret_scan.findings(docs.filter("doc_id % 4 > 0"), dictionary)
+    labelled = found.withColumn("label", F.col("value").isin(list(secret)).cast("int"))
+    return docs, secret, secret_scan.fit(labelled, dictionary)
+
+
+def test_candidates_hold_every_secret():
+    rows, secret = findings_by_hand()
+    found = {text[a:b] for _, text, _ in rows for a, b in secret_scan.candidates(text)}
+    assert secret <= found and len(found) > len(secret)
+    block = "x -----BEGIN RSA PRIVATE KEY-----\nAAAA\n-----END RSA PRIVATE KEY----- y"
+    assert [block[a:b] for a, b in secret_scan.candidates(block)] == [block[2:-2]]
+
+
+def test_held_out_findings(spark, trained):
+    docs, secret, model = trained
+    held = {r["doc_id"]: r["text"] for r in docs.filter("doc_id % 4 = 0").collect()}
+    rows = secret_scan.scan(docs.filter("doc_id % 4 = 0"), model).collect()
+    wrong = [r for r in rows if (held[r["doc_id"]][r["start"]: r["end"]] in secret) != bool(r["secret"])]
+    assert len(rows) >= 40 and len(wrong) <= 1
+
+
+def test_trees_vote_as_the_library_does(spark, trained):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    docs, secret, model = trained
+    found = secret_scan.findings(docs, model.dictionary).withColumn("label", F.col("value").isin(list(secret)).cast("double"))
+    rows = found.select("label", array_to_vector("features").alias("features"), F.col("features").alias("plain"))
+    fitted = RandomForestClassifier(numTrees=7, maxDepth=4, seed=1).fit(rows)
+    mine = secret_scan.SecretModel([secret_scan._tree(t.toDebugString) for t in fitted.trees])
+    for r in rows.collect():
+        votes = sum(t.predict(r["features"]) for t in fitted.trees) / 7
+        assert mine.score(__import__("numpy").array([r["plain"]]))[0] == pytest.approx(votes)
+
+
+def test_redaction_keeps_the_rest(spark, trained):
+    docs, secret, model = trained
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in secret_scan.redact(docs, model).collect():
+        assert not any(s in r["text"] for s in secret)
+        if r["doc_id"] % 5 in (2, 3):
+            assert r["text"] == before[r["doc_id"]]
+
+
+def test_odd_rows_and_no_rows(spark, trained):
+    model = trained[2]
+    odd = odd_documents(spark)
+    out = secret_scan.redact(odd, model)
+    assert out.columns == odd.columns and out.count() == odd.count()
+    assert sorted(map(str, out.collect())) == sorted(map(str, odd.collect()))
+    assert secret_scan.scan(odd, model).columns == ["doc_id", "start", "end", "value_sha256", "score", "secret"]
+    none = no_documents(spark)
+    assert secret_scan.scan(none, model).count() == 0
+    unlabelled = secret_scan.fit(secret_scan.findings(none).withColumn("label", F.lit(1)), frozenset())
+    assert secret_scan.scan(trained[0], unlabelled).filter("secret = 0").count() == 0
+
+
+def test_query(spark, sf):
+    rows = queries.QUERIES["op9_secret_scan"](spark, sf).collect()
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in rows:
+        value, before = text[r["doc_id"]][r["start"]: r["end"]], text[r["doc_id"]][: r["start"]]
+        assert bool(r["secret"]) == (value.startswith("AKIA") or before.endswith(("password=", 'token = "')))
+    assert any(r["secret"] for r in rows) and not all(r["secret"] for r in rows)
