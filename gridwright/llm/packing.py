@@ -229,19 +229,20 @@ def pack(
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 33
-        packer, windows, groups = Packer(tiers), 0, {}
+        packer, windows, steps = Packer(tiers), 0, 0
+        groups: dict[int, tuple[int, int]] = {}  # per tier the step group being filled, and the tokens in it
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_id"]
         doc_type = None
 
         def rows(made: Iterator[tuple[int, list[Piece]]]) -> Iterator[pa.RecordBatch]:
-            nonlocal windows
+            nonlocal windows, steps
             out: list[tuple] = []
             ids: list[np.ndarray] = []
             for tier, window in made:
                 offset = 0
-                number, filled = groups.get(tier, (len(groups), 0))
-                if filled + tier > max(step_tokens, tier):
-                    number, filled = max(n for n, _ in groups.values()) + 1, 0
+                number, filled = groups.get(tier, (0, step_tokens))
+                if filled + tier > step_tokens:
+                    number, filled, steps = steps, 0, steps + 1
                 groups[tier] = (number, filled + tier)
                 for p in window:
                     out.append((p.doc, p.start, p.length, zlib.crc32(p.ids.astype("<u4").tobytes()), p.doc_tokens,
