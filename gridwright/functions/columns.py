@@ -40,6 +40,15 @@ def as_double(df: DataFrame, name: str) -> Column:
     return col(name).cast("double")
 
 
+def order_text(df: DataFrame, name: str) -> Column:
+    """A key as text whose order is the key's own: whole numbers of any sign and length, other values as they are."""
+    c = col(name)
+    if not isinstance(df.schema[name].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return c.cast("string")
+    low = c.cast("long").bitwiseAND(F.lit(2**63 - 1)).cast("string")  # a negative number counts up from the smallest
+    return F.concat(F.when(c < 0, "0").otherwise("1"), F.lpad(low, 19, "0"))
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Make NULL the only missing marker (one projection, no shuffle)."""
     out = []

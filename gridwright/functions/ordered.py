@@ -74,25 +74,32 @@ def selected_quantiles(
     """
     columns = list(columns)
     data = df.select(*[as_double(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    # infinities and NaN (which comes last) are counted apart; ranges are finite
     head = data.agg(*[
-        f(f"v{i}").alias(f"{s}{i}") for i in range(len(columns))
-        for s, f in (("n", F.count), ("a", F.min), ("b", F.max))
+        f(F.col(f"v{i}")).alias(f"{s}{i}") for i in range(len(columns))
+        for s, f in (
+            ("n", F.count), ("a", lambda v: F.min(_finite(v))), ("b", lambda v: F.max(_finite(v))), ("f", lambda v: F.count(_finite(v))),
+            ("l", lambda v: F.count_if(v == float("-inf"))), ("x", lambda v: F.count_if(F.isnan(v))))
     ]).first()
     sizes = [head[f"n{i}"] for i in range(len(columns))]
-    wanted = [
-        sorted({k for p in probabilities for k in _rank_pair(p, n)[:2]}) if n else [] for n in sizes
-    ]
     found: dict[tuple[int, int], float] = {}
+    wanted = []
+    for i, n in enumerate(sizes):
+        ranks = sorted({k for p in probabilities for k in _rank_pair(p, n)[:2]}) if n else []
+        lowest, finite_until, last = head[f"l{i}"], head[f"l{i}"] + head[f"f{i}"], n - head[f"x{i}"]
+        found.update({(i, k): float("-inf") for k in ranks if k < lowest})
+        found.update({(i, k): float("inf") if k < last else float("nan") for k in ranks if k >= finite_until})
+        wanted.append([k for k in ranks if lowest <= k < finite_until])
     # open ranges [low, high] of a column: rows below, rows inside, ranks to find
     spans = []
     for i, n in enumerate(sizes):
         if not n:
             continue
         low, high = head[f"a{i}"], head[f"b{i}"]
-        if low == high or not math.isfinite(high - low):
-            spans.append((i, low, high, 0, 0, wanted[i]))
-        else:
-            spans.append((i, low, high, 0, n, wanted[i]))
+        if low == high:
+            found.update({(i, k): low for k in wanted[i]})
+        elif wanted[i]:
+            spans.append((i, low, high, head[f"l{i}"], head[f"f{i}"], wanted[i]))
     while spans:
         fine = [s for s in spans if s[4] <= rows_per_pick]
         wide = [s for s in spans if s[4] > rows_per_pick]
@@ -110,7 +117,9 @@ def selected_quantiles(
                     at += n
         if wide:
             def slot(v, low, high):
-                return F.least(F.floor((v - F.lit(low)) / F.lit((high - low) / bins)), F.lit(bins - 1).cast("long"))
+                # halves, as the whole range may be more than a double holds
+                share = (v / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
+                return F.least(F.floor(share * bins), F.lit(bins - 1).cast("long"))
 
             cells = _span_cells(wide, slot)
             rows = data.select(F.explode(cells).alias("c")).filter("c IS NOT NULL").select(
@@ -142,6 +151,10 @@ def selected_quantiles(
     return out
 
 
+def _finite(v: Column) -> Column:
+    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+
+
 def _span_cells(spans: Sequence[tuple], place) -> Column:
     """Array with one entry per span that holds the row's value."""
     entries = []

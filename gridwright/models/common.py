@@ -151,8 +151,8 @@ def sum_over_rows(df: DataFrame, columns: Sequence[str], size: int,
                   fn: Callable[[np.ndarray], np.ndarray], largest: int = 0) -> np.ndarray:
     """Sum of a per-batch vector over all rows (its last ``largest`` cells: the maximum).
 
-    Each task adds up its batches; the cells are then combined by a hash
-    aggregation, so the driver receives ``size`` numbers however many tasks ran.
+    Each task adds up its batches into one row; those are added up by a few
+    tasks, so the driver receives a few rows however many tasks ran.
     """
     narrow = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     plain = size - largest
@@ -169,16 +169,35 @@ def sum_over_rows(df: DataFrame, columns: Sequence[str], size: int,
                 total[:plain] += part[:plain]
                 total[plain:] = np.maximum(total[plain:], part[plain:])
         if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(size, dtype="int32")), pa.array(total)], names=["i", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([total])], names=["v"])
 
-    combined = F.when(F.col("i") < plain, F.sum("v")).otherwise(F.max("v"))
-    cells = narrow.mapInArrow(partial, "i int, v double").groupBy("i").agg(combined.alias("v")).toPandas()
+    parts = [np.array(r["v"]) for r in added_up(narrow.mapInArrow(partial, "v array<double>"), plain).collect()]
     out = np.zeros(size)
-    out[cells["i"]] = cells["v"]
+    if parts:
+        out[:plain] = np.sum([p[:plain] for p in parts], axis=0)
+        out[plain:] = np.max([p[plain:] for p in parts], axis=0)
     return out
 
 
+def added_up(partials: DataFrame, plain: int) -> DataFrame:
+    """One row of sums (``v``; from cell ``plain`` on: maxima) a task of a few, from one row a task of many."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for one in b.column(0):
+                v = one.values.to_numpy()
+                if total is None:
+                    total = v.copy()
+                else:
+                    total[:plain] += v[:plain]
+                    total[plain:] = np.maximum(total[plain:], v[plain:])
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total])], names=["v"])
+
+    width = max(1, min(32, partials.sparkSession.sparkContext.defaultParallelism // 4))
+    return partials.repartition(width).mapInArrow(add, "v array<double>")
+
+
 def fit_margins(
     df: DataFrame,
     features: Sequence[str],

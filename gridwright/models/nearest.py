@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.functions.columns import col
+from gridwright.functions.columns import col, order_text
 from gridwright.models.base import FittedStage
 from gridwright.models.common import Problem
 from gridwright.operators.neighbors import feature_array, knn_join
@@ -35,11 +35,14 @@ class NearestNeighbors(FittedStage):
 
 
 def nearest_neighbors(df: DataFrame, problem: Problem, params: dict) -> NearestNeighbors:
-    # ties go to the smaller key; zero-padding keeps text order equal to number order
-    key = problem.settings.get("key")
-    row = col(key) if key else F.monotonically_increasing_id()
-    train = checkpoint(df.select(
-        F.lpad(row.cast("string"), 20, "0").alias("did"),
+    # ties go to the smaller key
+    keys = problem.settings.get("key") or []
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    row = F.concat_ws("\x01", *[order_text(df, k) for k in keys]) if keys else order_text(
+        df.withColumn("_row", F.monotonically_increasing_id()), "_row")
+    rows = df if keys else df.withColumn("_row", F.monotonically_increasing_id())
+    train = checkpoint(rows.select(
+        row.alias("did"),
         feature_array(df, problem.features).alias("x"), col(problem.label).cast("double").alias("v")))
     return NearestNeighbors(
         {"features": problem.features, "k": int(params.get("n_neighbors", 5)),

@@ -102,8 +102,9 @@ class Gram:
 def grams(df: DataFrame, columns: Sequence[str], group: str | None = None) -> dict[int, Gram]:
     """Cross products of numeric columns without missing values, per group number.
 
-    One pass over the data for all groups. The shift is the mean of a few rows; it
-    only keeps the sums well conditioned and drops out of every result.
+    One pass over the data for all groups. Every task gives count, mean and cross
+    products about that mean as one row a group; a few tasks merge those pairwise,
+    so nothing depends on the order or the layout of the rows.
     """
     columns = list(columns)
     p = len(columns)
@@ -111,40 +112,70 @@ def grams(df: DataFrame, columns: Sequence[str], group: str | None = None) -> di
         (F.col(group).cast("int") if group else F.lit(0)).alias("g"),
         *[as_double(df, c).alias(f"x{i}") for i, c in enumerate(columns)],
     )
-    head = narrow.limit(1000).agg(*[F.avg(f"x{i}") for i in range(p)]).first()
-    shift = np.array([v if v is not None else 0.0 for v in head], dtype=float)
+    upper = np.triu_indices(p)
+
+    def row(k: int, n: float, mean: np.ndarray, scatter: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k], type=pa.int32()), pa.array([n]), pa.array([mean]), pa.array([scatter[upper]])], names=["g", "n", "mean", "s"])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[int, tuple] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            g = batch.column(0).to_numpy(zero_copy_only=False)
-            x = np.column_stack([np.ones(batch.num_rows), _matrix(batch, 1) - shift])
+            g, x = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch, 1)
             for k in np.unique(g):
                 part = x[g == k]
-                total[k] = total.get(k, 0.0) + part.T @ part
-        i, j = np.triu_indices(p + 1)
-        for k, t in total.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(i), k, dtype="int32")), pa.array(i.astype("int32")),
-                 pa.array(j.astype("int32")), pa.array(t[i, j])],
-                names=["g", "i", "j", "s"],
-            )
-
-    cells = (
-        narrow.mapInArrow(sums, "g int, i int, j int, s double")
-        .groupBy("g", "i", "j").agg(F.sum("s").alias("s")).toPandas()
-    )
+                mean = part.mean(axis=0)
+                total[k] = _merged(total.get(k), (float(len(part)), mean, (part - mean).T @ (part - mean)))
+        for k, one in total.items():
+            yield row(k, *one)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, tuple] = {}
+        for batch in batches:
+            for k, *one in zip(*(c.to_pylist() for c in batch.columns)):
+                total[k] = _merged(total.get(k), _unfolded(*one))
+        for k, one in total.items():
+            yield row(k, *one)
+
+    kind = "g int, n double, mean array<double>, s array<double>"
+    width = max(1, min(32, df.sparkSession.sparkContext.defaultParallelism // 4))
+    found: dict[int, tuple] = {}
+    for r in narrow.mapInArrow(sums, kind).repartition(width).mapInArrow(merge, kind).collect():  # a row a group and merging task
+        found[r["g"]] = _merged(found.get(r["g"]), _unfolded(r["n"], r["mean"], r["s"]))
+    if not found:
+        return {}
+    everything = None
+    for one in found.values():
+        everything = _merged(everything, one)
+    shift = everything[1]
     out = {}
-    for k, part in cells.groupby("g"):
+    for k, (n, mean, scatter) in found.items():
         full = np.zeros((p + 1, p + 1))
-        full[part["i"], part["j"]] = part["s"]
-        full[part["j"], part["i"]] = part["s"]
+        full[0, 0] = n
+        full[0, 1:] = full[1:, 0] = n * (mean - shift)
+        full[1:, 1:] = scatter + n * np.outer(mean - shift, mean - shift)
         out[int(k)] = Gram(shift, full)
     return out
 
 
+def _unfolded(n: float, mean: Sequence[float], upper: Sequence[float]) -> tuple[float, np.ndarray, np.ndarray]:
+    p = len(mean)
+    scatter = np.zeros((p, p))
+    scatter[np.triu_indices(p)] = upper
+    return n, np.array(mean, dtype=float), scatter + np.triu(scatter, 1).T
+
+
+def _merged(one: tuple | None, other: tuple) -> tuple[float, np.ndarray, np.ndarray]:
+    """Count, mean and cross products about the mean of two sets of rows together."""
+    if one is None:
+        return other
+    n = one[0] + other[0]
+    gap = other[1] - one[1]
+    return n, one[1] + gap * (other[0] / n), one[2] + other[2] + np.outer(gap, gap) * (one[0] * other[0] / n)
+
+
 def gram(df: DataFrame, columns: Sequence[str]) -> Gram:
     return grams(df, columns).get(0) or Gram(
         np.zeros(len(columns)), np.zeros((len(columns) + 1, len(columns) + 1)))

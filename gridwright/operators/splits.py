@@ -21,8 +21,8 @@ def _place(df: DataFrame, keys: Sequence[str], groups: Sequence[str], ranks: Seq
     hashed = df.withColumn("_h", hash_key(keys, seed))
     cuts = rank_cutoffs(hashed, groups, ranks)
     if groups:
-        # rows without a label belong to no stratum
-        joined = join_sized(hashed, cuts, groups)
+        # rows without a label belong to no stratum: they stay, without a mark
+        joined = join_sized(hashed, cuts, groups, "left")
     else:
         row = cuts.first()
         found = row["cutoffs"] if row else [""] * len(ranks)
@@ -32,7 +32,10 @@ def _place(df: DataFrame, keys: Sequence[str], groups: Sequence[str], ranks: Seq
 
 def holdout(df: DataFrame, keys: Sequence[str], test_size: float = 0.2,
             label: str | None = None, seed: int | str = 42, name: str = "is_test") -> DataFrame:
-    """Mark ``round(n * test_size)`` rows as test, per class when ``label`` is given."""
+    """Mark ``round(n * test_size)`` rows as test, per class when ``label`` is given.
+
+    A row without a label gets a NULL mark.
+    """
     take = F.round(F.col("n") * F.lit(test_size)).cast("long")
     return _place(
         df, keys, [label] if label else [], [take], seed,
@@ -42,7 +45,10 @@ def holdout(df: DataFrame, keys: Sequence[str], test_size: float = 0.2,
 
 def folds(df: DataFrame, keys: Sequence[str], k: int = 5, label: str | None = None,
           seed: int | str = 42, name: str = "fold") -> DataFrame:
-    """Fold ``floor((rank - 1) * k / n)``: sizes differ by one row at most."""
+    """Fold ``floor((rank - 1) * k / n)``: sizes differ by one row at most.
+
+    A row without a label gets a NULL fold.
+    """
     # last rank of fold f is ceil((f + 1) * n / k)
     ends = [F.ceil(F.col("n") * F.lit(f + 1) / F.lit(k)).cast("long") for f in range(k - 1)]
 
@@ -51,7 +57,7 @@ def folds(df: DataFrame, keys: Sequence[str], k: int = 5, label: str | None = No
         total = passed[0]
         for p in passed[1:]:
             total = total + p
-        return total.alias(name)
+        return F.when(cuts.isNotNull(), total).alias(name)
 
     return _place(df, keys, [label] if label else [], ends, seed, fold)
 
@@ -66,6 +72,6 @@ def nested_samples(df: DataFrame, keys: Sequence[str], shares: Sequence[float],
         out = F.lit(len(shares))
         for i in reversed(range(len(shares))):
             out = F.when(F.col("_h") <= cuts[i], F.lit(i)).otherwise(out)
-        return out.alias(name)
+        return F.when(cuts.isNotNull(), out).alias(name)
 
     return _place(df, keys, list(groups), ranks, seed, step)

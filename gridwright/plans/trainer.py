@@ -213,7 +213,8 @@ def split(df: DataFrame, target: str, features: Sequence[str], keys: Sequence[st
     strata = LABEL if task == "classification" else None
     # written once: every fit of the search reads these columns again
     marked = checkpoint(holdout(narrow, keys, options.test_size, strata))
-    problem = Problem(list(features), task, n_classes=len(labels) if labels else 0)
+    # neighbours at equal distance go by these keys, whatever the layout of the rows
+    problem = Problem(list(features), task, n_classes=len(labels) if labels else 0, settings={"key": list(keys)})
     train, test = marked.filter("NOT is_test").drop("is_test"), marked.filter("is_test").drop("is_test")
     train = spread(checkpoint(folds(train, keys, options.cv_folds, strata)))
     return problem, labels, train, test
@@ -232,7 +233,7 @@ def train(df: DataFrame, target: str, features: Sequence[str], keys: Sequence[st
             row, model = _one(algorithm, problem, fit_rows, test_rows, scoring, options)
             models[algorithm.name] = model
         except Exception as error:  # noqa: BLE001 - one failure must not end the run
-            row = {"cv_mean": FAILED, "error": str(error)[:500]}
+            row = {"cv_mean": FAILED, "error": str(error)}
         row.update(name=algorithm.name, category=algorithm.category, position=position)
         row.setdefault("training_time", round(time.time() - started, 3))
         rows.append(row)

@@ -18,16 +18,19 @@ MISSING_TEXTS = [
 
 
 def read_table(spark: SparkSession, path: str, sep: str = ",",
-               schema: T.StructType | str | None = None) -> DataFrame:
+               schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
     """CSV with a header row.
 
+    Large files are read in parts. Where quoted fields hold line breaks, say
+    ``multi_line``: each file is then read whole by one task.
+
     With a schema the file is read once and typed by casts. Without one, every
     column is read as text and its narrowest type is found in one aggregate (whole
     number, number, boolean or text), after missing texts have become NULL.
     """
-    # double quotes inside quoted fields are doubled; fields may span lines
+    # double quotes inside quoted fields are doubled
     text = (spark.read.option("header", True).option("sep", sep).option("quote", '"')
-            .option("escape", '"').option("multiLine", True).csv(path))
+            .option("escape", '"').option("multiLine", multi_line).csv(path))
     text = text.select(*[
         F.when(~F.coalesce(col(c), F.lit("")).isin(MISSING_TEXTS), col(c)).alias(c) for c in text.columns
     ])
@@ -73,9 +76,10 @@ def _typed(text: DataFrame, kinds: dict[str, str]) -> DataFrame:
     ])
 
 
-def read_scoring(spark: SparkSession, path: str, training: T.StructType, sep: str = ",") -> DataFrame:
+def read_scoring(spark: SparkSession, path: str, training: T.StructType, sep: str = ",",
+                 multi_line: bool = False) -> DataFrame:
     """Rows to score, typed like the training table."""
-    return read_table(spark, path, sep, training)
+    return read_table(spark, path, sep, training, multi_line)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
