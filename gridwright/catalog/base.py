@@ -127,18 +127,19 @@ LANG_FEATURES = ["fr", "de", "es"]
 
 
 def _share_sql(letters: str) -> str:
-    return f"CAST(length(text) - length(translate(text, '{letters}', '')) AS DOUBLE) / length(text)"
+    return f"CASE WHEN length(text) > 0 THEN CAST(length(text) - length(translate(text, '{letters}', '')) AS DOUBLE) / length(text) ELSE 0 END"
 
 
 LANG_SQL = "SELECT doc_id, lang, " + ", ".join(
-    f"{_share_sql(v)} AS {k}" for k, v in ACCENTS.items()) + " FROM documents WHERE length(text) > 0"
+    f"{_share_sql(v)} AS {k}" for k, v in ACCENTS.items()) + " FROM documents"
 
 
 def languages(spark, sf) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf, "documents").filter(F.length(t) > 0).select(
+    # a text without characters has share 0 of every letter
+    return table(spark, sf, "documents").select(
         "doc_id", "lang",
-        *[(F.regexp_count(t, F.lit(f"[{v}]")).cast("double") / F.length(t)).alias(k)
+        *[F.when(F.length(t) > 0, F.regexp_count(t, F.lit(f"[{v}]")).cast("double") / F.length(t)).otherwise(0.0).alias(k)
           for k, v in ACCENTS.items()],
     )
 

@@ -60,30 +60,30 @@ CLASSIFIER_RUNS = {
     # query: (algorithm, parameters, input)
     "m01_logistic_regression": ("Logistic Regression", {"C": 1}, big_rows),
     "m01_logistic_regression_multiclass": ("Logistic Regression", {"C": 10}, lang_rows),
-    "m02_decision_tree": ("Decision Tree", {"max_depth": 5, "min_samples_split": 2}, lang_rows),
+    "m02_decision_tree": ("Decision Tree", {"max_depth": 5, "min_samples_split": 10}, lang_rows),
     "m03_random_forest": ("Random Forest", {"n_estimators": 50, "max_depth": 10}, lang_rows),
-    "m04_gradient_boosting": ("Gradient Boosting", {"n_estimators": 20, "learning_rate": 0.2}, big_rows),
-    "m04_gradient_boosting_multiclass": ("Gradient Boosting", {"n_estimators": 10, "learning_rate": 0.2}, lang_rows),
-    "m05_ada_boost": ("AdaBoost", {"n_estimators": 15, "learning_rate": 1.0}, big_rows),
-    "m06_extra_trees": ("Extra Trees", {"n_estimators": 20, "max_depth": 8}, lang_rows),
-    "m07_histogram_boosting": ("Hist Gradient Boosting", {"learning_rate": 0.1, "max_iter": 20}, big_rows),
+    "m04_gradient_boosting": ("Gradient Boosting", {"n_estimators": 50, "learning_rate": 0.2}, big_rows),
+    "m04_gradient_boosting_multiclass": ("Gradient Boosting", {"n_estimators": 50, "learning_rate": 0.2}, lang_rows),
+    "m05_ada_boost": ("AdaBoost", {"n_estimators": 50, "learning_rate": 1.0}, big_rows),
+    "m06_extra_trees": ("Extra Trees", {"n_estimators": 50, "max_depth": 10}, lang_rows),
+    "m07_histogram_boosting": ("Hist Gradient Boosting", {"learning_rate": 0.1, "max_iter": 100}, big_rows),
     "m08_rbf_svm": ("SVM (RBF)", {"C": 10, "gamma": "scale"}, lang_rows),
-    "m12_perceptron": ("MLP Neural Network", {"hidden_layer_sizes": (64,), "activation": "relu", "max_iter": 40}, lang_rows),
+    "m12_perceptron": ("MLP Neural Network", {"hidden_layer_sizes": (64,), "activation": "relu"}, lang_rows),
     "m14_sgd_hinge": ("SGD Classifier", {"alpha": 0.0001, "loss": "hinge"}, big_rows),
     "m14_sgd_log_loss": ("SGD Classifier", {"alpha": 0.0001, "loss": "log_loss"}, lang_rows),
 }
 REGRESSOR_RUNS = {
     "m19_huber": ("Huber Regressor", {"epsilon": 1.35, "alpha": 0.0001}),
     "m20_bayesian_ridge": ("Bayesian Ridge", {"alpha_1": 1e-6, "lambda_1": 1e-6}),
-    "m21_decision_tree_regressor": ("Decision Tree", {"max_depth": 5, "min_samples_split": 2}),
+    "m21_decision_tree_regressor": ("Decision Tree", {"max_depth": 5, "min_samples_split": 5}),
     "m22_random_forest_regressor": ("Random Forest", {"n_estimators": 50, "max_depth": 10}),
-    "m23_gradient_boosting_regressor": ("Gradient Boosting", {"n_estimators": 20, "learning_rate": 0.1}),
-    "m24_ada_boost_regressor": ("AdaBoost", {"n_estimators": 10, "learning_rate": 0.5}),
-    "m25_extra_trees_regressor": ("Extra Trees", {"n_estimators": 10, "max_depth": 8}),
-    "m26_histogram_boosting_regressor": ("Hist Gradient Boosting", {"learning_rate": 0.1, "max_iter": 20}),
-    "m27_support_vector_regressor": ("SVR", {"C": 10, "kernel": "linear", "max_iter": 40}),
-    "m27_support_vector_regressor_rbf": ("SVR", {"C": 10, "kernel": "rbf", "gamma": "scale", "max_iter": 20}),
-    "m29_perceptron_regressor": ("MLP Neural Network", {"hidden_layer_sizes": (64,), "activation": "tanh", "max_iter": 40}),
+    "m23_gradient_boosting_regressor": ("Gradient Boosting", {"n_estimators": 50, "learning_rate": 0.1}),
+    "m24_ada_boost_regressor": ("AdaBoost", {"n_estimators": 50, "learning_rate": 0.5}),
+    "m25_extra_trees_regressor": ("Extra Trees", {"n_estimators": 50, "max_depth": 8}),
+    "m26_histogram_boosting_regressor": ("Hist Gradient Boosting", {"learning_rate": 0.1, "max_iter": 100}),
+    "m27_support_vector_regressor": ("SVR", {"C": 10, "kernel": "linear"}),
+    "m27_support_vector_regressor_rbf": ("SVR", {"C": 10, "kernel": "rbf", "gamma": "scale"}),
+    "m29_perceptron_regressor": ("MLP Neural Network", {"hidden_layer_sizes": (64,), "activation": "tanh"}),
     "m30_sgd_huber": ("SGD Regressor", {"alpha": 0.0001, "loss": "huber"}),
 }
 for _key, (_name, _params, _source) in CLASSIFIER_RUNS.items():
@@ -297,7 +297,7 @@ def _(spark, sf):
 
 @query("t07_random_search")
 def _(spark, sf):
-    return _search(spark, sf, find("classification", "Gaussian Naive Bayes").sample(2))
+    return _search(spark, sf, find("classification", "Gaussian Naive Bayes").sample(10))
 
 
 def _trained(spark, sf, names=("Gaussian Naive Bayes", "LDA", "Ridge Classifier")) -> T.Training:

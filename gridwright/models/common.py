@@ -8,6 +8,7 @@ doubles, one per class in class order).
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -207,7 +208,7 @@ def fit_margins(
     l2: float,
     mapping: Callable[[np.ndarray], np.ndarray] | None = None,
     center: bool = False,
-    max_iter: int = 100,
+    max_iter: int = 1000,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Minimise mean loss + l2/2 |W|^2 of linear margins, all outputs in each pass.
 
@@ -353,9 +354,16 @@ def logistic(df: DataFrame, features: Sequence[str], label: str, classes: Sequen
     return coef, w[:, p] - coef @ mean
 
 
+class NotConverged(UserWarning):
+    """A search stopped at its limit of steps."""
+
+
 def minimize(value_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray,
-             max_iter: int = 100, tolerance: float = 1e-5, memory: int = 10) -> np.ndarray:
-    """Limited-memory BFGS with a backtracking step; each call is one Spark job."""
+             max_iter: int = 1000, tolerance: float = 1e-5, memory: int = 10) -> np.ndarray:
+    """Limited-memory BFGS with a backtracking step; each call is one Spark job.
+
+    A search that ends at ``max_iter`` steps says so in a warning.
+    """
     x = start.copy()
     f, g = value_and_gradient(x)
     steps: list[np.ndarray] = []
@@ -393,4 +401,7 @@ def minimize(value_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]
             steps, changes = [*steps[-memory + 1:], s], [*changes[-memory + 1:], y]
         if done:
             break
+    else:
+        if max_iter and np.max(np.abs(g)) >= tolerance:
+            warnings.warn(f"not converged after {max_iter} steps", NotConverged, stacklevel=2)
     return x

@@ -81,7 +81,7 @@ def rbf_classifier(df: DataFrame, problem: Problem, params: dict) -> KernelMachi
     wanted = [1.0] if problem.n_classes == 2 else problem.classes
     coef, intercept = fit_margins(
         df, features, problem.label, len(wanted), hinge(wanted), 1.0 / (params.get("C", 1.0) * n),
-        mapping=lambda x: _cosines(x, w, b), max_iter=params.get("max_iter", 40))
+        mapping=lambda x: _cosines(x, w, b), max_iter=params.get("max_iter", 1000))
     model = KernelMachine({
         "features": features, "map": {"w": w.tolist(), "b": b.tolist()},
         "coef": coef.tolist(), "intercept": intercept.tolist(), "platt": []})
@@ -115,6 +115,6 @@ def support_vector_regressor(df: DataFrame, problem: Problem, params: dict) -> K
         return np.maximum(excess, 0.0), np.where(excess > 0, np.sign(residual), 0.0)
 
     coef, intercept = fit_margins(df, features, problem.label, 1, loss, 1.0 / (params.get("C", 1.0) * n),
-                                  mapping=mapping, center=True, max_iter=params.get("max_iter", 40))
+                                  mapping=mapping, center=True, max_iter=params.get("max_iter", 1000))
     return KernelMachine({"features": features, "map": state, "coef": coef.tolist(),
                           "intercept": intercept.tolist(), "platt": []})

@@ -51,7 +51,7 @@ def sgd_classifier(df: DataFrame, problem: Problem, params: dict) -> LinearScore
     wanted = [1.0] if problem.n_classes == 2 else problem.classes
     if params.get("loss", "hinge") == "hinge":
         coef, intercept = fit_margins(df, problem.features, problem.label, len(wanted), hinge(wanted), alpha,
-                                      max_iter=params.get("max_iter", 100))
+                                      max_iter=params.get("max_iter", 1000))
         return _scores(problem, coef, intercept, "scores")
     coef, intercept = logistic(df, problem.features, problem.label, wanted, alpha, joint=False)
     return _scores(problem, coef, intercept, "probability" if problem.n_classes == 2 else "sigmoid")
@@ -202,5 +202,5 @@ def sgd_regressor(df: DataFrame, problem: Problem, params: dict) -> LinearScores
         return value, np.clip(residual, -width, width)
 
     coef, intercept = fit_margins(df, problem.features, problem.label, 1, loss, params.get("alpha", 1e-4),
-                                  center=True, max_iter=params.get("max_iter", 200))
+                                  center=True, max_iter=params.get("max_iter", 1000))
     return _scores(problem, coef, intercept, "regression")

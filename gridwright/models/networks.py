@@ -109,7 +109,7 @@ def perceptron(df: DataFrame, problem: Problem, params: dict) -> Perceptron:
         value = total[0] + 0.5 * l2 / n * float(decay @ decay)
         return value, total[1:] + l2 / n * decay
 
-    theta = minimize(objective, start, params.get("max_iter", 200), 1e-4)
+    theta = minimize(objective, start, params.get("max_iter", 500), 1e-4)
     return Perceptron({
         "features": x, "weights": [w.tolist() for w in _unpack(theta, layers)],
         "activation": activation, "mean": mean.tolist(), "sd": sd.tolist(),

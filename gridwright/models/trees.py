@@ -3,7 +3,9 @@ extra trees grown level by level."""
 
 from __future__ import annotations
 
+import itertools
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +23,10 @@ from gridwright.models.base import FittedStage
 from gridwright.models.common import (
     VECTOR, Problem, argmax, fit_vector, score_matrix, softmax, sum_over_rows, with_outputs,
 )
+from gridwright.session import scratch_path
 
 # MLlib grows no deeper than this; stands for "no limit".
 DEEPEST = 30
-# Extra trees without a depth limit stop here; state grows with 2^depth.
-EXTRA_DEPTH = 12
 # Split candidates evaluated in one pass over the data.
 CELLS_PER_PASS = 200_000
 
@@ -35,12 +36,48 @@ def _depth(params: dict, default: int | None = None) -> int:
     return DEEPEST if depth is None else int(depth)
 
 
-def decision_tree(df: DataFrame, problem: Problem, params: dict) -> PipelineModel:
-    leaf = max(1, int(params.get("min_samples_split", 2)) // 2)
-    args = {"maxDepth": _depth(params), "minInstancesPerNode": leaf, "seed": problem.seed}
+def decision_tree(df: DataFrame, problem: Problem, params: dict) -> PipelineModel | RandomSplitForest:
+    """A node of fewer than ``min_samples_split`` rows is not split.
+
+    Growing goes from the root down, so cutting such nodes off the grown tree
+    leaves the tree that would have been grown under the rule.
+    """
+    least = int(params.get("min_samples_split", 2))
+    args = {"maxDepth": _depth(params), "seed": problem.seed}
     if problem.is_classification:
-        return fit_vector(DecisionTreeClassifier(**args), df, problem, "vector")
-    return fit_vector(DecisionTreeRegressor(**args), df, problem)
+        fitted = fit_vector(DecisionTreeClassifier(**args), df, problem, "vector")
+    else:
+        fitted = fit_vector(DecisionTreeRegressor(**args), df, problem)
+    return fitted if least <= 2 else _pruned(df, fitted.stages[1], problem, least)
+
+
+def _pruned(df: DataFrame, tree, problem: Problem, least: int) -> RandomSplitForest:
+    path = scratch_path(df.sparkSession, "tree")
+    tree.save(path)
+    nodes = {r["id"]: r for r in df.sparkSession.read.parquet(os.path.join(path, "data")).collect()}  # the model's own nodes
+    out: dict[str, list] = {name: [] for name in ("feature", "threshold", "left", "right", "value")}
+    gains = np.zeros(len(problem.features))
+    waiting = [(0, None, "")]
+    while waiting:
+        number, parent, side = waiting.pop()
+        node, here = nodes[number], len(out["feature"])
+        if parent is not None:
+            out[side][parent] = here
+        inner = node["leftChild"] >= 0 and node["rawCount"] >= least
+        out["feature"].append(node["split"]["featureIndex"] if inner else -1)
+        out["threshold"].append(node["split"]["leftCategoriesOrThreshold"][0] if inner else 0.0)
+        out["left"].append(-1), out["right"].append(-1)
+        stats = np.array(node["impurityStats"])
+        out["value"].append((stats / stats.sum()).tolist() if problem.is_classification else [node["prediction"]])
+        if inner:
+            gains[node["split"]["featureIndex"]] += node["gain"] * node["rawCount"]
+            waiting += [(node["rightChild"], here, "right"), (node["leftChild"], here, "left")]
+    return RandomSplitForest({"features": problem.features, "trees": [out], "classification": problem.is_classification,
+                              "importances": _shares(gains)})
+
+
+def _shares(gains: np.ndarray) -> list[float]:
+    return (gains / gains.sum() if gains.sum() > 0 else gains).tolist()
 
 
 def random_forest(df: DataFrame, problem: Problem, params: dict) -> PipelineModel:
@@ -75,10 +112,11 @@ def histogram_boosting(df: DataFrame, problem: Problem, params: dict) -> Pipelin
 
 # -- boosting by re-weighting ---------------------------------------------------------------
 
+# Quantiles tried as thresholds of a column (parameter ``cut_points``).
 BOOST_BINS = 64
 
 
-def _cut_points(df: DataFrame, features: list[str], bins: int = BOOST_BINS) -> list[np.ndarray]:
+def _cut_points(df: DataFrame, features: list[str], bins: int) -> list[np.ndarray]:
     grid = [i / bins for i in range(1, bins)]
     row = df.agg(*[
         F.percentile_approx(col(c).cast("double"), grid, 50 * bins).alias(str(i)) for i, c in enumerate(features)
@@ -96,7 +134,7 @@ def _grow(df: DataFrame, columns: list[str], cuts: list[np.ndarray], weigh, dept
     wide = max(len(c) for c in cuts) + 1
     stats = classes or 3
     tree = {"feature": np.array([-1]), "threshold": np.array([0.0]), "left": np.array([-1]),
-            "right": np.array([-1]), "value": [None], "weight": [None]}
+            "right": np.array([-1]), "value": [None], "weight": [None], "gains": np.zeros(p)}
     live = [0]
     for _ in range(depth):
         place = np.full(len(tree["feature"]), -1)
@@ -130,6 +168,7 @@ def _grow(df: DataFrame, columns: list[str], cuts: list[np.ndarray], weigh, dept
             if not gain[j, cut] > 1e-12 * max(1.0, float(np.abs(total).max())):
                 continue
             kids = [len(tree["feature"]), len(tree["feature"]) + 1]
+            tree["gains"][j] += gain[j, cut]
             tree["feature"][node], tree["threshold"][node] = j, cuts[j][cut]
             tree["left"][node], tree["right"][node] = kids
             for name, blank in (("feature", -1), ("threshold", 0.0), ("left", -1), ("right", -1)):
@@ -213,7 +252,7 @@ def ada_boost(df: DataFrame, problem: Problem, params: dict) -> BoostedRules:
     k = problem.n_classes if problem.is_classification else 0
     columns = [*problem.features, problem.label]
     p = len(problem.features)
-    cuts = _cut_points(df, problem.features)
+    cuts = _cut_points(df, problem.features, int(params.get("cut_points", BOOST_BINS)))
     trees: list[dict] = []
     weights: list[float] = []
     tops: list[float] = []
@@ -258,8 +297,9 @@ def ada_boost(df: DataFrame, problem: Problem, params: dict) -> BoostedRules:
         trees, weights, tops = [*trees, tree], [*weights, alpha], [*tops, top]
     if not trees:
         raise ValueError("no tree does better than chance")
+    drops = sum((w * np.array(_shares(t["gains"])) for t, w in zip(trees, weights)), np.zeros(p))
     return BoostedRules({"features": problem.features, "trees": [_rules(t) for t in trees],
-                         "weights": weights, "n_classes": k})
+                         "weights": weights, "n_classes": k, "importances": _shares(drops)})
 
 
 # -- extra trees ------------------------------------------------------------------------------
@@ -304,7 +344,7 @@ def extra_trees(df: DataFrame, problem: Problem, params: dict) -> RandomSplitFor
     classification = problem.is_classification
     n_trees = int(params.get("n_estimators", 100))
     limit = params.get("max_depth")
-    limit = EXTRA_DEPTH if limit is None else int(limit)
+    limit = None if limit is None else int(limit)  # None: until no split helps
     tries = max(1, int(math.sqrt(p))) if classification else p
     width = k if classification else 3
     rng = np.random.default_rng(problem.seed)
@@ -313,6 +353,7 @@ def extra_trees(df: DataFrame, problem: Problem, params: dict) -> RandomSplitFor
     forest = [{"feature": [-1], "threshold": [0.0], "left": [-1], "right": [-1], "value": [None]}
               for _ in range(n_trees)]
     open_nodes = [(t, 0) for t in range(n_trees)]
+    gains = np.zeros((n_trees, p))
 
     def stats_of(y: np.ndarray) -> np.ndarray:
         if classification:
@@ -376,7 +417,7 @@ def extra_trees(df: DataFrame, problem: Problem, params: dict) -> RandomSplitFor
             [got.column(f"s{c}").to_numpy() for c in range(cells)]) if got.num_rows else out[:0]
         return out
 
-    for level in range(limit + 1):
+    for level in itertools.count():
         if not open_nodes:
             break
         following = []
@@ -401,6 +442,7 @@ def extra_trees(df: DataFrame, problem: Problem, params: dict) -> RandomSplitFor
                 best = int(np.argmax(gain))
                 if gain[best] <= 1e-12:
                     continue
+                gains[t, picks[i, best]] += gain[best]
                 following.append((t, node, int(picks[i, best]), float(cut[rows][best])))
         for t, node, value in grown:
             forest[t]["value"][node] = value
@@ -413,7 +455,8 @@ def extra_trees(df: DataFrame, problem: Problem, params: dict) -> RandomSplitFor
             for name, blank in (("feature", -1), ("threshold", 0.0), ("left", -1), ("right", -1), ("value", None)):
                 tree[name] += [blank, blank]
             open_nodes += [(t, left), (t, left + 1)]
-    return RandomSplitForest({"features": x, "trees": forest, "classification": classification})
+    drops = np.mean([_shares(g) for g in gains], axis=0)
+    return RandomSplitForest({"features": x, "trees": forest, "classification": classification, "importances": _shares(drops)})
 
 
 def _leaf(total: np.ndarray, classification: bool) -> list[float]:
@@ -439,7 +482,7 @@ def _gain(left: np.ndarray, total: np.ndarray, classification: bool) -> np.ndarr
 
 
 def importances(model, features: list[str]) -> tuple[str, list[float]] | None:
-    """Tree importances or coefficients (mean absolute value over classes)."""
+    """Tree importances (shares of the impurity drops) or coefficients (mean absolute value over classes)."""
     stages = model.stages if isinstance(model, PipelineModel) else [model]
     for stage in stages:
         if isinstance(stage, FittedStage):
@@ -448,8 +491,8 @@ def importances(model, features: list[str]) -> tuple[str, list[float]] | None:
                 c = np.array(s["coef"])
                 return "coefficients", (c[0] if len(c) == 1 and s["kind"] == "regression"
                                         else np.abs(c).mean(axis=0)).tolist()
-            if "trees" in s:
-                return "feature_importances", _split_shares(s, len(features))
+            if "importances" in s:
+                return "feature_importances", s["importances"]
             continue
         if hasattr(stage, "featureImportances"):
             return "feature_importances", stage.featureImportances.toArray().tolist()
@@ -462,27 +505,3 @@ def importances(model, features: list[str]) -> tuple[str, list[float]] | None:
             if parts and parts[0]:
                 return parts[0][0], np.mean([np.abs(v) for _, v in parts], axis=0).tolist()
     return None
-
-
-def _split_shares(state: dict, p: int) -> list[float]:
-    """Share of splits per feature, halved per level (state keeps no gains)."""
-    score = np.zeros(p)
-
-    def walk(rules: dict, weight: float) -> None:
-        if "value" in rules:
-            return
-        score[rules["feature"]] += weight
-        walk(rules["left"], weight / 2)
-        walk(rules["right"], weight / 2)
-
-    for i, t in enumerate(state["trees"]):
-        if isinstance(t["feature"], list):
-            level = {0: 1.0}
-            for node, f in enumerate(t["feature"]):
-                if f >= 0:
-                    score[f] += level.get(node, 0.0)
-                    level[t["left"][node]] = level[t["right"][node]] = level.get(node, 0.0) / 2
-        else:
-            walk(t, abs(state["weights"][i]))
-    total = score.sum()
-    return (score / total if total else score).tolist()
