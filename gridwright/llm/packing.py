@@ -42,9 +42,9 @@ from gridwright.llm.frames import column, ragged, slices, text_of
 
 TIERS = (4096, 2048, 1024, 512, 256)
 #: Distinct words whose ids a worker keeps.
-WORD_CACHE = 600_000
+WORD_CACHE = 400_000
 #: Bytes of text tokenized at once, a longer text apart.
-TEXT_RUN = 8 << 20
+TEXT_RUN = 4 << 20
 
 
 #: A small letter that always ends a token where a point or comma, the last of a word, follows.
@@ -76,14 +76,17 @@ class WordIds:
         new = np.flatnonzero(found < 0)
         if len(new):
             fresh = [words[i] for i in new.tolist()]
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lengths.sum()))
+            made, sizes = [self.flat], []
+            for at in range(0, len(fresh), 4000):  # what the tokenizer returns for a word is far larger than its ids
+                ids = [x.ids for x in self.tokenizer.encode_batch_fast(fresh[at: at + 4000], add_special_tokens=False)]
+                sizes += map(len, ids)
+                made.append(np.fromiter(chain.from_iterable(ids), dtype=np.uint32))
+            lengths = np.array(sizes, dtype=np.int64)
             found[new] = len(self.known) + np.arange(len(new))
             self.known.update(zip(fresh, found[new].tolist()))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
-            self.flat = np.concatenate([self.flat, flat])
+            self.flat = np.concatenate(made)
         return found
 
 

@@ -28,11 +28,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridwright.llm.frames import column, map_columns, text_of
+from gridwright.session import checkpoint
 
 SIZES = (3, 4, 5, 6)
 HASH_BITS = 20
@@ -165,7 +167,7 @@ def fit(
     share = min(1.0, max_rows / sum(size.values()))
     if share < 1.0:
         rows = rows.filter(F.xxhash64("id") <= F.lit(int(-(2**63) + share * (2**64 - 1))))
-    rows = rows.repartition(8).checkpoint()
+    rows = checkpoint(rows.repartition(8))
     size = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(size) < 2:
         return ToxicityModel(none, np.zeros(0), np.zeros(0), 50.0 if size.get(1) else -50.0)
@@ -187,19 +189,20 @@ def fit(
     slots, ratios = none.copy(), np.array([r["ratio"] for r in best])
     slots[[r["cell"] for r in best]] = np.arange(len(best))
 
-    @F.udf(VectorUDT())
-    def scaled(found):
-        return Vectors.sparse(len(ratios), found, [float(ratios[j]) for j in found])
+    vector = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, slot = _found(batch.column("text"), slots)
-            offsets = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
-            found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(slot.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), found], ["label", "found"])
-
-    training = rows.select(F.col("label").cast("double").alias("label"), "text").mapInArrow(
-        featured, "label double, found array<int>").select("label", scaled("found").alias("features")).checkpoint()
+            offsets = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32))
+            sparse = pa.StructArray.from_arrays([  # the library's own form of a sparse vector
+                pa.array(np.zeros(batch.num_rows, dtype=np.int8)), pa.array(np.full(batch.num_rows, len(ratios), dtype=np.int32)),
+                pa.ListArray.from_arrays(offsets, pa.array(slot.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(ratios[slot])),
+            ], fields=list(vector))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), sparse], ["label", "features"])
+
+    training = checkpoint(rows.select(F.col("label").cast("double").alias("label"), "text").mapInArrow(
+        featured, StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())])))
     fitted = LogisticRegression(regParam=ridge, standardization=False, maxIter=50, tol=1e-5).fit(training)
     return ToxicityModel(slots, ratios, ratios * fitted.coefficients.toArray(), float(fitted.intercept))
 
