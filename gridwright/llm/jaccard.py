@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.frames import column, only, slices, text_of, written
+from gridwright.llm.frames import column, only, released, slices, text_of, written
 from gridwright.llm.shingles import shingle_sets
 from gridwright.session import checkpoint
 
@@ -110,7 +110,7 @@ def _summaries(docs: DataFrame, words: int, percent: int, id_column: str, text_c
 
     rows = docs.select(column(id_column).alias("doc_id"), text_of(text_column).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(summarise, f"doc_id {kind}, n long, set_key string, size_class int, low array<long>, bits binary").withColumn(
+    return rows.mapInArrow(released(summarise), f"doc_id {kind}, n long, set_key string, size_class int, low array<long>, bits binary").withColumn(
         "row", F.monotonically_increasing_id())  # fixed once the rows are written
 
 
@@ -152,7 +152,7 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, words: int, id_column: str, tex
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["id", "grams"])
 
-    return written(rows.mapInArrow(hashed, "id long, grams array<long>"), "sets")
+    return written(rows.mapInArrow(released(hashed), "id long, grams array<long>"), "sets")
 
 
 def _fold(bits: list[bytes], wide: int) -> np.ndarray:
@@ -258,7 +258,7 @@ def _in_lists(entries: DataFrame, percent: int) -> DataFrame:
             held = [batch.slice(start)]
         yield from pairs(held)
 
-    return spread.repartition(*key).sortWithinPartitions(*key).mapInArrow(compared, "a long, b long").distinct()
+    return spread.repartition(*key).sortWithinPartitions(*key).mapInArrow(released(compared), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

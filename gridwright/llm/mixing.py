@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwright.llm.frames import WORD, column, map_columns, text_of
+from gridwright.llm.frames import WORD, column, map_columns, released, text_of
 from gridwright.session import checkpoint
 
 #: Slots that one task maps to blocks.
@@ -164,7 +164,7 @@ def _slots(docs: DataFrame, sources: list[dict], shard_blocks: int, seed: int) -
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(use), shard)), pa.array(use), pa.array(counts[use])], ["shard", "number", "slots"])
 
-    drawn = checkpoint(spark.range(shards).mapInArrow(draw, "shard long, number long, slots long"))
+    drawn = checkpoint(spark.range(shards).mapInArrow(released(draw), "shard long, number long, slots long"))
     got = np.zeros(len(sources), dtype=np.int64)
     for r in drawn.groupBy("number").agg(F.sum("slots").alias("slots")).collect():  # one row a source
         got[r["number"]] = r["slots"]
@@ -191,7 +191,7 @@ def _slots(docs: DataFrame, sources: list[dict], shard_blocks: int, seed: int) -
     sofar = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return drawn.select(
         "number", F.coalesce(F.sum("slots").over(sofar), F.lit(0)).alias("before"), "slots",
-    ).repartition(max(1, total // SLOTS_PER_TASK), "number", "before").mapInArrow(mapped, "number long, turn long, block long")
+    ).repartition(max(1, total // SLOTS_PER_TASK), "number", "before").mapInArrow(released(mapped), "number long, turn long, block long")
 
 
 def _on_blocks(mix: Mix) -> DataFrame:

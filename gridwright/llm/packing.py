@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gridwright.llm.frames import column, ragged, slices, text_of
+from gridwright.llm.frames import column, ragged, released, slices, text_of
 
 TIERS = (4096, 2048, 1024, 512, 256)
 #: Distinct words whose ids a worker keeps.
@@ -278,6 +278,6 @@ def pack(
 
     rows = docs.select(column(id_column).alias("doc_id"), text_of(text_column).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(packed, (
+    return rows.mapInArrow(released(packed), (
         f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
         "tier long, step_id long" + ", ids array<int>" * with_ids))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.frames import column, text_of
+from gridwright.llm.frames import column, released, text_of
 
 _WORDS = """nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement advertising banner
     cookie cookies consent gdpr notice notices alert popup modal overlay promo promotion sponsor sponsored share sharing social
@@ -248,7 +248,7 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
         id_.alias("page_id"), column(url_column).cast("string").alias("url"), text_of(html_column).alias("html"),
         host.alias("host"), path.alias("path"), rank.alias("rank"))
     order = ["range", "host", "path", "rank"]
-    dealt = rows.mapInArrow(placed, "page_id long, url string, html string, host string, path string, rank string, range long, guest int")
+    dealt = rows.mapInArrow(released(placed), "page_id long, url string, html string, host string, path string, rank string, range long, guest int")
     dealt = dealt.repartition("range").sortWithinPartitions(*order, F.xxhash64("html"))
 
     def differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,4 +280,4 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
         if done:
             yield table(done)
 
-    return dealt.mapInArrow(differenced, "page_id long, url string, text string")
+    return dealt.mapInArrow(released(differenced), "page_id long, url string, text string")

@@ -33,7 +33,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.frames import column, map_columns, text_of
+from gridwright.llm.frames import column, map_columns, released, text_of
 from gridwright.session import checkpoint
 
 #: Words that announce a credential.
@@ -180,7 +180,7 @@ def findings(docs: DataFrame, dictionary: frozenset[str] = frozenset(), id_colum
     rows = _rows(docs, id_column, text_column, path_column)
     names = ["doc_id", "start", "end", "value", "before", "after", "path", "features"]
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(scan, (
+    return rows.mapInArrow(released(scan), (
         f"doc_id {kind}, start long, end long, value string, before string, after string, path string, features array<double>"))
 
 
@@ -198,7 +198,7 @@ def dictionary_of(docs: DataFrame, words: int = 5000, text_column: str = "text")
                 seen.update(re.findall(r"\b[a-z]{4,12}\b", text))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), type=pa.string()), pa.array(list(seen.values()), type=pa.int64())], ["word", "n"])
 
-    best = docs.select(text_of(text_column).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(
+    best = docs.select(text_of(text_column).alias("text")).mapInArrow(released(count), "word string, n long").groupBy("word").agg(
         F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).collect()  # at most `words` rows
     return frozenset(r["word"] for r in best)
 
@@ -252,7 +252,7 @@ def scan(docs: DataFrame, model: SecretModel, id_column: str = "doc_id", text_co
 
     rows = _rows(docs, id_column, text_column, path_column)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(scanned, f"doc_id {kind}, start long, end long, value_sha256 string, score double, secret int")
+    return rows.mapInArrow(released(scanned), f"doc_id {kind}, start long, end long, value_sha256 string, score double, secret int")
 
 
 def redact(docs: DataFrame, model: SecretModel, text_column: str = "text", path_column: str | None = "source",

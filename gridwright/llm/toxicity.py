@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gridwright.llm.frames import column, map_columns, text_of
+from gridwright.llm.frames import column, map_columns, released, text_of
 from gridwright.session import checkpoint
 
 SIZES = (3, 4, 5, 6)
@@ -171,7 +171,7 @@ def fit(
     size = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(size) < 2:
         return ToxicityModel(none, np.zeros(0), np.zeros(0), 50.0 if size.get(1) else -50.0)
-    counted = rows.select("text", "label").mapInArrow(_count_cells, "cell long, clean long, toxic long").groupBy("cell").agg(
+    counted = rows.select("text", "label").mapInArrow(released(_count_cells), "cell long, clean long, toxic long").groupBy("cell").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
     def share_of(name: str, label: int) -> F.Column:
@@ -202,7 +202,7 @@ def fit(
             yield pa.RecordBatch.from_arrays([batch.column("label"), sparse], ["label", "features"])
 
     training = checkpoint(rows.select(F.col("label").cast("double").alias("label"), "text").mapInArrow(
-        featured, StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())])))
+        released(featured), StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())])))
     fitted = LogisticRegression(regParam=ridge, standardization=False, maxIter=50, tol=1e-5).fit(training)
     return ToxicityModel(slots, ratios, ratios * fitted.coefficients.toArray(), float(fitted.intercept))
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwright.llm.frames import column, written
+from gridwright.llm.frames import column, released, written
 
 #: Most queries, and about the most vectors, that one task compares.
 TILE = 8192
@@ -148,7 +148,7 @@ def _solve(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
                     held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
         yield from close()
 
-    return both.repartition(*key).sortWithinPartitions(*key).mapInArrow(solved, "query_id long, id long, score long")
+    return both.repartition(*key).sortWithinPartitions(*key).mapInArrow(released(solved), "query_id long, id long, score long")
 
 
 def _merged(found: DataFrame, k: int) -> DataFrame:
@@ -181,7 +181,7 @@ def top_k(
                 cell[at], far[at] = cells.place(_matrix(batch.column("vector"), at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], [*batch.schema.names, "cell", "far"])
 
-    data = written(rows.mapInArrow(placed, "id long, vector array<long>, asks boolean, cell long, far double"), "cells")
+    data = written(rows.mapInArrow(released(placed), "id long, vector array<long>, asks boolean, cell long, far double"), "cells")
     for r in data.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect():  # a row a cell
         cells.count[r["cell"]], cells.radius[r["cell"]] = r["n"], r["radius"]
     parts = np.maximum(1, -(-cells.count // TILE))
@@ -224,9 +224,9 @@ def top_k(
         return visiting
 
     kind = "id long, vector array<long>, cell long, part long"
-    at_home = asked.mapInArrow(visit(True), kind).withColumn("tile", tile)
+    at_home = asked.mapInArrow(released(visit(True)), kind).withColumn("tile", tile)
     first = written(_merged(_solve(at_home, shelved, k), k).drop("rank"), "home")
     floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("score")).filter(F.col("n") >= k)
     more = asked.join(floors.select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor")), "id", "left")
-    second = _solve(more.select("id", "vector", "cell", "floor").mapInArrow(visit(False), kind).withColumn("tile", tile), shelved, k)
+    second = _solve(more.select("id", "vector", "cell", "floor").mapInArrow(released(visit(False)), kind).withColumn("tile", tile), shelved, k)
     return _merged(first.unionByName(second), k).select("query_id", "rank", "id", "score")

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm.frames import column, slices, text_of, written
+from gridwright.llm.frames import column, released, slices, text_of, written
 from gridwright.session import scratch_path
 
 #: Fixed values of the format.
@@ -162,7 +162,7 @@ def write(
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in map(list, zip(*made))], ["path", "records", "bytes"])
 
-    return written(rows.mapInArrow(archive, "path string, records long, bytes long"), "manifest")
+    return written(rows.mapInArrow(released(archive), "path string, records long, bytes long"), "manifest")
 
 
 def records_of(path: str) -> Iterator[tuple]:
@@ -226,5 +226,5 @@ def read(spark: SparkSession, manifest: DataFrame, with_payload: bool = False) -
 
     # an archive is a task's work: they are dealt out evenly
     archives = max(1, min(manifest.count(), 10_000))
-    return manifest.select("path").repartition(archives, "path").mapInArrow(parsed, (
+    return manifest.select("path").repartition(archives, "path").mapInArrow(released(parsed), (
         "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload))

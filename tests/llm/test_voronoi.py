@@ -55,7 +55,7 @@ def test_far_cells_are_not_visited(spark):
 
 
 def test_large_scores(spark):
-    rows = [(i, [float(2**20 * (i % 13)), float(i)]) for i in range(60)]
+    rows = [(i, [float(2**17 * (i % 13)), float(i)]) for i in range(60)]
     assert run(spark, rows) == brute(rows, lambda i: i % 10 == 0, 5)
 
 
