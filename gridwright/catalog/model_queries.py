@@ -9,7 +9,7 @@ from gridwright.catalog.base import (
     LANG_FEATURES, LANG_SQL, NET_FEATURES, NET_KEYS, NET_SQL, REG_SQL, languages, net_prices, query, r4, table,
 )
 from gridwright.functions.columns import r
-from gridwright.models.common import Problem
+from gridwright.models.common import HINGE_ROUNDING, Problem
 from gridwright.operators import metrics as M
 from gridwright.operators import splits as S
 from gridwright.operators.curves import permutation_importance
@@ -472,3 +472,99 @@ def _(spark, sf):
 def _(spark, sf):
     return compare(_runs(spark, sf))
 
+
+
+# -- optima: slopes of the objective at the fitted model, which must vanish --------------------
+
+def _slopes(rows: DataFrame, problem: Problem, model, slope, l2, digits: int = 3) -> DataFrame:
+    """Derivative of the mean loss plus penalty by each coefficient, in units of its column's deviation.
+
+    Worked out from the rows by column expressions, apart from the search that found the model.
+    """
+    coef, base = model.state["coef"][0], model.state["intercept"][0]
+    margin = F.lit(float(base))
+    for c, b in zip(problem.features, coef):
+        margin = margin + F.col(c) * F.lit(float(b))
+    s = slope(margin, F.col("label"))
+    row = rows.agg(F.count("*").alias("n"), F.avg(s).alias("base"), *[
+        f.alias(f"{k}{i}") for i, c in enumerate(problem.features)
+        for k, f in (("g", F.avg(s * F.col(c))), ("m", F.avg(c)), ("d", F.stddev_pop(c)))]).first()
+    out = [("intercept", float(row["base"]))]
+    for i, (c, b) in enumerate(zip(problem.features, coef)):
+        # the search is centred: the part along the intercept is taken out
+        out.append((c, float((row[f"g{i}"] - row[f"m{i}"] * row["base"] + l2(row["n"]) * b) / row[f"d{i}"])))
+    return rows.sparkSession.createDataFrame(out, "coefficient string, slope double").withColumn("slope", r(F.col("slope"), digits))
+
+
+FLAT_SQL = f"SELECT unnest(['intercept', {', '.join(repr(c) for c in NET_FEATURES)}]) AS coefficient, CAST(0 AS DOUBLE) AS slope"
+
+
+@query("m01_logistic_regression_optimum", FLAT_SQL)
+def _(spark, sf):
+    rows, problem = big_rows(spark, sf)
+    model = find("classification", "Logistic Regression").fit(rows, problem, {"C": 1})
+    return _slopes(rows, problem, model, lambda m, y: 1 / (1 + F.exp(-m)) - y, lambda n: 1.0 / n)
+
+
+@query("m14_sgd_log_loss_optimum", FLAT_SQL)
+def _(spark, sf):
+    rows, problem = big_rows(spark, sf)
+    model = find("classification", "SGD Classifier").fit(rows, problem, {"alpha": 0.001, "loss": "log_loss"})
+    return _slopes(rows, problem, model, lambda m, y: 1 / (1 + F.exp(-m)) - y, lambda n: 0.001)
+
+
+@query("m14_sgd_hinge_optimum", FLAT_SQL)
+def _(spark, sf):
+    rows, problem = big_rows(spark, sf)
+    model = find("classification", "SGD Classifier").fit(rows, problem, {"alpha": 0.001, "loss": "hinge"})
+
+    def slope(m, y):
+        side = 2 * y - 1
+        return -side * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 - side * m) / HINGE_ROUNDING))
+
+    return _slopes(rows, problem, model, slope, lambda n: 0.001)
+
+
+@query("m30_sgd_huber_optimum", FLAT_SQL)
+def _(spark, sf):
+    rows, problem = net_rows(spark, sf)
+    model = find("regression", "SGD Regressor").fit(rows, problem, {"alpha": 0.001, "loss": "huber"})
+    return _slopes(rows, problem, model, lambda m, y: F.greatest(F.lit(-0.1), F.least(F.lit(0.1), m - y)), lambda n: 0.001, 2)
+
+
+# -- trees: the first split, from all thresholds ------------------------------------------------
+
+SPLIT_FEATURES = ["discount", "tax"]
+
+
+def _first_split(rows: DataFrame, task: str) -> DataFrame:
+    """Rows and mean label on both sides of the split of a tree of depth one."""
+    problem = Problem(SPLIT_FEATURES, task, n_classes=2 if task == "classification" else 0)
+    tree = find(task, "Decision Tree").fit(rows, problem, {"max_depth": 1, "min_samples_split": 5}).state["trees"][0]
+    name = SPLIT_FEATURES[tree["feature"][0]]
+    return rows.groupBy((F.col(name) <= F.lit(tree["threshold"][0])).alias("low")).agg(
+        F.count("*").alias("n"), r(F.avg("label")).alias("mean")).select(F.lit(name).alias("feature"), "low", "n", "mean")
+
+
+def first_split_sql(label: str) -> str:
+    """For every value of a column: the drop of the squared error (for 0 and 1 half of gini's) if it ends the left side."""
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {i} AS place, {c} AS edge, count(*)::DOUBLE AS n, sum(y) AS s FROM rows_ GROUP BY {c}" for i, c in enumerate(SPLIT_FEATURES))
+    return f"""WITH rows_ AS (SELECT discount, tax, {label}::DOUBLE AS y FROM ({NET_SQL})), cells AS ({parts}),
+      sums AS (SELECT *, sum(n) OVER w AS ln, sum(s) OVER w AS ls, sum(n) OVER f AS tn, sum(s) OVER f AS ts FROM cells
+        WINDOW w AS (PARTITION BY feature ORDER BY edge), f AS (PARTITION BY feature)),
+      best AS (SELECT feature, edge FROM sums WHERE ln < tn ORDER BY ls * ls / ln + (ts - ls) * (ts - ls) / (tn - ln) DESC, place, edge LIMIT 1)
+      SELECT feature, (CASE feature WHEN 'discount' THEN discount ELSE tax END) <= edge AS low, count(*) AS n, {r4('avg(y)')} AS mean
+      FROM rows_, best GROUP BY 1, 2"""
+
+
+@query("m02_first_split", first_split_sql("((discount >= 0.05) <> (tax > 0.06))::INT"))
+def _(spark, sf):
+    # the library joins leaves that predict the same class, so the label follows the columns
+    mark = (F.col("discount") >= 0.05) != (F.col("tax") > 0.06)
+    return _first_split(net_prices(spark, sf).withColumn("label", mark.cast("double")), "classification")
+
+
+@query("m21_first_split", first_split_sql("net"))
+def _(spark, sf):
+    return _first_split(net_rows(spark, sf)[0], "regression")
