@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -17,7 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
     ``spark.checkpoint.dir`` wins. Only a single-machine session without that
-    setting gets a temporary folder; a cluster without it is a set-up error.
+    setting gets a temporary folder, which goes when Python ends; a cluster
+    without it is a set-up error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -28,6 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not _is_local(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="gridwright-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the session's own, made just now
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
