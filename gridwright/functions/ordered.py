@@ -17,15 +17,16 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwright.functions.columns import as_double, col, hash_key
+from gridwright.functions.columns import add_all, as_double, col, hash_key
 from gridwright.session import checkpoint
 
 # Above this many cells (rows x columns) one-buffer percentiles are not used.
 EXACT_BUFFER_CELLS = 400_000
 # Ordered rows one task should handle inside a bucket.
 ROWS_PER_BUCKET = 1_000_000
-# Largest row count of a side that may be broadcast (narrow rows).
+# Largest side that may be broadcast: rows, and bytes of its values.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
 
 
 def quantiles(
@@ -260,18 +261,33 @@ def join_sized(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
     broadcast_rows: int = BROADCAST_ROWS, materialised: bool = False,
 ) -> DataFrame:
-    """Join with a side whose row count is checked first.
+    """Join with a side whose size is checked first.
 
-    ``right`` is materialised in the shared folder and counted; it is broadcast
-    only up to ``broadcast_rows`` rows, otherwise the join shuffles both sides.
+    ``right`` is materialised in the shared folder and measured; it is broadcast
+    only up to ``broadcast_rows`` rows and ``BROADCAST_BYTES``, otherwise the join
+    shuffles both sides.
     """
     if not materialised:
         right = checkpoint(right)
-    if right.count() <= broadcast_rows:
+    size = right.agg(F.count("*").alias("rows"), F.sum(value_bytes(right)).alias("bytes")).first()
+    if size["rows"] <= broadcast_rows and (size["bytes"] or 0) <= BROADCAST_BYTES:
         right = F.broadcast(right)
     return left.join(right, list(on), how)
 
 
+def value_bytes(df: DataFrame) -> Column:
+    """About how many bytes the values of a row take."""
+    parts = []
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            parts.append(F.coalesce(F.octet_length(col(name)), F.lit(0)).cast("long"))
+        elif kind.startswith(("array", "map", "struct")):
+            parts.append(F.octet_length(F.to_json(F.struct(col(name)))).cast("long"))
+        else:
+            parts.append(F.lit(8).cast("long"))
+    return add_all(parts)
+
+
 def running_totals(
     df: DataFrame,
     order: str,

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from gridwright.functions.columns import (
     add_all, as_double, categorical_columns, col, hash_key, numeric_columns, r, ratio,
 )
-from gridwright.functions.ordered import quantiles
+from gridwright.functions.ordered import join_sized, quantiles
 from gridwright.operators.gram import pair_moments
 
 # Targets with at most this many distinct values count as classes.
@@ -154,7 +154,16 @@ def column_info(df: DataFrame) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    return df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("n")).agg(
+    """Rows that equal an earlier one.
+
+    Two hashes of each row are grouped first; only rows whose hashes occur more
+    than once are then compared whole.
+    """
+    columns = [col(c) for c in df.columns]
+    hashed = df.select(*columns, F.xxhash64(*columns).alias("_h1"), F.xxhash64(F.lit(1), *columns).alias("_h2"))
+    again = hashed.groupBy("_h1", "_h2").agg(F.count("*").alias("_n")).filter("_n > 1").select("_h1", "_h2")
+    rows = join_sized(hashed, again, ["_h1", "_h2"], "left_semi")
+    return rows.groupBy(*columns).agg(F.count("*").alias("n")).agg(
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicates")
     )
 
@@ -328,12 +337,11 @@ def detect_task(df: DataFrame, target: str) -> str:
 def overview(df: DataFrame) -> DataFrame:
     n_cols = len(df.columns)
     gaps = add_all([F.when(col(c).isNull(), 1).otherwise(0) for c in df.columns])
-    # equal rows have equal gaps, so one grouping answers every question
-    rows = df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("n"))
-    return rows.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
-        F.coalesce(F.sum(F.col("n") * gaps), F.lit(0)).alias("missing_cells"),
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"),
+    duplicates = duplicate_rows(df).first()["duplicates"]
+    return df.agg(
+        F.count("*").alias("n_rows"),
+        F.coalesce(F.sum(gaps.cast("long")), F.lit(0)).cast("long").alias("missing_cells"),
+        F.lit(duplicates).cast("long").alias("duplicates"),
     ).select(
         "n_rows",
         F.lit(n_cols).cast("long").alias("n_cols"),

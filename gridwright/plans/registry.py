@@ -20,6 +20,11 @@ class Algorithm:
     fit: Callable
     # for linear least squares: coefficients from cross products alone
     solve: Callable | None = None
+    # settings of the grid that make no difference here
+    unused: tuple[str, ...] = ()
+
+    def used(self, point: dict) -> dict:
+        return {k: v for k, v in point.items() if k not in self.unused}
 
     def points(self) -> list[dict]:
         names = list(self.grid)
@@ -36,7 +41,7 @@ class Algorithm:
 # Algorithm names, categories and search grids.
 CLASSIFIERS = [
     Algorithm("Logistic Regression", "Linear",
-              {"C": [0.01, 0.1, 1, 10], "solver": ["lbfgs", "saga"]}, linear.logistic_regression),
+              {"C": [0.01, 0.1, 1, 10], "solver": ["lbfgs", "saga"]}, linear.logistic_regression, unused=("solver",)),
     Algorithm("Decision Tree", "Tree",
               {"max_depth": [3, 5, 10, None], "min_samples_split": [2, 5, 10]}, trees.decision_tree),
     Algorithm("Random Forest", "Ensemble",
@@ -55,7 +60,7 @@ CLASSIFIERS = [
               {"n_neighbors": [3, 5, 7, 11], "metric": ["euclidean", "manhattan"]}, nearest.nearest_neighbors),
     Algorithm("Gaussian Naive Bayes", "Probabilistic",
               {"var_smoothing": [1e-9, 1e-8, 1e-7]}, bayes.gaussian_naive_bayes),
-    Algorithm("LDA", "Linear", {"solver": ["svd", "lsqr"]}, linear.linear_discriminant),
+    Algorithm("LDA", "Linear", {"solver": ["svd", "lsqr"]}, linear.linear_discriminant, unused=("solver",)),
     Algorithm("MLP Neural Network", "Neural Network",
               {"hidden_layer_sizes": [(64,), (128,), (64, 32)], "activation": ["relu", "tanh"]},
               networks.perceptron),

@@ -118,9 +118,12 @@ def search(df: DataFrame, problem: Problem, algorithm: Algorithm, points: Sequen
             model = algorithm.fit(df.filter(F.col("fold") != f), problem, point)
             return score(model.transform(df.filter(F.col("fold") == f)), scoring, problem)
 
-        jobs = [(i, f) for i in range(len(points)) for f in range(k)]
-        flat = _spread(run, jobs, parallelism)
-        results = [flat[i * k:(i + 1) * k] for i in range(len(points))]
+        # points that differ only in what the algorithm doesn't use are fitted once
+        seen: dict[str, int] = {}
+        first = [seen.setdefault(repr(algorithm.used(p)), i) for i, p in enumerate(points)]
+        jobs = [(i, f) for i in sorted(set(first)) for f in range(k)]
+        done = dict(zip(jobs, _spread(run, jobs, parallelism)))
+        results = [[done[i, f] for f in range(k)] for i in first]
     best = int(np.argmax([np.mean(x) for x in results]))
     return points[best], results[best]
 
