@@ -1,8 +1,9 @@
 """Exact k-nearest-neighbour join without comparing every pair.
 
 Donor rows are cut into cells by quantile bins of a few coordinates. A query
-first visits part of its own cell, which bounds its k-th distance; afterwards it
-visits only the cells whose nearest possible point lies within that bound. Big
+first visits part of its own cell, and of the nearest others until it has met k
+donors, which bounds its k-th distance; afterwards it visits only the cells whose
+nearest possible point lies within that bound. Big
 cells are cut into chunks and busy ones serve their queries in several groups,
 so no group grows with a hot value. The result is exact: cells are skipped only
 by a true lower bound.
@@ -172,37 +173,66 @@ def knn_join(
     else:
         donors = donors.withColumn("n_chunks", F.lit(chunks[0]))
     donors = donors.withColumn("chunk", F.pmod(F.xxhash64("did"), F.col("n_chunks")).cast("int")).drop("n_chunks")
-    home = _with_cell(queries, grid)
+    cells = np.array(sorted(counts), dtype="int64")
+    parts = {c: chunks[c] for c in counts}
+    # donors in the first chunk of each cell
+    opening = np.array([counts[c] / parts[c] for c in cells])
+
+    def nearest_cells(x: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Which cells a query visits first: its own, then the nearest ones, until they hold k donors."""
+        rank = np.where(cells[None, :] == grid.cell(x)[:, None], -1.0, lower)
+        order = np.argsort(rank, axis=1, kind="stable")
+        held = np.cumsum(opening[order], axis=1)
+        wanted = held - opening[order] < k
+        out = np.zeros(lower.shape, dtype=bool)
+        np.put_along_axis(out, order, wanted, axis=1)
+        return out
+
+    home = queries
     if grid.axes:
         home = checkpoint(home)
-    # 1. the home cell bounds the k-th distance
-    first = _search(home.withColumn("chunk", F.lit(0)), donors, k, metric, query_rows)
+
+        def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for s in range(0, len(b), 1024):
+                    part = b.iloc[s:s + 1024]
+                    x = np.stack(part["x"].to_numpy())
+                    qi, ci = np.nonzero(nearest_cells(x, grid.lower_bounds(x, cells, metric)))
+                    yield pd.DataFrame({"qid": part["qid"].to_numpy()[qi], "x": part["x"].to_numpy()[qi], "cell": cells[ci]})
+
+        opened = home.mapInPandas(begin, "qid string, x array<double>, cell bigint")
+    else:
+        opened = home.withColumn("cell", F.lit(0).cast("long"))
+    # 1. the nearest cells bound the k-th distance
+    first = _search(opened.withColumn("chunk", F.lit(0)), donors, k, metric, query_rows)
     only_one = len(counts) == 1 and sum(chunks.values()) == 1 and not grid.axes
     if only_one:
         found = first
     else:
         first = checkpoint(first)
-        bound = first.groupBy("qid").agg(F.count("*").alias("m"), F.max("distance").alias("far"))
+        # the k-th of what was found; several cells give up to k each
+        found_so_far = F.array_sort(F.collect_list("distance"))
+        bound = first.groupBy("qid").agg(found_so_far.alias("found"))
         bounded = home.join(bound, "qid", "left").select(
-            "qid", "x", "cell",
-            F.when(F.col("m") >= k, F.col("far")).otherwise(float("inf")).alias("far"),
+            "qid", "x",
+            F.when(F.size("found") >= k, F.get("found", F.lit(k - 1))).otherwise(float("inf")).alias("far"),
         )
-        cells = np.array(sorted(counts), dtype="int64")
-        parts = {c: chunks[c] for c in counts}
 
         def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for s in range(0, len(b), 1024):
                     part = b.iloc[s:s + 1024]
                     x = np.stack(part["x"].to_numpy())
-                    near = grid.lower_bounds(x, cells, metric) <= part["far"].to_numpy()[:, None]
-                    qi, ci = np.nonzero(near)
+                    lower = grid.lower_bounds(x, cells, metric)
+                    seen = nearest_cells(x, lower) if grid.axes else np.ones(lower.shape, dtype=bool)
+                    qi, ci = np.nonzero(lower <= part["far"].to_numpy()[:, None])
                     if not len(qi):
                         continue
                     reps = np.array([parts[c] for c in cells[ci]])
+                    visited = np.repeat(seen[qi, ci], reps)
                     qi, cell = np.repeat(qi, reps), np.repeat(cells[ci], reps)
                     chunk = np.concatenate([np.arange(m) for m in reps])
-                    new = ~((cell == part["cell"].to_numpy()[qi]) & (chunk == 0))
+                    new = ~(visited & (chunk == 0))
                     rows = part.iloc[qi[new]]
                     yield pd.DataFrame({
                         "qid": rows["qid"].to_numpy(), "x": rows["x"].to_numpy(),

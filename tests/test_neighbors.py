@@ -67,3 +67,15 @@ def test_imputation_keeps_rows_and_values(spark):
     assert len(out) == 200 and out["a"].notna().all()
     assert (abs(out["a"] - out["id"]) <= 9).all()
     assert (out[out["id"] % 9 != 0]["a"] == out[out["id"] % 9 != 0]["id"]).all()
+
+
+def test_cells_smaller_than_k(spark):
+    """Cells of a few donors each, and more neighbours wanted than a cell holds."""
+    rng = np.random.default_rng(11)
+    donors, queries = rng.normal(size=(300, 2)), rng.normal(size=(40, 2))
+    got = knn_join(frame(spark, queries, range(40), "qid"), frame(spark, donors, range(300), "did"), 30,
+                   "euclidean", rows_per_cell=5, chunk_rows=4, query_rows=10).toPandas()
+    d = distances(queries, donors, "euclidean")
+    for q in range(40):
+        mine = got[got["qid"] == f"{q:04d}"].sort_values("rank")
+        assert [int(x) for x in mine["did"]] == list(np.lexsort((np.arange(300), d[q]))[:30])
