@@ -13,8 +13,9 @@ Exact for every pair of documents whose sets have a Jaccard similarity of
    prefix bound asks for. A list is kept in blocks by size class (a set meets its
    own class and the one below) and a busy list is split into pairs of blocks.
 4. Round one, answers for others: each block's sets are verified against one
-   pivot. Sets that are linked to it are answered by it: whatever is in one
-   component already is not compared again.
+   pivot, the set that shares most of its hashes with others: of a family of
+   near copies the one nearest to what they come from. Sets that are linked to
+   it are answered by it: whatever is in one component already is not compared again.
 5. Round two: the pairs of a list that are in different components. Skipped
    without being looked at are those that fail by size, by position in the list
    (what may follow can't reach ``l``), or by their distances to the list's first
@@ -75,8 +76,8 @@ def class_bounds(percent: int, until: int = 1 << 40) -> np.ndarray:
 
 
 def bitmap_bits(size_class: int, bounds: np.ndarray) -> int:
-    """Length of the parity bitmaps of a class, a power of two from 64 to ``MOST_BITS``."""
-    return int(min(MOST_BITS, max(64, 1 << int(bounds[size_class]).bit_length())))
+    """Length of the parity bitmaps of a class, a power of two from 64 to ``MOST_BITS``, four times its sizes or more."""
+    return int(min(MOST_BITS, max(64, 1 << (int(bounds[size_class]).bit_length() + 2))))
 
 
 def parity(hashes: np.ndarray, bits: int) -> bytes:
@@ -115,7 +116,7 @@ def _summaries(docs: DataFrame, words: int, percent: int, id_column: str, text_c
 
 
 def _index(low: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """List entries of the surviving sets: hash, id, size, size class, what may follow, ``l``, frequency."""
+    """List entries of the surviving sets: hash, id, size, size class, what may follow, ``l``, shared hashes, frequency."""
     tokens = low.select(F.col("doc_id").cast("long").alias("id"), F.explode("low").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     found = tokens.join(often, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found"))
@@ -128,7 +129,7 @@ def _index(low: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("id", "n", "size_class").join(found, "id").filter(shared >= need).select(
         "id", "n", "size_class", least(n).alias("l"), shared.alias("shared"),
         F.posexplode(F.slice("found", F.lit(1), F.greatest(F.lit(0), shared - need.cast("int") + 1))).alias("place", "entry"),
-    ).select("id", "n", "size_class", "l", (F.col("shared") - F.col("place")).alias("rest"), "entry.token", "entry.df")
+    ).select("id", "n", "size_class", "l", "shared", (F.col("shared") - F.col("place")).alias("rest"), "entry.token", "entry.df")
 
 
 def _verified(docs_sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -185,9 +186,9 @@ def _list_pairs(groups: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         row = stop
 
 
-def _compare(rows: pa.Table, percent: int, bounds: np.ndarray) -> set[tuple[int, int]]:
-    """Pairs of whole groups that no filter rules out."""
-    out: set[tuple[int, int]] = set()
+def _compare(rows: pa.Table, percent: int, bounds: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of whole groups that no filter rules out, each run without repeats."""
+    out, held = [], 0
     get = {c: rows.column(c).to_numpy() for c in ("token", "list_class", "block", "other", "id", "n", "rest", "l", "visitor", "side", "component")}
     keys = np.stack([get[c] for c in ("token", "list_class", "block", "other")])
     groups = np.cumsum(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]) - 1
@@ -216,8 +217,13 @@ def _compare(rows: pa.Table, percent: int, bounds: np.ndarray) -> set[tuple[int,
                 differ = np.bitwise_count(maps[i[k: k + step]] ^ maps[j[k: k + step]]).sum(axis=1)
                 ok = differ <= allowed[k: k + step]
                 a, b = x["id"][i[k: k + step][ok]], x["id"][j[k: k + step][ok]]
-                out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
-    return out
+                out.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
+                held += len(a)
+                if held > PAIR_RUN:
+                    yield np.unique(np.concatenate(out), axis=0)
+                    out, held = [], 0
+    if held:
+        yield np.unique(np.concatenate(out), axis=0)
 
 
 def _in_lists(entries: DataFrame, percent: int) -> DataFrame:
@@ -239,9 +245,9 @@ def _in_lists(entries: DataFrame, percent: int) -> DataFrame:
             return tuple(batch.column(c)[row].as_py() for c in key)
 
         def pairs(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if parts and (found := sorted(_compare(pa.Table.from_batches(parts), percent, bounds))):
-                a, b = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], ["a", "b"])
+            if parts:
+                for found in _compare(pa.Table.from_batches(parts), percent, bounds):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
         for batch in batches:
             # whole groups only: the last group of a batch waits for the next
@@ -295,7 +301,8 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, id_column: str = "d
         "set_key", "n", "size_class", "best.id", "best.row"))
     entries = written(_index(only(full, sets.select("row"), "row"), sets, percent), "entries")
 
-    pivots = entries.groupBy("token", "size_class").agg(F.min("id").alias("pivot"), F.count("*").alias("sets"))
+    central = F.min(F.struct((-F.col("shared") / F.col("n")).alias("private"), "id"))
+    pivots = entries.groupBy("token", "size_class").agg(central["id"].alias("pivot"), F.count("*").alias("sets"))
     near = entries.select("token", "size_class", "id", "n")
     stars = near.join(pivots.filter("sets > 1").drop("sets"), ["token", "size_class"]).filter("id <> pivot").select(
         F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
