@@ -135,7 +135,8 @@ def _(spark, sf):
     return report(out, ["twice"], 2)
 
 
-@query("d10_auto_strategy")
+@query("d10_auto_strategy", f"""SELECT 1 AS step, 'filled ' || (SELECT (count(*) > count(size))::INT + (count(*) > count(price))::INT
+  + (count(*) > count(block))::INT FROM ({PART_GAPS})) || ' numeric column(s): knn' AS message""")
 def _(spark, sf):
     # few gapped columns: nearest neighbours
     df = part_gaps(spark, sf)
@@ -266,7 +267,20 @@ def _(spark, sf):
     return report(R.PreparationModel.load(path).transform(df), SCALED)
 
 
-@query("d26_preparation_log")
+def gaps_sql(source: str, columns) -> str:
+    """How many of the columns have a gap."""
+    return f"SELECT {' + '.join(f'(count(*) > count({c}))::INT' for c in columns)} FROM ({source})"
+
+
+LOG_SQL = f"""SELECT 1 AS step, 'outliers: winsorize' AS message
+  UNION ALL SELECT 2, 'filled ' || ({gaps_sql(GAP_SQL, COLS)}) || ' numeric column(s): median'
+  UNION ALL SELECT 3, 'filled text columns with their mode: [''flag'', ''status'']'
+  UNION ALL SELECT 4, 'one-hot flag: ' || (SELECT count(DISTINCT flag) - 1 FROM {G}) || ' column(s)'
+  UNION ALL SELECT 5, 'label codes for status'
+  UNION ALL SELECT 6, 'standard scaling of ' || (SELECT {len(COLS)} + 1 + count(DISTINCT flag) - 1 FROM {G}) || ' column(s)'"""
+
+
+@query("d26_preparation_log", LOG_SQL)
 def _(spark, sf):
     df, model = _prepared(spark, sf)
     return model.log(df)
