@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridwright.catalog.base import (
-    GAP_KEYS, GAP_KEYS_SQL, GAP_SQL, LANG_FEATURES, LANG_SQL, LINE_KEYS, NET_FEATURES, NET_KEYS, NET_SQL,
+    GAP_KEYS, GAP_KEYS_SQL, GAP_SQL, LANG_FEATURES, LANG_SQL, NET_FEATURES, NET_KEYS, NET_SQL,
     gapped, languages, net_prices, query, r4, table,
 )
 from gridwright.catalog.profile_queries import CORR_SQL, _related

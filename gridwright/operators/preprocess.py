@@ -15,7 +15,6 @@ import numpy as np
 from pyspark.ml import Estimator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridwright.functions.columns import (
     as_double, categorical_columns, col, numeric_columns,
