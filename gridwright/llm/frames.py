@@ -16,6 +16,8 @@ from gridwright.session import scratch_path
 #: A word as the queries count it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows that become Python objects at once.
+PIECE_ROWS = 1000
 #: Most integer keys that are broadcast (16 MB); beyond, a join shuffles.
 BROADCAST_KEYS = 2_000_000
 
@@ -70,7 +72,8 @@ def map_columns(df: DataFrame, rows: Callable[[list[pa.Array]], list[pa.Array]],
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(rows(batch.columns), names)
+            for start in range(0, batch.num_rows, PIECE_ROWS):  # what a batch turns into in Python stays small
+                yield pa.RecordBatch.from_arrays(rows(batch.slice(start, PIECE_ROWS).columns), names)
 
     kinds = StructType([StructField(n, f.dataType) for n, f in zip(names, schema)])
     return df.toDF(*placed(len(df.columns))).mapInArrow(released(mapped), kinds).toDF(*schema.names)

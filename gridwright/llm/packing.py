@@ -220,10 +220,12 @@ class Packer:
 def pack(
     docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text",
     end_id: int = 2, tiers: Sequence[int] = TIERS, run_tokens: int = 1 << 19, step_tokens: int = 1 << 16,
-    with_ids: bool = False,
+    with_ids: bool = False, keep_words: bool = True,
 ) -> DataFrame:
     """One row per piece: document, place in it, window, place in that, window length, step group.
 
+    A worker keeps the words it knows for its next task; without ``keep_words``
+    it lets go of them, for jobs whose workers go on to other stages.
     ``with_ids`` adds the ids themselves (``ids``); ``ids_crc32`` is the crc32 of
     them as little-endian unsigned 32-bit numbers.
     """
@@ -275,6 +277,8 @@ def pack(
                         yield from rows(packer.pack())
         yield from rows(packer.pack())
         yield from rows(packer.rest())
+        if not keep_words:
+            _WORDS.pop(tokenizer_path, None)
 
     rows = docs.select(column(id_column).alias("doc_id"), text_of(text_column).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

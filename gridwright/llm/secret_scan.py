@@ -33,7 +33,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.frames import column, map_columns, released, text_of
+from gridwright.llm.frames import PIECE_ROWS, column, map_columns, released, text_of
 from gridwright.session import checkpoint
 
 #: Words that announce a credential.
@@ -239,7 +239,7 @@ def scan(docs: DataFrame, model: SecretModel, id_column: str = "doc_id", text_co
     shared = docs.sparkSession.sparkContext.broadcast(model)  # trees and dictionary have a fixed largest size
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, PIECE_ROWS) for b in batches for at in range(0, b.num_rows, PIECE_ROWS)):
             docs_, texts, paths = (c.to_pylist() for c in batch.columns)
             rows = [
                 (doc, a, b, hashlib.sha256(text[a:b].encode("utf-8", "replace")).hexdigest(), score, int(score >= 0.5))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gridwright.llm.frames import column, map_columns, released, text_of
+from gridwright.llm.frames import PIECE_ROWS, column, map_columns, released, text_of
 from gridwright.session import checkpoint
 
 SIZES = (3, 4, 5, 6)
@@ -95,7 +95,7 @@ def _windows(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     parts: list[np.ndarray] = []
     first, held = 0, 0
     overlap = max(SIZES)
-    for i, text in enumerate(texts.to_pylist()):
+    for i, text in enumerate(t for at in range(0, len(texts), PIECE_ROWS) for t in texts.slice(at, PIECE_ROWS).to_pylist()):
         codes = _codes(text or "")
         if parts and held + len(codes) > WINDOW:
             yield np.concatenate(parts), np.cumsum([len(p) for p in parts]), first
