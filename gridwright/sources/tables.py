@@ -18,16 +18,19 @@ MISSING_TEXTS = [
 
 
 def read_table(spark: SparkSession, path: str, sep: str = ",",
-               schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
+               schema: T.StructType | str | None = None, multi_line: bool | None = None) -> DataFrame:
     """CSV with a header row.
 
-    Large files are read in parts. Where quoted fields hold line breaks, say
-    ``multi_line``: each file is then read whole by one task.
+    Files are read in parts, unless quoted fields hold line breaks: then each is
+    read whole by one task. ``multi_line`` says so; if it is left out, a pass over
+    the lines, in parts too, finds out.
 
     With a schema the file is read once and typed by casts. Without one, every
     column is read as text and its narrowest type is found in one aggregate (whole
     number, number, boolean or text), after missing texts have become NULL.
     """
+    if multi_line is None:
+        multi_line = _fields_span_lines(spark, path)
     # double quotes inside quoted fields are doubled
     text = (spark.read.option("header", True).option("sep", sep).option("quote", '"')
             .option("escape", '"').option("multiLine", multi_line).csv(path))
@@ -42,6 +45,12 @@ def read_table(spark: SparkSession, path: str, sep: str = ",",
     return nan_to_null(_typed(text, {c: kinds.get(c, "string") for c in text.columns}))
 
 
+def _fields_span_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a line ends inside quotes: the first that does has an odd number of them."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
 def _infer(text: DataFrame) -> dict[str, str]:
     """Narrowest type that fits every value of each column."""
     tests = []
@@ -77,7 +86,7 @@ def _typed(text: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
 
 def read_scoring(spark: SparkSession, path: str, training: T.StructType, sep: str = ",",
-                 multi_line: bool = False) -> DataFrame:
+                 multi_line: bool | None = None) -> DataFrame:
     """Rows to score, typed like the training table."""
     return read_table(spark, path, sep, training, multi_line)
 
