@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright.llm import jaccard, mixing, packing, secret_scan, toxicity
-from gridwright.llm.frames import only, read_table, written
+from gridwright.llm.frames import only, read_table, small_batches, written
 from gridwright.llm.queries import secret_model
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,6 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows of one id are one document to the join: one of them stays. Rows without an id stay.
     """
+    small_batches(spark)
     groups = written(jaccard.join(docs, words=5, percent=80).filter("doc_id IS NOT NULL"), "groups")
     kept = groups.filter("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     rows = docs.select(*DOCUMENT)
@@ -41,18 +42,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with what the scan calls a secret replaced by a mark."""
+    small_batches(spark)
     clean = secret_scan.redact(docs.select(*DOCUMENT), secret_model(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed texts: a row for each document and pass over its source, with the words taken of it."""
+    small_batches(spark)
     mixed = mixing.texts(docs, mixing.plan(docs), keep=DOCUMENT)
     return mixed.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences of up to 4096 tokens."""
+    small_batches(spark)
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_words=False)
