@@ -10,14 +10,20 @@
    mostly the same lines is a copy, which tells nothing, so the other is taken.
 3. The lines of the two pages are aligned by longest common subsequence, and
    the shared lines are deleted: templates repeat, articles don't.
-4. What a page declares as content is an exception, as two articles may well
-   share a paragraph: its lines stay, and where a page declares content, only
-   those do. Boilerplate lines go in any case.
-
-The order by host and path is cut into ranges of about equal counts. A range
-also gets the last page of the range before it and the first of the one after,
-so a busy host is spread over tasks and no pair is missed; a task holds three
-pages at a time.
+4. Lines that more than half of a host's differing pages carry, and three at
+   least, are template as well, wherever they stand.
+5. What a page declares as content is an exception, as two articles may well
+   share a paragraph: its lines stay unless more than half of the differing pages
+   of the host carry them, and eight at least. Where such lines make up most of
+   the declared content, the pages are versions of one text and it stays whole.
+   Text outside the declared element is kept like that of any page. Boilerplate
+   lines go in any case.
+
+A first pass counts per host how many differing pages carry a line. The order by
+host and path is cut into ranges of about equal counts. A range also gets the
+last page of the range before it, the first of the one after and the template
+lines of its hosts, so a busy host is spread over tasks and no pair is missed; a
+task holds the lines of one host's pages in its range.
 
 Defined cases: a null page has an empty text, a null address is an empty one (a
 host and path of their own); pages of one address follow each other by id, a
@@ -31,15 +37,16 @@ from __future__ import annotations
 import html
 import math
 import re
-from bisect import bisect_right
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.frames import column, released, text_of
+from gridwright.llm.frames import column, released, text_of, written
 
 _WORDS = """nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement advertising banner
     cookie cookies consent gdpr notice notices alert popup modal overlay promo promotion sponsor sponsored share sharing social
@@ -63,8 +70,14 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Of two pages with at least this share of equal lines, one is a copy of the other.
 COPY_SHARE = 0.8
+#: A line of the host's template is on more than half of its differing pages, and on so many at least; declared content needs more.
+TEMPLATE_PAGES, DECLARED_PAGES = 3, 8
+#: Hosts whose number of pages goes along to every task; beyond, a join shuffles.
+BROADCAST_HOSTS = 200_000
 
 CONTENT, PLAIN, CHROME = 2, 1, 0
+#: The columns of a page on its way to a range.
+PAGE = ("page_id", "url", "host", "path", "rank", "lines")
 
 
 @dataclass(frozen=True)
@@ -73,6 +86,14 @@ class Line:
     zone: int
 
 
+@dataclass(frozen=True)
+class Host:
+    """The numbers of the lines that a host repeats: those to delete from plain text, and from declared content too."""
+
+    plain: frozenset[int] = frozenset()
+    declared: frozenset[int] = frozenset()
+
+
 def _zone(tag: str, attributes: str, inside: int) -> int:
     """The zone inside an element, given the zone around it."""
     if inside == CHROME or tag in BOILERPLATE or tag == "header" and inside != CONTENT:
@@ -195,22 +216,70 @@ def shared_path(one: str, other: str) -> int:
     return next((i for i, (a, b) in enumerate(zip(one, other)) if a != b), min(len(one), len(other)))
 
 
-def main_text(lines: list[Line], path: str, neighbours: list[tuple[str, list[Line]]]) -> str:
-    """The text of a page, given the pages before and after it on its host."""
-    mine = [line.text for line in lines]
-    order = sorted(neighbours, key=lambda n: -shared_path(path, n[0]))
-    gone: set[int] = set()
-    for _, other in order:
-        common = common_lines(mine, [line.text for line in other])
-        if len(common) < COPY_SHARE * len(mine):
-            gone = common
-            break
-    declared = any(line.zone == CONTENT for line in lines)
-    keep = [
-        line.text for i, line in enumerate(lines)
-        if line.zone == CONTENT or not declared and line.zone == PLAIN and i not in gone
-    ]
-    return "\n".join(keep)
+def numbers(lines: Sequence[Line]) -> list[int]:
+    """A number for the text of each line."""
+    return [int.from_bytes(blake2b(line.text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) for line in lines]
+
+
+def shared_lines(lines: list[Line], mine: list[int], other: list[int], host: Host) -> set[int] | None:
+    """The places of the lines that another page has as well; None if the two are copies."""
+    common = common_lines(mine, other)
+    return common if len(common) < COPY_SHARE * len(mine) else None
+
+
+def kept(lines: list[Line], mine: list[int], gone: set[int], host: Host) -> str:
+    """The text without the lines at ``gone`` and without the template of the host."""
+    declared = [(line.text, number in host.declared) for line, number in zip(lines, mine) if line.zone == CONTENT]
+    repeated = [text for text, on_host in declared if on_host]
+    whole = (len(repeated) >= COPY_SHARE * len(declared)
+             and sum(map(len, repeated)) >= COPY_SHARE * sum(len(text) for text, _ in declared))
+    return "\n".join(
+        line.text for i, (line, number) in enumerate(zip(lines, mine))
+        if (whole or number not in host.declared if line.zone == CONTENT else i not in gone and number not in host.plain))
+
+
+def main_text(lines: list[Line], path: str, neighbours: list[tuple[str, list[Line]]], host: Host = Host()) -> str:
+    """The text of a page, given pages of its host, nearest first among those with equally much of the path."""
+    lines = own(lines)
+    mine = numbers(lines)
+    for _, other in sorted(neighbours, key=lambda n: -shared_path(path, n[0])):
+        gone = shared_lines(lines, mine, numbers(own(other)), host)
+        if gone is not None:
+            return kept(lines, mine, gone, host)
+    return kept(lines, mine, set(), host)
+
+
+def own(lines: list[Line]) -> list[Line]:
+    return [line for line in lines if line.zone != CHROME]
+
+
+def packed(page: str) -> str:
+    """The lines of a page that aren't boilerplate as one text, each behind its zone."""
+    return "\n".join(f"{line.zone}{line.text}" for line in own(lines_of(page)))
+
+
+def unpacked(text: str) -> list[Line]:
+    return [Line(line[1:], int(line[0])) for line in text.split("\n")] if text else []
+
+
+def host_lines(pages: DataFrame) -> DataFrame:
+    """``host`` with the numbers of the lines that it repeats, from ``host`` and ``html``."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [numbers(own(lines_of(page))) for page in batch.column("html").to_pylist()]
+            signs = [int.from_bytes(blake2b(repr(x).encode(), digest_size=8).digest(), "big", signed=True) for x in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("host"), pa.array(signs, type=pa.int64()), pa.array(found, type=pa.list_(pa.int64()))], ["host", "sign", "lines"])
+
+    found = pages.select("host", "html").mapInArrow(released(counted), "host string, sign long, lines array<long>")
+    differing = written(found.filter("size(lines) > 0").dropDuplicates(["host", "sign"]), "differing-pages")
+    hosts = differing.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= TEMPLATE_PAGES)
+    carried = differing.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(
+        F.count("*").alias("n")).filter(F.col("n") >= TEMPLATE_PAGES)
+    hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
+    # at most twice as many lines a host as a page of it has on average
+    return carried.join(hosts, "host").filter(2 * F.col("n") > F.col("pages")).groupBy("host").agg(
+        F.collect_list("line").alias("plain"), F.collect_list(F.when(F.col("n") >= DECLARED_PAGES, F.col("line"))).alias("declared"))
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", range_pages: int = 500) -> DataFrame:
@@ -232,51 +301,74 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         firsts, lasts = shared.value
         for batch in batches:
-            at = [bisect_right(firsts, k) - 1 for k in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "rank")))]
+            cells = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            cells["lines"] = [packed(page) for page in cells.pop("html")]
+            keys = list(zip(cells["host"], cells["path"], cells["rank"]))
+            at = [bisect_right(firsts, k) - 1 for k in keys]
             rows = list(range(batch.num_rows))
             where, guest = list(at), [0] * len(rows)
-            for i, k in enumerate(zip(*(batch.column(c).to_pylist() for c in ("host", "path", "rank")))):
+            for i, k in enumerate(keys):
                 if k == firsts[at[i]] and at[i]:
                     rows.append(i), where.append(at[i] - 1), guest.append(1)
                 if k == lasts[at[i]] and at[i] + 1 < len(firsts):
                     rows.append(i), where.append(at[i] + 1), guest.append(1)
-            out = batch.take(pa.array(rows, type=pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*out.columns, pa.array(where, type=pa.int64()), pa.array(guest, type=pa.int32())], [*batch.schema.names, "range", "guest"])
+            arrays = [pa.array([cells[c][i] for i in rows], type=pa.int64() if c == "page_id" else pa.string()) for c in PAGE]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(where, type=pa.int64()), pa.array(guest, type=pa.int32())], [*PAGE, "range", "guest"])
+
+    def placed_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = [first[0] for first in shared.value[0]]
+        for batch in batches:
+            spans = [(i, at) for i, name in enumerate(batch.column("host").to_pylist())
+                     for at in range(max(0, bisect_left(firsts, name) - 1), bisect_right(firsts, name))]
+            out = batch.take(pa.array([i for i, _ in spans], type=pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array([at for _, at in spans], type=pa.int64())], [*batch.schema.names, "range"])
 
     rows = pages.select(
         id_.alias("page_id"), column(url_column).cast("string").alias("url"), text_of(html_column).alias("html"),
         host.alias("host"), path.alias("path"), rank.alias("rank"))
-    order = ["range", "host", "path", "rank"]
-    dealt = rows.mapInArrow(released(placed), "page_id long, url string, html string, host string, path string, rank string, range long, guest int")
-    dealt = dealt.repartition("range").sortWithinPartitions(*order, F.xxhash64("html"))
+    dealt = rows.mapInArrow(released(placed), "page_id long, url string, host string, path string, rank string, lines string, range long, guest int")
+    hosts = host_lines(rows).mapInArrow(released(placed_hosts), "host string, plain array<long>, declared array<long>, range long")
+    # a host's own row has no rank and so stands before its pages
+    dealt = dealt.unionByName(hosts, allowMissingColumns=True).repartition("range").sortWithinPartitions(
+        "range", "host", F.col("rank").isNotNull(), "path", "rank", F.xxhash64("lines"))
+
+    def texts(group: list[dict], host: Host) -> Iterator[tuple]:
+        """The pages of a host in a range, with their texts."""
+        held = [(lines, numbers(lines)) for lines in (unpacked(row.pop("lines")) for row in group)]
+        for i, (row, (lines, mine)) in enumerate(zip(group, held)):
+            if not row["guest"]:
+                near = sorted((n for n in (i - 1, i + 1) if 0 <= n < len(group)), key=lambda n: -shared_path(row["path"], group[n]["path"]))
+                gone = next((x for x in (shared_lines(lines, mine, held[n][1], host) for n in near) if x is not None), set())
+                yield row["page_id"], row["url"], kept(lines, mine, gone, host)
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        group: list[dict] = []
+        host, now = Host(), None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if (row["range"], row["host"]) != now:
+                    yield from texts(group, host)
+                    group, host, now = [], Host(), (row["range"], row["host"])
+                if row["rank"] is None:
+                    host = Host(frozenset(row["plain"]), frozenset(row["declared"]))
+                else:
+                    group.append(row)
+        yield from texts(group, host)
 
     def differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window: list[tuple] = []  # the page before, the page in hand, the page after
-
-        def finish(before: tuple | None, page: tuple, after: tuple | None) -> tuple:
-            near = [(n["path"], lines) for n, lines in (x for x in (before, after) if x) if (n["range"], n["host"]) == (page[0]["range"], page[0]["host"])]
-            return page[0]["page_id"], page[0]["url"], main_text(page[1], page[0]["path"], near)
-
         def table(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [pa.array(x, type=t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))], ["page_id", "url", "text"])
 
         done: list[tuple] = []
         held = 0
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                window.append((row, lines_of(row.pop("html"))))
-                if len(window) > 1 and not window[-2][0]["guest"]:
-                    done.append(finish(window[-3] if len(window) > 2 else None, window[-2], window[-1]))
-                    held += len(done[-1][2])
-                del window[:-2]
-                if held > 4 << 20 or len(done) >= 2000:
-                    yield table(done)
-                    done, held = [], 0
-        if window and not window[-1][0]["guest"]:
-            done.append(finish(window[-2] if len(window) > 1 else None, window[-1], None))
+        for row in grouped(batches):
+            done.append(row)
+            held += len(row[2])
+            if held > 4 << 20 or len(done) >= 2000:
+                yield table(done)
+                done, held = [], 0
         if done:
             yield table(done)
 

@@ -71,6 +71,19 @@ def test_ranges_change_nothing(spark, range_pages):
         assert got[i] == text(page, path, near), i
 
 
+@pytest.mark.parametrize("range_pages", [4, 500])
+def test_the_host_decides_about_declared_content_too(spark, range_pages):
+    rows = [(i, f"http://h.example/{i:02d}", f"<div>Site</div><article><p>Shared {i // 2}</p><p>Read this first</p><p>Text {i} of its own</p></article>"
+             f"<div>After {i}</div>") for i in range(12)]
+    rows += [(100 + i, f"http://copies.example/{i:02d}", f"<article><p>{'One long text. ' * 20}</p><p>And more</p><p>And more yet</p><p>The end</p><p>{i}</p></article>")
+             for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), range_pages=range_pages).collect()}
+    for i in range(12):
+        assert got[i] == f"Shared {i // 2}\nText {i} of its own\nAfter {i}"
+    for i in range(9):
+        assert got[100 + i].endswith(f"text.\nAnd more\nAnd more yet\nThe end\n{i}")
+
+
 def test_odd_rows_and_no_rows(spark):
     rows = [(1, "http://a/1", None), (2, None, "<p>x"), (None, "http://a/2", "<p>y"), (3, "", ""), (3, "", ""), (4, "not an address", "<p>z</p>" * 20_000),
             (5, "http://a/3", "<article>" + "<p>word " * 50_000 + "</article>")]
