@@ -6,8 +6,11 @@
    ``main`` and the like) or in boilerplate (menus, headers, footers, sidebars,
    notices, adverts, forms, comments, by element, role, class or id).
 2. Pages of a host are ordered by the path of their address; a page is paired
-   with the neighbour that shares more of its path with it. A neighbour with
-   mostly the same lines is a copy, which tells nothing, so the other is taken.
+   with the nearest page before or after it that isn't a copy, of the two the one
+   that shares more of its path with it. A copy, which tells nothing, has the same
+   lines, or most of them by number and by length; boilerplate and template lines
+   of the host (4.) don't count. Where all pages of the range are copies, up to
+   eight others of the host, drawn by hash, are tried instead.
 3. The lines of the two pages are aligned by longest common subsequence, and
    the shared lines are deleted: templates repeat, articles don't.
 4. Lines that more than half of a host's differing pages carry, and three at
@@ -21,12 +24,14 @@
 
 A first pass counts per host how many differing pages carry a line. The order by
 host and path is cut into ranges of about equal counts. A range also gets the
-last page of the range before it, the first of the one after and the template
-lines of its hosts, so a busy host is spread over tasks and no pair is missed; a
-task holds the lines of one host's pages in its range.
+last page of the range before it, the first of the one after, and of its hosts the
+template lines and, if they reach over several ranges, the pages drawn by hash. So
+a busy host is spread over tasks; a task holds the lines of one host's pages in
+its range.
 
 Defined cases: a null page has an empty text, a null address is an empty one (a
-host and path of their own); pages of one address follow each other by id, a
+host and path of their own); on a host of two pages, lines that make up most of
+both by number and by length make them copies, template or not; pages of one address follow each other by id, a
 null id first; repeated rows are pages each; a page without a neighbour on its
 host, or with copies only, loses no line to differencing; extra columns are
 ignored; empty tables give an empty result.
@@ -43,6 +48,7 @@ from dataclasses import dataclass
 from hashlib import blake2b
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -223,8 +229,30 @@ def numbers(lines: Sequence[Line]) -> list[int]:
 
 def shared_lines(lines: list[Line], mine: list[int], other: list[int], host: Host) -> set[int] | None:
     """The places of the lines that another page has as well; None if the two are copies."""
-    common = common_lines(mine, other)
-    return common if len(common) < COPY_SHARE * len(mine) else None
+    if mine == other:
+        return None
+    at = [i for i, number in enumerate(mine) if number not in host.plain]
+    common = [at[i] for i in common_lines([mine[i] for i in at], other)]
+    if len(common) >= COPY_SHARE * len(at) and sum(len(lines[i].text) for i in common) >= COPY_SHARE * sum(len(lines[i].text) for i in at):
+        return None
+    return set(common)
+
+
+def nearest(held: list[tuple[list[Line], list[int]]], host: Host, step: int) -> list[tuple[int, set[int]] | None]:
+    """For each page the nearest one before (``step`` -1) or after it (1) that isn't a copy, and the lines that it has as well.
+
+    From a copy the search goes on to the page that is none of the copy's copies, so long runs take few steps.
+    """
+    out: list[tuple[int, set[int]] | None] = [None] * len(held)
+    for i in range(len(held)) if step < 0 else range(len(held) - 1, -1, -1):
+        at = i + step
+        while 0 <= at < len(held):
+            common = shared_lines(*held[i], held[at][1], host)
+            if common is not None:
+                out[i] = at, common
+                break
+            at = out[at][0] if out[at] else -1
+    return out
 
 
 def kept(lines: list[Line], mine: list[int], gone: set[int], host: Host) -> str:
@@ -262,24 +290,29 @@ def unpacked(text: str) -> list[Line]:
     return [Line(line[1:], int(line[0])) for line in text.split("\n")] if text else []
 
 
-def host_lines(pages: DataFrame) -> DataFrame:
-    """``host`` with the numbers of the lines that it repeats, from ``host`` and ``html``."""
+def host_rows(pages: DataFrame, spread: Broadcast[frozenset[str]]) -> DataFrame:
+    """``host`` with the numbers of the lines that it repeats, or for hosts in ``spread`` the lines of some ``others``, from ``host`` and ``html``."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [numbers(own(lines_of(page))) for page in batch.column("html").to_pylist()]
             signs = [int.from_bytes(blake2b(repr(x).encode(), digest_size=8).digest(), "big", signed=True) for x in found]
+            wide = [name in spread.value for name in batch.column("host").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("host"), pa.array(signs, type=pa.int64()), pa.array(found, type=pa.list_(pa.int64()))], ["host", "sign", "lines"])
+                [batch.column("host"), pa.array(wide, type=pa.bool_()), pa.array(signs, type=pa.int64()), pa.array(found, type=pa.list_(pa.int64()))],
+                ["host", "wide", "sign", "lines"])
 
-    found = pages.select("host", "html").mapInArrow(released(counted), "host string, sign long, lines array<long>")
+    found = pages.select("host", "html").mapInArrow(released(counted), "host string, wide boolean, sign long, lines array<long>")
     differing = written(found.filter("size(lines) > 0").dropDuplicates(["host", "sign"]), "differing-pages")
     hosts = differing.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= TEMPLATE_PAGES)
     carried = differing.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(
         F.count("*").alias("n")).filter(F.col("n") >= TEMPLATE_PAGES)
     hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
     # at most twice as many lines a host as a page of it has on average
-    return carried.join(hosts, "host").filter(2 * F.col("n") > F.col("pages")).groupBy("host").agg(
+    repeated = carried.join(hosts, "host").filter(2 * F.col("n") > F.col("pages")).groupBy("host").agg(
         F.collect_list("line").alias("plain"), F.collect_list(F.when(F.col("n") >= DECLARED_PAGES, F.col("line"))).alias("declared"))
+    drawn = [by("lines", F.xxhash64("sign", F.lit(seed))) for seed in range(4) for by in (F.min_by, F.max_by)]
+    others = differing.filter("wide").groupBy("host").agg(F.array_distinct(F.array(*drawn)).alias("others"))
+    return repeated.unionByName(others, allowMissingColumns=True)
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", range_pages: int = 500) -> DataFrame:
@@ -327,34 +360,41 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
         id_.alias("page_id"), column(url_column).cast("string").alias("url"), text_of(html_column).alias("html"),
         host.alias("host"), path.alias("path"), rank.alias("rank"))
     dealt = rows.mapInArrow(released(placed), "page_id long, url string, host string, path string, rank string, lines string, range long, guest int")
-    hosts = host_lines(rows).mapInArrow(released(placed_hosts), "host string, plain array<long>, declared array<long>, range long")
-    # a host's own row has no rank and so stands before its pages
+    spread = {first[0][0] for first, before in zip(bounds[1:], bounds) if first[0][0] == before[1][0]}  # one host a range at most
+    hosts = host_rows(rows, pages.sparkSession.sparkContext.broadcast(frozenset(spread))).mapInArrow(
+        released(placed_hosts), "host string, plain array<long>, declared array<long>, others array<array<long>>, range long")
+    # a host's own rows have no rank and so stand before its pages
     dealt = dealt.unionByName(hosts, allowMissingColumns=True).repartition("range").sortWithinPartitions(
         "range", "host", F.col("rank").isNotNull(), "path", "rank", F.xxhash64("lines"))
 
-    def texts(group: list[dict], host: Host) -> Iterator[tuple]:
+    def texts(group: list[dict], host: Host, others: list[list[int]]) -> Iterator[tuple]:
         """The pages of a host in a range, with their texts."""
         held = [(lines, numbers(lines)) for lines in (unpacked(row.pop("lines")) for row in group)]
-        for i, (row, (lines, mine)) in enumerate(zip(group, held)):
+        for row, (lines, mine), *sides in zip(group, held, nearest(held, host, -1), nearest(held, host, 1)):
             if not row["guest"]:
-                near = sorted((n for n in (i - 1, i + 1) if 0 <= n < len(group)), key=lambda n: -shared_path(row["path"], group[n]["path"]))
-                gone = next((x for x in (shared_lines(lines, mine, held[n][1], host) for n in near) if x is not None), set())
+                near = [side for side in sides if side]
+                if near:
+                    gone = max(near, key=lambda side: shared_path(row["path"], group[side[0]]["path"]))[1]
+                else:
+                    gone = next((x for x in (shared_lines(lines, mine, other, host) for other in others) if x is not None), set())
                 yield row["page_id"], row["url"], kept(lines, mine, gone, host)
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         group: list[dict] = []
-        host, now = Host(), None
+        host, others, now = Host(), [], None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 if (row["range"], row["host"]) != now:
-                    yield from texts(group, host)
-                    group, host, now = [], Host(), (row["range"], row["host"])
-                if row["rank"] is None:
+                    yield from texts(group, host, others)
+                    group, host, others, now = [], Host(), [], (row["range"], row["host"])
+                if row["rank"] is not None:
+                    group.append(row)
+                elif row["plain"] is not None:
                     host = Host(frozenset(row["plain"]), frozenset(row["declared"]))
                 else:
-                    group.append(row)
-        yield from texts(group, host)
+                    others = row["others"]
+        yield from texts(group, host, others)
 
     def differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def table(rows: list[tuple]) -> pa.RecordBatch:

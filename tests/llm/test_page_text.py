@@ -84,6 +84,28 @@ def test_the_host_decides_about_declared_content_too(spark, range_pages):
         assert got[100 + i].endswith(f"text.\nAnd more\nAnd more yet\nThe end\n{i}")
 
 
+def test_copies_are_judged_by_the_own_text():
+    chrome = "<nav>" + "<p>menu</p>" * 40 + "</nav>"
+    template = "".join(f"<p>Template line {i}</p>" for i in range(40))
+    one, other = (chrome + template + "".join(f"<p>{name} {i} {'long words ' * 20}</p>" for i in range(5)) for name in ("Mine", "Yours"))
+    assert [x.split()[0] for x in text(one, near=[("/a/2", other)]).split("\n")] == ["Mine"] * 5
+    edited = one.replace("Mine 3", "Edited 3").replace("<nav>", "<nav><p>new</p>")
+    assert text(one, near=[("/a/2", edited)]).count("\n") == 44  # a near copy tells nothing
+    assert text(one, near=[("/a/2", edited), ("/a/2b", one), ("/b", other)]).count("\n") == 4
+
+
+@pytest.mark.parametrize("range_pages", [2, 500])
+def test_template_heavy_hosts_and_runs_of_copies(spark, range_pages):
+    template = "".join(f"<p>Template line {i}</p>" for i in range(40))
+    rows = [(i, f"http://heavy.example/{i}", template + "".join(f"<p>own {i} {k}</p>" for k in range(5))) for i in range(6)]
+    rows += [(100 + i, f"http://copies.example/a{i}", "<p>Site</p><p>Long text</p>") for i in range(9)]
+    rows += [(200, "http://copies.example/b", "<p>Site</p><p>Another</p><p>text</p>")]
+    got = {r["page_id"]: r["text"] for r in page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), range_pages=range_pages).collect()}
+    for i in range(6):
+        assert got[i] == "\n".join(f"own {i} {k}" for k in range(5))
+    assert {got[100 + i] for i in range(9)} == {"Long text"} and got[200] == "Another\ntext"
+
+
 def test_odd_rows_and_no_rows(spark):
     rows = [(1, "http://a/1", None), (2, None, "<p>x"), (None, "http://a/2", "<p>y"), (3, "", ""), (3, "", ""), (4, "not an address", "<p>z</p>" * 20_000),
             (5, "http://a/3", "<article>" + "<p>word " * 50_000 + "</article>")]
