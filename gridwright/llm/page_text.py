@@ -4,7 +4,11 @@
    each a line of text with white space as single blanks and references decoded.
    A line knows whether it lies in content that the page declares (``article``,
    ``main`` and the like) or in boilerplate (menus, headers, footers, sidebars,
-   notices, adverts, forms, comments, by element, role, class or id).
+   notices, adverts, forms, comments, by element, role, class or id). A class or
+   id counts if all its parts are names of boilerplate or of boxes (``share-box``,
+   not ``has-sidebar``), and not for an element around declared content (apart
+   from comments and links to other pages, where every card may be an ``article``)
+   nor around most of the text of a page that declares none outside it.
 2. Pages of a host are ordered by the path of their address; a page is paired
    with the nearest page before or after it that isn't a copy, of the two the one
    that shares more of its path with it. A copy, which tells nothing, has the same
@@ -45,6 +49,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -54,10 +59,10 @@ from pyspark.sql import functions as F
 
 from gridwright.llm.frames import column, released, text_of, written
 
-_WORDS = """nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement advertising banner
+_WORDS = frozenset("""nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement advertising banner
     cookie cookies consent gdpr notice notices alert popup modal overlay promo promotion sponsor sponsored share sharing social
     comment comments reply replies disqus related recommended breadcrumb breadcrumbs pagination pager newsletter subscribe
-    subscription widget toolbar login signin signup search""".split()
+    subscription widget toolbar login signin signup search""".split())
 #: Elements that are never content, and those whose inside is not markup.
 BOILERPLATE = frozenset("""head title nav footer aside form script style noscript template iframe button select option textarea svg math
     canvas object embed audio video dialog menu datalist input label fieldset legend""".split())
@@ -71,7 +76,14 @@ BLOCKS = frozenset("""address article aside blockquote body center dd details di
 CLOSED_BY_BLOCK = frozenset({"p"})
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-_HINT = re.compile(r"(?:^|[\s_-])(?:" + "|".join(_WORDS) + r")(?:$|[\s_-])", re.I)
+#: Parts that may stand beside those words in a class or id, as in ``share-box`` or ``site-header``.
+_BESIDE = frozenset("""bar block bottom box btn button buttons container content fixed global group inner item items left link links list main
+    mobile outer panel post primary right row secondary section site slot sticky sub text title top unit wrap wrapper""".split())
+#: Boilerplate of the page, but the title's place inside an article and beside these parts.
+_TOPS, _OF_TEXT = frozenset("header masthead banner".split()), frozenset("content group item post section text title".split())
+#: Boilerplate whose entries may be articles of their own.
+_CARDS = frozenset("ad ads comment comments reply replies disqus related recommended promo promotion sponsor sponsored".split())
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+(?:x[0-9]+)?")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Of two pages with at least this share of equal lines, one is a copy of the other.
@@ -100,35 +112,67 @@ class Host:
     declared: frozenset[int] = frozenset()
 
 
-def _zone(tag: str, attributes: str, inside: int) -> int:
-    """The zone inside an element, given the zone around it."""
+@lru_cache(10_000)
+def _hint(names: str) -> frozenset[str]:
+    """The boilerplate words of a class or id that has no other parts than those and names of boxes."""
+    found: set[str] = set()
+    for name in names.split():
+        parts = [p.lower() for p in _PARTS.findall(name)]
+        if all(p in _WORDS or p in _BESIDE or p[0].isdigit() for p in parts):
+            words = _WORDS.intersection(parts)
+            found |= words - _TOPS if _OF_TEXT.intersection(parts) else words
+    return frozenset(found)
+
+
+def _zone(tag: str, attributes: str, inside: int) -> tuple[int, frozenset[str]]:
+    """The zone inside an element, given the zone around it, and the boilerplate words of its class and id."""
     if inside == CHROME or tag in BOILERPLATE or tag == "header" and inside != CONTENT:
-        return CHROME
+        return CHROME, frozenset()
+    words: frozenset[str] = frozenset()
     if attributes.strip():
         found = {n.lower(): html.unescape(a or b or c or "") for n, a, b, c in _ATTRIBUTE.findall(attributes)}
         role = found.get("role", "").lower()
         if (role in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-                or "display:none" in found.get("style", "").replace(" ", "").lower()
-                or tag not in ("html", "body", "article", "main", "h1") and (_HINT.search(found.get("class", "")) or _HINT.search(found.get("id", "")))):
-            return CHROME
+                or "display:none" in found.get("style", "").replace(" ", "").lower()):
+            return CHROME, words
+        if tag not in ("html", "body", "article", "main", "h1"):
+            words = _hint(found.get("class", "")) | _hint(found.get("id", ""))
+            words = words - _TOPS if inside == CONTENT else words
         if role in ("main", "article") or found.get("itemprop") == "articleBody":
-            return CONTENT
-    return CONTENT if tag in ("article", "main") else inside
+            return CONTENT, words
+    return CONTENT if tag in ("article", "main") else inside, words
+
+
+@dataclass
+class _Hinted:
+    """An element whose class or id tells of boilerplate, within ``around`` others; whether it holds content declared in it."""
+
+    cards: bool
+    around: _Hinted | None
+    declares: bool = False
+    size: int = 0
+    content: int = 0
+
+    def outer(self) -> Iterator[_Hinted]:
+        at: _Hinted | None = self
+        while at:
+            yield at
+            at = at.around
 
 
 def lines_of(page: str) -> list[Line]:
     """The lines of a page in order."""
-    out: list[Line] = []
-    open_: list[tuple[str, int]] = []
+    out: list[tuple[Line, _Hinted | None]] = []
+    open_: list[tuple[str, int, _Hinted | None]] = []
     pieces: list[str] = []
-    zone = PLAIN
+    zone, hinted = PLAIN, None
 
     def end_line() -> None:
         if pieces:
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
-                out.append(Line(text, zone))
+                out.append((Line(text, zone), hinted))
 
     at = 0
     while at < len(page):
@@ -163,18 +207,44 @@ def lines_of(page: str) -> list[Line]:
                     open_.pop()
             elif tag == "br":
                 pieces.append(" ")
-            around = open_[-1][1] if open_ else PLAIN
+            around, outer = open_[-1][1:] if open_ else (PLAIN, None)
             if tag in RAW and not token[3].rstrip().endswith("/"):
                 close = re.compile(r"</" + re.escape(tag) + r"\s*>", re.I).search(page, at)
                 at = close.end() if close else len(page)
             elif tag not in VOID:
-                open_.append((tag, _zone(tag, token[3], around)))
-        now = open_[-1][1] if open_ else PLAIN
-        if now != zone:
+                inner_zone, words = _zone(tag, token[3], around)
+                if inner_zone == CONTENT and around == PLAIN:
+                    for scope in outer.outer() if outer else ():
+                        scope.declares |= not scope.cards
+                if words:
+                    outer = _Hinted(bool(words & _CARDS), outer)
+                open_.append((tag, inner_zone, outer))
+        now, scope = open_[-1][1:] if open_ else (PLAIN, None)
+        if now != zone or scope is not hinted:
             end_line()
-            zone = now
+            zone, hinted = now, scope
     end_line()
-    return out
+    return _settled(out)
+
+
+def _settled(found: list[tuple[Line, _Hinted | None]]) -> list[Line]:
+    """The lines, with those inside hinted elements as boilerplate unless the element holds the content of the page."""
+    size = content = 0
+    for line, hinted in found:
+        if line.zone != CHROME:
+            size += len(line.text)
+            content += line.zone == CONTENT
+            for scope in hinted.outer() if hinted else ():
+                scope.size += len(line.text)
+                scope.content += line.zone == CONTENT
+
+    def boilerplate(scope: _Hinted) -> bool:
+        return not scope.declares and (2 * scope.size <= size or content > scope.content)
+
+    return [
+        Line(line.text, CHROME) if hinted and any(boilerplate(s) for s in hinted.outer()) else line
+        for line, hinted in found
+    ]
 
 
 def common_lines(mine: list[str], other: list[str]) -> set[int]:

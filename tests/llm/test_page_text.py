@@ -106,6 +106,21 @@ def test_template_heavy_hosts_and_runs_of_copies(spark, range_pages):
     assert {got[100 + i] for i in range(9)} == {"Long text"} and got[200] == "Another\ntext"
 
 
+@pytest.mark.parametrize("page, expected", [
+    ("<div class='content has-sidebar'><p>one</p><div class='sidebar'>s</div></div>", "one"), ("<div class='no-sidebar with-comments'>x</div><div>y</div>", "x\ny"),
+    ("<ol class='search-results'><li>a<li>b</ol><p>c</p>", "a\nb\nc"), ("<div id='article-header'><h1>T</h1></div><p>long text</p>", "T\nlong text"),
+    ("<div class='site-header'>s</div><div id='mainNav'>m</div><div class='ad-300x250'>a</div><p>long text</p>", "long text"),
+    ("<div class='search'><article><p>one</p></article><div class='share'>s</div></div>", "one"),
+    ("<div class='modal'><p>most of the text</p></div><p>rest</p>", "most of the text\nrest"),
+    ("<article>text</article><div id='comments'><article>a much longer answer of a reader</article></div>", "text"),
+    ("<main>text<div class='related'><article>some card</article></div></main>", "text"),
+    ("<div class='post-header'>T</div><article><div class='header'><h1>U</h1></div>long text</article>", "T\nU\nlong text"),
+    ("<nav><article>card</article></nav><article>text</article>", "text"),
+])
+def test_class_words(page, expected):
+    assert text(page) == expected
+
+
 def test_odd_rows_and_no_rows(spark):
     rows = [(1, "http://a/1", None), (2, None, "<p>x"), (None, "http://a/2", "<p>y"), (3, "", ""), (3, "", ""), (4, "not an address", "<p>z</p>" * 20_000),
             (5, "http://a/3", "<article>" + "<p>word " * 50_000 + "</article>")]
