@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridwright.llm import jaccard, mixing, packing, page_text, preference, secret_scan, toxicity, voronoi, warc, winnowing
 from gridwright.llm.frames import read_table
+from gridwright.session import checkpoint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,11 +48,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secret_model(docs: DataFrame) -> secret_scan.SecretModel:
-    """Fit on findings of a bounded sample of documents that their formats label."""
+    """Fit on findings of a bounded sample of documents, labelled where there is evidence, and on invented ones."""
     sample = secret_scan.sample_of(docs)
     dictionary = secret_scan.dictionary_of(sample)
-    found = secret_scan.findings(sample, dictionary)
-    return secret_scan.fit(found.withColumn("label", secret_scan.by_format(F.col("value"), F.col("before"))), dictionary)
+    found = secret_scan.by_evidence(checkpoint(secret_scan.findings(sample, dictionary))).select("features", "label")
+    invented = docs.sparkSession.createDataFrame(secret_scan.made_up(dictionary), "features array<double>, label int")
+    return secret_scan.fit(found.unionByName(invented), dictionary)
 
 
 @query("op9_secret_scan")

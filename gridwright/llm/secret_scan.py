@@ -2,7 +2,7 @@
 
 Candidates are values that stand after a credential word and ``=`` or ``:``, runs
 of key characters that hold a digit, and private key blocks. A forest, trained
-from labelled findings, scores each from its length, its character transitions
+from findings labelled by evidence or by a person, scores each from its length, its character transitions
 (between small vowels and consonants, capitals, digits and other signs), the
 share that dictionary words cover, the words of its path and the words next to it.
 
@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -41,6 +43,15 @@ CREDENTIAL_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "a
                     "accesskey", "auth", "bearer", "credential", "private_key")
 #: Words that announce an example.
 EXAMPLE_WORDS = ("example", "sample", "test", "dummy", "fake", "placeholder", "your", "changeme", "xxx")
+#: Words that stand beside those in a value that is to be filled in.
+FILLERS = ("here", "value", "insert", "replace", "enter", "user", "name", "key", "api", "the", "this", "my")
+#: Published key formats.
+FORMATS = (
+    "(?:AKIA|ASIA)[0-9A-Z]{16}", "gh[pousr]_[A-Za-z0-9]{36,}", "github_pat_[A-Za-z0-9_]{22,}", r"glpat-[A-Za-z0-9_\-]{20,}", "[sr]k_live_[A-Za-z0-9]{16,}",
+    "whsec_[A-Za-z0-9+/]{24,}", r"xox[abeoprs]-[A-Za-z0-9\-]{10,}", r"AIza[A-Za-z0-9_\-]{35}", r"sk-(?:[a-z]+-)?[A-Za-z0-9_]{20,}", "npm_[A-Za-z0-9]{36}",
+    "hf_[A-Za-z0-9]{30,}", "dop_v1_[0-9a-f]{64}", "shpat_[0-9a-f]{32}", r"eyJ[A-Za-z0-9_\-]{16,}")
+#: A value in so many different surroundings is no secret, unless its format or a credential word says so.
+MANY_PLACES = 5
 #: Words of a path by what they tell.
 PATH_WORDS = (("test", "spec", "fixture", "mock"), ("doc", "docs", "readme", "example", "sample", "md", "rst"),
               ("conf", "config", "env", "settings", "yaml", "yml", "ini", "toml", "properties", "json"),
@@ -48,7 +59,10 @@ PATH_WORDS = (("test", "spec", "fixture", "mock"), ("doc", "docs", "readme", "ex
 
 _KEY = "|".join(CREDENTIAL_WORDS)
 CANDIDATE = re.compile(
-    r"(?P<block>-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z))"
+    # without an end line, the block ends with its last line of headers or base64
+    r"(?P<block>-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN ).)*?-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:\s*\n[ \t]*(?:[A-Za-z-]{4,20}: [^\n]*|[A-Za-z0-9+/]{16,}={0,2}(?![^\s\\\"']))|[ \t]*\\n[A-Za-z0-9+/]{16,}={0,2})*"
+    r"(?:\s*\n[A-Za-z0-9+/]{1,15}={1,2}(?!\S))?))"
     r"|(?i:(?<![a-z0-9])(?:" + _KEY + r"))[\"']?[ \t]{0,8}[:=][ \t]{0,8}[\"']?(?P<value>[^\s\"',;]{6,})"
     r"|(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_\-]*[0-9])(?P<run>[A-Za-z0-9+/_\-]{8,}={0,2})", re.DOTALL)
 _PARTS = re.compile(r"[a-z]+")
@@ -154,11 +168,78 @@ def _near(text: str, start: int, end: int) -> tuple[str, str]:
     return text[max(0, start - NEAR): start], text[end: end + NEAR]
 
 
-def by_format(value: Column, before: Column) -> Column:
-    """Labels for findings whose format alone tells: known key formats, and values of credential words, against the rest."""
-    assigned = before.rlike(r"(?i)(" + _KEY + r")[\"']?\s*[:=]\s*[\"']?$") & value.rlike("[0-9]")
-    known = value.rlike(r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|-----BEGIN .*)")
-    return F.when(assigned | known, 1).otherwise(0)
+def by_evidence(found: DataFrame) -> DataFrame:
+    """The findings with a ``label`` where there is evidence: 1 a secret, 0 a false positive, null unknown.
+
+    Secrets are values of published key formats, and values of credential words
+    that hold a digit or have the make of a phrase (several parts, capitals inside,
+    signs). False positives are examples (nothing is left of the value without
+    example words, or it is marked as one), blanks to fill in, code, a plain word
+    after credential words in many places; of bare runs, numbers, words and numbers
+    in a row, and what stands in many different places. Other bare runs stay unlabelled.
+    """
+    value, low = F.col("value"), F.lower("value")
+    assigned = F.col("before").rlike(r"(?i)(" + _KEY + r")[\"']?\s*[:=]\s*[\"']?$")
+    known = value.rlike("^(?:" + "|".join(FORMATS) + r")={0,2}$") | value.startswith("-----BEGIN ")
+    rest = F.regexp_replace(low, "|".join((*EXAMPLE_WORDS, *CREDENTIAL_WORDS, *FILLERS)), "")
+    example = value.rlike("EXAMPLE(?:KEY)?$") | low.rlike("|".join(EXAMPLE_WORDS)) & (F.length(F.regexp_replace(rest, "[^a-z]", "")) <= 2)
+    blank = (value.rlike(r"^[<$%{\[(]|[(\[{]|^(.)\1+$|^\*{3}|^[A-Za-z_]+(?:\.[A-Za-z_]+)+$")
+             | low.isin("null", "none", "true", "false", "undefined", "required", "optional", "string", "redacted", "hidden"))
+    phrase = (F.length("value") >= 8) & value.rlike(r"[A-Za-z]{2}[^A-Za-z\s]+[A-Za-z]{2}|[a-z][A-Z]|[!@#$%^&*+]")
+    plain = value.rlike(r"^[0-9+/_\-]+=*$|^(?:[A-Z]?[a-z]{2,}|[0-9]+)(?:[-_/+](?:[A-Z]?[a-z]{2,}|[0-9]+))*$|^[A-Za-z]{3,15}[0-9]{1,4}$")
+    label = (
+        F.when(example & ~value.startswith("-----BEGIN "), 0).when(known, 1)
+        .when(assigned, F.when(blank, 0).when(value.rlike("[0-9]") | phrase, 1).when(F.col("many"), 0))
+        .when(plain | F.col("many"), 0))
+    found = found.withColumn("mark", F.xxhash64("value"))
+    many = found.groupBy("mark").agg(F.count_distinct(F.xxhash64("before", "after")).alias("places")).filter(F.col("places") >= MANY_PLACES)
+    found = found.join(many.select("mark", F.lit(True).alias("many")), "mark", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    return found.withColumn("label", label).drop("mark", "many")
+
+
+def made_up(dictionary: frozenset[str], each: int = 12, seed: int = 5) -> list[tuple[list[float], int]]:
+    """Features and labels of invented findings, so that formats which the sample lacks are known too."""
+    rng = random.Random(seed)
+    words = sorted(dictionary)[:2000] or ["word"]
+    paths = ("", "web", "src/app.py", "docs/readme.md", "config/settings.yml", "tests/test_app.py")
+
+    def of(signs: str, n: int) -> str:
+        return "".join(rng.choice(signs) for _ in range(n))
+
+    def prose(n: int) -> str:
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    low, digits = string.ascii_lowercase, string.digits
+    hexes, letters = digits + "abcdef", string.ascii_letters + digits
+    bare = [
+        lambda: rng.choice(("AKIA", "ASIA")) + of(string.ascii_uppercase + digits, 16), lambda: f"gh{rng.choice('pousr')}_{of(letters, 36)}",
+        lambda: f"github_pat_{of(letters, 22)}_{of(letters, 59)}", lambda: f"glpat-{of(letters, 20)}", lambda: f"{rng.choice('sr')}k_live_{of(letters, 24)}",
+        lambda: f"whsec_{of(letters, 32)}", lambda: f"xox{rng.choice('abprs')}-{of(digits, 11)}-{of(digits, 12)}-{of(letters, 24)}", lambda: f"AIza{of(letters + '_-', 35)}",
+        lambda: f"sk-{of(letters, 48)}", lambda: f"npm_{of(letters, 36)}", lambda: f"hf_{of(letters, 34)}", lambda: f"dop_v1_{of(hexes, 64)}", lambda: f"shpat_{of(hexes, 32)}",
+        lambda: f"eyJ{of(letters, 40)}", lambda: f"-----BEGIN RSA PRIVATE KEY-----\n{of(letters + '+/', 64)}\n{of(letters + '+/', 64)}\n-----END RSA PRIVATE KEY-----"]
+    assigned = [
+        lambda: of(hexes, rng.choice((16, 18, 32, 40, 64))), lambda: of(letters + "+/", rng.choice((20, 40))), lambda: of(letters + "!@#$%", 12),
+        lambda: "-".join(of(low, rng.randint(4, 8)) for _ in range(rng.randint(2, 4))), lambda: "-".join(prose(rng.randint(2, 4)).split()), lambda: prose(1) + of(digits, 4)]
+    numbers = [
+        lambda: f"20{of(digits, 2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", lambda: f"555-{of(digits, 4)}", lambda: of(digits, rng.choice((8, 10, 12, 16))),
+        lambda: f"20{of(digits, 2)}-{of(digits, 4)}-{of(digits, 4)}", lambda: f"{'-'.join(prose(2).split())}-{of(digits, 2)}", lambda: f"{prose(1)}{of(digits, 2)}"]
+    examples = [
+        lambda: f"{rng.choice(('changeme', 'example', 'sample', 'dummy', 'test', 'placeholder', 'fake'))}{of(digits, rng.randint(0, 3))}", lambda: "your-api-key-here",
+        lambda: "your_password", lambda: "xxxxxxxxxxxx", lambda: "example-secret-1", lambda: "test_token_123", lambda: "<password>", lambda: "${SECRET_KEY}", lambda: "os.environ["]
+
+    def place(value: str, label: int, credential: bool) -> tuple[list[float], int]:
+        sign, quote = rng.choice((": ", "=", " = ")), rng.choice(("", "'", '"'))
+        if credential:
+            name = rng.choice(CREDENTIAL_WORDS)
+            before = prose(3) + " " + (name.upper() if rng.random() < 0.3 else name) + sign + quote
+        else:
+            before = prose(5) + rng.choice((" ", " ", "\n", " '", ' "', " key id: "))
+            quote = before[-1:] if before[-1:] in "'\"" else ""
+        return features(value, before[-NEAR:], (quote + " " + prose(5))[:NEAR], rng.choice(paths), dictionary), label
+
+    return [place(make(), label, credential) for makers, label, credentials in (
+        (bare, 1, (False, False, True)), (assigned, 1, (True,) * 3), (numbers, 0, (False,) * 3), (examples, 0, (True,) * 3))
+        for make in makers for credential in credentials for _ in range(each)]
 
 
 def findings(docs: DataFrame, dictionary: frozenset[str] = frozenset(), id_column: str = "doc_id", text_column: str = "text",
