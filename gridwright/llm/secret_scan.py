@@ -7,7 +7,7 @@ from findings labelled by evidence or by a person, scores each from its length,
 share that dictionary words cover, the words of its path and the words next to it.
 
 Training reads a sample of documents, ``max_documents`` at most in expectation
-and chosen by hash, from which the dictionary comes as well. Scanning reads each
+and chosen by hash; the words of the dictionary are counted over all of them. Scanning reads each
 whole text once in a single pass without a shuffle; the forest and the
 dictionary that go along have a fixed largest size.
 
@@ -67,6 +67,8 @@ CANDIDATE = re.compile(
     r"|(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_\-]*[0-9])(?P<run>[A-Za-z0-9+/_\-]{8,}={0,2})", re.DOTALL)
 _PARTS = re.compile(r"[a-z]+")
 _VOWELS = frozenset("aeiouy")
+#: Words that a task counts before it hands the counts on.
+WORDS_HELD = 200_000
 #: How much text on either side counts as neighbouring words.
 NEAR = 40
 
@@ -273,11 +275,17 @@ def _rows(docs: DataFrame, id_column: str, text_column: str, path_column: str |
 def dictionary_of(docs: DataFrame, words: int = 5000, text_column: str = "text") -> frozenset[str]:
     """The words of four to twelve small letters that occur most often."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), type=pa.string()), pa.array(list(seen.values()), type=pa.int64())], ["word", "n"])
+
         seen: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 seen.update(re.findall(r"\b[a-z]{4,12}\b", text))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), type=pa.string()), pa.array(list(seen.values()), type=pa.int64())], ["word", "n"])
+                if len(seen) > WORDS_HELD:
+                    yield table()
+                    seen.clear()
+        yield table()
 
     best = docs.select(text_of(text_column).alias("text")).mapInArrow(released(count), "word string, n long").groupBy("word").agg(
         F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).collect()  # at most `words` rows
