@@ -16,8 +16,10 @@ Exact for every pair of documents whose sets have a Jaccard similarity of
    pivot, the set that shares most of its hashes with others: of a family of
    near copies the one nearest to what they come from. Sets that are linked to
    it are answered by it: whatever is in one component already is not compared again.
-5. Round two: the pairs of a list that are in different components. Skipped
-   without being looked at are those that fail by size, by position in the list
+5. Round two: the pairs of a list that are in different components. A list is
+   sorted by size and by what may follow, and cut into blocks; from the blocks'
+   least and greatest values whole pairs of blocks are skipped, and then single
+   pairs, that fail by size, by position in the list
    (what may follow can't reach ``l``), or by their distances to the list's first
    set, whose answers bound theirs (triangle inequality on parity bitmaps). Of
    the rest, pairs whose bitmaps differ in more bits than linked sets may are
@@ -53,6 +55,8 @@ TEXT_RUN = 1 << 20
 MOST_BITS = 4096
 #: Sets of a list that one task compares with each other; longer lists are split.
 LIST_SETS = 4000
+#: Sets of a list, by size and by what may follow, whose least and greatest values are compared before any pair of them is made.
+BLOCK_SETS = 64
 #: Pairs looked at together.
 PAIR_RUN = 1 << 18
 
@@ -186,6 +190,46 @@ def _list_pairs(groups: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         row = stop
 
 
+def _block_pairs(group: np.ndarray, x: dict[str, np.ndarray], to_first: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows in one group, in runs, without those of blocks whose bounds rule all their pairs out.
+
+    Groups are in order and within each the sizes ``n`` are.
+    """
+    place = np.arange(len(group)) - np.searchsorted(group, group)
+    starts = np.flatnonzero(place % BLOCK_SETS == 0)
+    sizes = np.diff(np.r_[starts, len(group)])
+
+    def least(values: np.ndarray) -> np.ndarray:
+        return np.minimum.reduceat(values, starts)
+
+    def most(values: np.ndarray) -> np.ndarray:
+        return np.maximum.reduceat(values, starts)
+
+    n, n_most, rest, l, visitors = least(x["n"]), most(x["n"]), most(x["rest"]), least(x["l"]), least(x["visitor"])
+    near, far, component = least(to_first), most(to_first), least(x["component"])
+    alone = component == most(x["component"])
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield np.arange(len(starts)), np.arange(len(starts))
+        yield from _list_pairs(group[starts])
+
+    for a, b in blocks():
+        open_ = (
+            (100 * n_most[a] >= percent * n[b]) & ~(alone[a] & alone[b] & (component[a] == component[b])) & ~(visitors[a] & visitors[b])
+            & (np.minimum(rest[a], rest[b]) >= np.minimum(l[a], l[b]))
+            & (np.maximum(near[a], near[b]) - np.minimum(far[a], far[b]) <= (n_most[a] + n_most[b]) * (100 - percent) // (100 + percent))
+        )
+        a, b = a[open_], b[open_]
+        step = max(1, PAIR_RUN // BLOCK_SETS**2)
+        for k in range(0, len(a), step):
+            one, two = a[k: k + step], b[k: k + step]
+            made = sizes[one] * sizes[two]
+            pair = np.repeat(np.arange(len(one)), made)
+            at = np.arange(len(pair)) - np.repeat(np.cumsum(made) - made, made)
+            i, j = starts[one][pair] + at // sizes[two][pair], starts[two][pair] + at % sizes[two][pair]
+            yield i[i < j], j[i < j]
+
+
 def _compare(rows: pa.Table, percent: int, bounds: np.ndarray) -> Iterator[np.ndarray]:
     """Pairs of whole groups that no filter rules out, each run without repeats."""
     out, held = [], 0
@@ -196,12 +240,13 @@ def _compare(rows: pa.Table, percent: int, bounds: np.ndarray) -> Iterator[np.nd
     wide = np.array([bitmap_bits(max(0, c - 1), bounds) for c in get["list_class"]])
     for width in np.unique(wide):
         at = np.flatnonzero(wide == width)
+        at = at[np.lexsort((get["rest"][at], get["n"][at], groups[at]))]
         x = {c: v[at] for c, v in get.items()}
         group = groups[at]
         maps = _fold([bits[i] for i in at], int(width))
         first = np.searchsorted(group, group)
         to_first = np.bitwise_count(maps ^ maps[first]).sum(axis=1).astype(np.int64)
-        for i, j in _list_pairs(group):
+        for i, j in _block_pairs(group, x, to_first, percent):
             low, high = np.minimum(x["n"][i], x["n"][j]), np.maximum(x["n"][i], x["n"][j])
             # of two linked sets no more elements than this differ
             allowed = (x["n"][i] + x["n"][j]) * (100 - percent) // (100 + percent)

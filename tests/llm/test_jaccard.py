@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,25 @@ def test_split_lists_change_nothing(spark, monkeypatch):
     assert sorted(map(tuple, jaccard.join(docs).collect())) == brute(rows, 3, 90)
 
 
+def test_blocks_are_skipped_and_no_pair_is_missed():
+    rng = np.random.default_rng(3)
+    group = np.sort(rng.integers(0, 3, 1500))
+    x = {c: rng.integers(*span, 1500) for c, span in {"n": (10, 2000), "rest": (0, 20), "l": (1, 6), "component": (0, 40)}.items()}
+    x["visitor"] = rng.random(1500) < 0.3
+    to_first = x["n"] + rng.integers(0, 30, 1500)
+    order = np.lexsort((x["rest"], x["n"], group))
+    x, to_first = {c: v[order] for c, v in x.items()}, to_first[order]
+
+    def allowed(i, j):
+        return ((100 * np.minimum(x["n"][i], x["n"][j]) >= 90 * np.maximum(x["n"][i], x["n"][j])) & (x["component"][i] != x["component"][j])
+                & ~(x["visitor"][i] & x["visitor"][j]) & (np.minimum(x["rest"][i], x["rest"][j]) >= np.minimum(x["l"][i], x["l"][j]))
+                & (np.abs(to_first[i] - to_first[j]) <= (x["n"][i] + x["n"][j]) * 10 // 190))
+
+    every, made = ([np.concatenate(p) for p in zip(*pairs)] for pairs in (jaccard._list_pairs(group), jaccard._block_pairs(group, x, to_first, 90)))
+    wanted, got = (set(zip(i[allowed(i, j)].tolist(), j[allowed(i, j)].tolist())) for i, j in (every, made))
+    assert got == wanted and len(set(zip(made[0].tolist(), made[1].tolist()))) == len(made[0]) < len(every[0]) / 2
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(1000, 1000 + i) for i in range(1, 30)]
