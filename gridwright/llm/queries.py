@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import jaccard, mixing, packing, page_text, preference, secret_scan, toxicity, voronoi, warc, winnowing
+from gridwright.llm import bpe, jaccard, mixing, packing, page_text, preference, secret_scan, toxicity, voronoi, warc, winnowing
 from gridwright.llm.frames import read_table
 from gridwright.session import checkpoint
 
@@ -151,3 +151,15 @@ def op2_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_page_text")
 def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op12_bpe")
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoded = bpe.encode(read_table(spark, sf_dir, "documents"), path)
+    return bpe.decode(encoded, bpe.pieces(spark, path)).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
