@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import bpe, jaccard, mixing, packing, page_text, preference, secret_scan, toxicity, voronoi, warc, winnowing
+from gridwright.llm import bpe, jaccard, mixing, packing, page_text, preference, secret_scan, toxicity, vector_codes, voronoi, warc, winnowing
 from gridwright.llm.frames import read_table
 from gridwright.session import checkpoint
 
@@ -163,3 +163,29 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+_NEAREST = """{to} AS MATERIALIZED (SELECT vec_id, part, x, key % 64 AS entry, key // 64 AS dist FROM (
+  SELECT vec_id, part, any_value(x) AS x, min(64 * CAST(list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS BIGINT) + entry) AS key
+  FROM p JOIN {books} USING (part) GROUP BY vec_id, part))"""
+_MEANS = """{to} AS MATERIALIZED (SELECT part, entry, coalesce(mean, c) AS c FROM {books} LEFT JOIN (
+  SELECT part, entry, list(m ORDER BY j) AS mean FROM (SELECT part, entry, j, floor(sum(x[j]) / count(*)) AS m FROM {near}, range(1, 5) r(j) GROUP BY part, entry, j)
+  GROUP BY part, entry) USING (part, entry))"""
+CODES_SQL = f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS whole FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, whole[4 * part + 1 : 4 * part + 4] AS x FROM v, range(16) r(part)),
+b0 AS MATERIALIZED (SELECT part, entry, x AS c FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM p) WHERE entry < 64),
+{_NEAREST.format(to='n0', books='b0')}, {_MEANS.format(to='b1', books='b0', near='n0')},
+{_NEAREST.format(to='n1', books='b1')}, {_MEANS.format(to='b2', books='b1', near='n1')}, {_NEAREST.format(to='n2', books='b2')},
+s AS (SELECT sha256(string_agg(CAST(CAST(c[j] AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, j)) AS codebooks_sha256 FROM b2, range(1, 5) r(j)),
+e AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error FROM n2 GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN v USING (vec_id), s"""
+
+
+@query("op13_vector_codes", CODES_SQL)
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    books = vector_codes.train(vectors)
+    return vector_codes.with_label_errors(vector_codes.compress(vectors, books)).select(
+        F.col("id").alias("vec_id"), F.array_join(F.transform("code", lambda e: F.lpad(F.lower(F.hex(e)), 2, "0")), "").alias("code"),
+        "error", "label_error", F.lit(books.digest if books else None).cast("string").alias("codebooks_sha256"))
