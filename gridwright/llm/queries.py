@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import bpe, jaccard, mixing, packing, page_text, preference, secret_scan, toxicity, vector_codes, voronoi, warc, winnowing
+from gridwright.llm import bpe, jaccard, mixing, packing, page_text, preference, ranked_search, secret_scan, toxicity, vector_codes, voronoi, warc, winnowing
 from gridwright.llm.frames import read_table
 from gridwright.session import checkpoint
 
@@ -189,3 +189,21 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.with_label_errors(vector_codes.compress(vectors, books)).select(
         F.col("id").alias("vec_id"), F.array_join(F.transform("code", lambda e: F.lpad(F.lower(F.hex(e)), 2, "0")), "").alias("code"),
         "error", "label_error", F.lit(books.digest if books else None).cast("string").alias("codebooks_sha256"))
+
+
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{ranked_search.CAPITALS}', '{ranked_search.SMALL}'), '{ranked_search.TERM}')"
+RANKED_SQL = rf"""WITH t AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM d),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY term, docs),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // len)))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN w USING (term) JOIN d USING (doc_id), c GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+
+
+@query("op11_ranked_search", RANKED_SQL)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
