@@ -5,10 +5,11 @@
    share one. Texts form blocks of about ``block_bytes``; a block numbers its
    distinct words, and each text becomes a run of numbers, its positions.
 2. Table: the blocks' words, one row per block and word however often it stands
-   there, are brought together; every distinct word is encoded once (``word_table``).
-3. Join: the ids go back to the blocks by word, and from there to the texts by
-   position. The texts' numbers are kept as a table bucketed by block, so only
-   the words' ids are shuffled, never texts or positions.
+   there, are brought together in order, so every distinct word is a run of rows
+   and is encoded once (``word_table``).
+3. Join: the ids go back to the blocks by word number, and from there to the texts
+   by position. The texts' numbers are kept as a table bucketed by block, so only
+   words and their ids are shuffled, never texts or positions.
 4. Decoding joins ids to the vocabulary's pieces (``pieces``). That table's size
    is the tokenizer's, whatever the texts are, so it is at hand in every task and
    each id of a batch takes the row of its number.
@@ -33,6 +34,7 @@ import math
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +42,13 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from gridwright.llm.frames import column, map_columns, ragged, released, slices, text_of
+from gridwright.llm.frames import column, ragged, released, slices, text_of
 from gridwright.session import scratch_path
 
 #: Bytes of text to a block.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 96 << 20
 #: Bytes of text split at once.
 TEXT_RUN = 4 << 20
 #: Words in a row of a block's word list, and ids that become pieces at once.
@@ -162,6 +164,7 @@ def blocks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     rows = docs.select(column(id_column).alias("doc_id"), text_of(text_column).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, math.ceil(size / block_bytes)))
+    rows = rows.coalesce(buckets)  # small parts of a table are read together: the more text, the fewer words by block
     kind = rows.schema["doc_id"].dataType.simpleString()
     path = scratch_path(spark, "word-blocks")
     name = "word_blocks_" + path.rsplit("-", 1)[1]
@@ -170,38 +173,68 @@ def blocks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     return spark.table(name)
 
 
-def word_table(words: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Every distinct word once, with its ids. ``words`` has the column ``word``."""
-    def encoded(columns: list[pa.Array]) -> list[pa.Array]:
-        found = _tokenizer(tokenizer_path).encode_batch_fast(columns[0].to_pylist(), add_special_tokens=False)
-        return [columns[0], pa.array([x.ids for x in found], pa.list_(pa.int32()))]
+def _encoded(tokenizer_path: str):
+    """Words in sorted order get their ids (as ``packed``): each distinct word is encoded where its run begins."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, last_ids = None, b""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column("word").dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            new = words[1:] if words[0] == last else words  # the run goes on from the batch before
+            lists = [x.ids for x in _tokenizer(tokenizer_path).encode_batch_fast(new, add_special_tokens=False)]
+            ends = np.cumsum([len(x) for x in lists], dtype=np.int64)
+            ids = ([last_ids] if len(new) < len(words) else []) + packed(np.fromiter(chain.from_iterable(lists), dtype=np.int64), ends)
+            last, last_ids = words[-1], ids[-1]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), batch.column("block"), batch.column("number"), pa.array(ids, pa.binary()).take(coded.indices)],
+                ["word", "block", "number", "ids"])
+
+    return run
+
+
+def word_places(table: DataFrame) -> DataFrame:
+    """word, block and number of every block's words, each word's rows together and in order."""
+    words = table.filter(F.col("words").isNotNull()).select("block", "first", F.posexplode("words").alias("at", "word"))
+    return words.select("word", "block", (F.col("first") + F.col("at")).alias("number")).repartition("word").sortWithinPartitions("word")
 
-    schema = StructType([StructField("word", StringType()), StructField("ids", ArrayType(IntegerType()))])
-    return map_columns(words.select("word").distinct(), encoded, schema)
+
+def word_table(table: DataFrame, tokenizer_path: str) -> DataFrame:
+    """The distinct words of ``blocks`` with their ids (array of int)."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in _encoded(tokenizer_path)(batches):
+            words = batch.column("word").to_pylist()
+            begin = [i for i, w in enumerate(words) if w != (words[i - 1] if i else last)]
+            last = words[-1]
+            ids = [unpacked(x).astype(np.int32) for x in batch.column("ids").take(pa.array(begin, pa.int64())).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in begin], pa.string()), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+
+    return word_places(table).mapInArrow(released(rows), "word string, ids array<int>")
 
 
 def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, number, ids) of one block, as they come, as one row."""
+    """Rows (block, number, ids) of one block, as they come, as one row: numbers, the ids' bytes by word, and all ids."""
     held: list[pa.RecordBatch] = []
 
     def close() -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held).combine_chunks()
-        order = np.argsort(rows.column("block").to_numpy(), kind="stable")
-        rows = rows.take(pa.array(order)).combine_chunks()
-        block = rows.column("block").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-        numbers, ids = rows.column("number").to_numpy(), rows.column("ids").combine_chunks()
-        sizes, flat = pc.list_value_length(ids).to_numpy(zero_copy_only=False), ids.flatten().to_numpy()
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        lists = [pa.array([x[a:b] for a, b in zip(cuts, cuts[1:])], pa.list_(pa.int32())) for x in (numbers, sizes)]
-        lists.append(pa.array([flat[ends[a]: ends[b]] for a, b in zip(cuts, cuts[1:])], pa.list_(pa.int32())))
-        yield pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), *lists], ["block", "number", "size", "ids"])
+        rows = pa.Table.from_batches(held).select(["block", "number", "ids"])
+        rows = rows.take(pc.sort_indices(rows, [("block", "ascending"), ("number", "ascending")])).combine_chunks()
+        block, number, ids = (rows.column(c).combine_chunks() for c in ("block", "number", "ids"))
+        size = pc.binary_length(ids).to_numpy()
+        block = block.to_numpy()
+        ends = np.append(np.flatnonzero(np.diff(block)) + 1, len(block))
+        cuts = [0, *ends.tolist()]
+        flat = [b"".join(ids.slice(a, b - a).to_pylist()) for a, b in zip(cuts, cuts[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(block[ends - 1]), *(pa.array(packed(x.astype(np.int64), ends), pa.binary()) for x in (number.to_numpy(), size)),
+             pa.array(flat, pa.binary())], ["block", "number", "size", "ids"])
 
     count = 0
     for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            count += batch.num_rows
+        held.append(batch)
+        count += batch.num_rows
         if count >= 1 << 18:
             yield from close()
             held, count = [], 0
@@ -210,23 +243,32 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _placed(texts: pa.Table, words: pa.Table) -> pa.Table:
-    """The ids of a block's texts, from the ids of its words by number."""
-    def column_of(name: str) -> np.ndarray:
-        return words.column(name).combine_chunks().flatten().to_numpy().astype(np.int64)
+    """The ids of a block's texts (as ``packed``), from those of its words by number."""
+    def numbers(name: str) -> np.ndarray:
+        return np.concatenate([np.empty(0, dtype=np.int64), *map(unpacked, words.column(name).to_pylist())])
 
-    number, size, flat = column_of("number"), column_of("size"), column_of("ids").astype(np.int32)
+    number, size = numbers("number"), numbers("size")
+    flat = np.frombuffer(b"".join(words.column("ids").to_pylist()), dtype=np.uint8)
     begin, length = np.zeros((2, number.max(initial=-1) + 1), dtype=np.int64)
     begin[number], length[number] = np.cumsum(size) - size, size
     made = []
-    for batch in texts.to_batches(max_chunksize=1000):
+    for batch in texts.to_batches(max_chunksize=500):
         runs = [unpacked(x) for x in batch.column("numbers").to_pylist()]
-        whole = np.concatenate([np.empty(0, dtype=np.int64), *runs])
-        ids = ragged(flat, begin[whole], length[whole])
-        reached = np.concatenate([[0], np.cumsum(length[whole])])
-        ends = reached[np.concatenate([[0], np.cumsum([len(x) for x in runs])]).astype(np.int64)]
-        made.append(pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"]))
-    return pa.Table.from_batches(made, pa.schema([("doc_id", texts.schema.field("doc_id").type), ("ids", pa.list_(pa.int32()))]))
+        ids = [ragged(flat, begin[x], length[x]).tobytes() for x in runs]
+        made.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"]))
+    return pa.Table.from_batches(made, pa.schema([("doc_id", texts.schema.field("doc_id").type), ("ids", pa.binary())]))
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids as lists."""
+    for batch in batches:
+        for part in slices(batch, "ids", ID_RUN):
+            raw = part.column("ids").to_pylist()
+            ids = unpacked(b"".join(raw)).astype(np.int32)
+            last = np.concatenate([[0], np.cumsum(np.frombuffer(b"".join(raw), dtype=np.uint8) < 128)])
+            ends = last[np.concatenate([[0], np.cumsum([len(x) for x in raw])])]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
 
 
 def encode(
@@ -234,14 +276,12 @@ def encode(
 ) -> DataFrame:
     """doc_id and ids (array of int) of every whole text."""
     table = blocks(docs, id_column, text_column, block_bytes)
-    lists = table.filter(F.col("words").isNotNull())
-    words = lists.select("block", "first", F.posexplode("words").alias("at", "word")).select(
-        "word", "block", (F.col("first") + F.col("at")).alias("number"))
-    known = words.join(word_table(words, tokenizer_path), "word").select("block", "number", "ids")
-    known = known.mapInArrow(released(_by_block), "block long, number array<int>, size array<int>, ids array<int>")
+    known = word_places(table).mapInArrow(
+        released(lambda batches: _by_block(_encoded(tokenizer_path)(batches))), "block long, number binary, size binary, ids binary")
     texts = table.filter(F.col("words").isNull()).select("block", "doc_id", "numbers")
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_placed, f"doc_id {kind}, ids array<int>")
+    placed = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_placed, f"doc_id {kind}, ids binary")
+    return placed.mapInArrow(released(_listed), f"doc_id {kind}, ids array<int>")
 
 
 def pieces(spark: SparkSession, tokenizer_path: str) -> DataFrame:

@@ -52,8 +52,9 @@ def test_every_distinct_word_is_encoded_once(spark):
     table = bpe.blocks(docs, block_bytes=100)
     words = table.filter(F.col("words").isNotNull()).select(F.explode("words").alias("word"))
     assert words.count() > 5  # each block has its own list
-    found = [r["word"] for r in bpe.word_table(words, PATH).collect()]
-    assert sorted(found) == [",", ".", "mill", "stone"]
+    found = bpe.word_table(table, PATH).collect()
+    assert sorted(r["word"] for r in found) == [",", ".", "mill", "stone"]
+    assert {r["word"]: r["ids"] for r in found} == {r["word"]: Tokenizer.from_file(PATH).encode(r["word"]).ids for r in found}
 
 
 def test_decoding_any_ids(spark, tokenizer):
