@@ -77,9 +77,28 @@ def test_odd_rows_go_through(spark, sf):
     docs = docs.select(*corpus_pipeline.DOCUMENT, "size", "token")
     kept = corpus_pipeline.drop_near_copies(spark, docs, sf)
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 5, 6, 8, 9, 10]
-    for _, stage in corpus_pipeline.STAGES[:1] + corpus_pipeline.STAGES[2:]:
-        assert stage(spark, docs, sf).columns
-        assert stage(spark, docs.limit(0), sf).count() == 0
-    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), sf).count() == 0
+    made = {name: stage(spark, docs, sf).collect() for name, stage in corpus_pipeline.STAGES}  # whole rows, so every column is worked out
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+    ids = [r["doc_id"] or 0 for r in docs.collect()]
+    for name, rows in made.items():
+        if name == "mixing":  # documents without a word have nothing to give
+            assert {r["doc_id"] or 0 for r in rows} == {r["doc_id"] or 0 for r in docs.collect() if (r["text"] or "").split()}
+        elif name != "ngram_jaccard":
+            assert {r["doc_id"] or 0 for r in rows} == set(ids), name
+        if name != "packing":
+            assert list(rows[0].asDict()) == list(corpus_pipeline.DOCUMENT), name
+    assert sorted(r["doc_id"] or 0 for r in made["toxicity"]) == sorted(ids)
+    assert sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in made["secret_scan"]) == sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in docs.collect())
+    words = {}
+    for r in made["mixing"]:
+        words[r["source"]] = words.get(r["source"], 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+    size = {}
+    for r in docs.collect():
+        size[r["source"]] = size.get(r["source"], 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+    assert all(words.get(s, 0) <= 2 * n for s, n in size.items()) and sum(words.values()) > sum(size.values())
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert sum(r["length"] for r in made["packing"]) == sum(
+        len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
     assert jaccard.join(docs).count() == docs.count()
     assert secret_scan.sample_of(docs, 5).count() <= docs.count()

@@ -1,3 +1,4 @@
+import re
 import random
 import string
 
@@ -135,9 +136,11 @@ def test_labels(spark):
 
 
 def test_query(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")  # the smallest tables with planted tokens
     rows = queries.QUERIES["op9_secret_scan"](spark, sf).collect()
     text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in rows:
         value, before = text[r["doc_id"]][r["start"]: r["end"]], text[r["doc_id"]][: r["start"]]
         assert bool(r["secret"]) == (value.startswith("AKIA") or before.endswith(("password=", 'token = "')))
-    assert any(r["secret"] for r in rows) and not all(r["secret"] for r in rows)
+    planted = sum(len(re.findall(r"AKIA[0-9A-Z]{16}|password=[0-9a-f]{8}|token = \"[0-9a-f]{40}", t)) for t in text.values())
+    assert planted == sum(bool(r["secret"]) for r in rows) > 0 and not all(r["secret"] for r in rows)
