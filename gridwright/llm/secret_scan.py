@@ -7,9 +7,10 @@ from findings labelled by evidence or by a person, scores each from its length,
 share that dictionary words cover, the words of its path and the words next to it.
 
 Training reads a sample of documents, ``max_documents`` at most in expectation
-and chosen by hash; the words of the dictionary are counted over all of them. Scanning reads each
-whole text once in a single pass without a shuffle; the forest and the
-dictionary that go along have a fixed largest size.
+and chosen by hash; the words of the dictionary are counted over all of them (those
+in one of a thousand documents or more enter). Scanning reads each whole text once
+in a single pass without a shuffle; the forest and the dictionary that go along
+have a largest size that doesn't depend on how many documents there are.
 
 Defined cases: a null text is an empty one and has no candidates; repeated rows
 give their findings each; extra columns are ignored unless named in ``keep``;
@@ -21,22 +22,24 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import string
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright.llm.frames import PIECE_ROWS, column, map_columns, released, text_of
-from gridwright.session import checkpoint
+from gridwright.session import checkpoint, scratch_path
 
 #: Words that announce a credential.
 CREDENTIAL_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key",
@@ -65,7 +68,9 @@ CANDIDATE = re.compile(
     r"(?:\s*\n[A-Za-z0-9+/]{1,15}={1,2}(?!\S))?))"
     r"|(?i:(?<![a-z0-9])(?:" + _KEY + r"))[\"']?[ \t]{0,8}[:=][ \t]{0,8}[\"']?(?P<value>[^\s\"',;]{6,})"
     r"|(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_\-]*[0-9])(?P<run>[A-Za-z0-9+/_\-]{8,}={0,2})", re.DOTALL)
-_PARTS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[^\W\d_]+")
+#: A word of the dictionary: letters of any alphabet, nothing else that belongs to a word around them.
+_WORD = re.compile(r"(?<!\w)[^\W\d_]{4,}(?!\w)")
 _VOWELS = frozenset("aeiouy")
 #: Words that a task counts before it hands the counts on.
 WORDS_HELD = 200_000
@@ -79,13 +84,18 @@ def _kind(c: str) -> int:
     return 2 if "A" <= c <= "Z" else 3 if "0" <= c <= "9" else 4
 
 
+@lru_cache(4)
+def _longest(dictionary: frozenset[str]) -> int:
+    return max(map(len, dictionary), default=0)
+
+
 def _coverage(value: str, dictionary: frozenset[str]) -> float:
     """Share of the characters that the longest dictionary words from each place cover."""
-    covered = 0
+    covered, longest = 0, _longest(dictionary)
     for run in _PARTS.findall(value.lower()):
         at = 0
         while at < len(run) - 3:
-            size = next((n for n in range(min(12, len(run) - at), 3, -1) if run[at: at + n] in dictionary), 0)
+            size = next((n for n in range(min(longest, len(run) - at), 3, -1) if run[at: at + n] in dictionary), 0)
             covered += size
             at += size or 1
     return covered / len(value)
@@ -144,26 +154,24 @@ class SecretModel:
         return votes / len(self.trees)
 
 
-def _tree(text: str) -> tuple[np.ndarray, ...]:
-    """A tree from the printed form of the fitted one: a line ``If``, ``Else`` or ``Predict`` a node."""
-    lines = [line.strip() for line in text.splitlines()[1:] if line.strip()]
-    nodes: list[list[float]] = []
-
-    def read(at: int) -> tuple[int, int]:
-        number = len(nodes)
-        nodes.append([-1, 0.0, 0, 0, 0.0])
-        if lines[at].startswith("Predict"):
-            nodes[number][4] = float(lines[at].split(":")[1])
-            return number, at + 1
-        split = re.match(r"If \(feature (\d+) <= (\S+)\)", lines[at])
-        nodes[number][:2] = int(split[1]), float(split[2])
-        nodes[number][2], at = read(at + 1)
-        nodes[number][3], at = read(at + 1)
-        return number, at
-
-    read(0)
-    feature, threshold, left, right, vote = (np.array(x) for x in zip(*nodes))
-    return feature.astype(np.int64), threshold, left.astype(np.int64), right.astype(np.int64), vote
+def _trees(fitted: RandomForestClassificationModel, spark: SparkSession) -> list[tuple[np.ndarray, ...]]:
+    """The trees of a fitted forest from the table of nodes that the model is saved as."""
+    path = scratch_path(spark, "forest")
+    fitted.save(path)
+    nodes: dict[int, dict[int, Row]] = {}
+    for r in spark.read.parquet(os.path.join(path, "data")).select("treeID", "nodeData.*").collect():  # the model's own size
+        nodes.setdefault(r["treeID"], {})[r["id"]] = r
+    out = []
+    for _, tree in sorted(nodes.items()):
+        rows = [tree[i] for i in range(len(tree))]
+        inner = [r["leftChild"] >= 0 for r in rows]
+        out.append((
+            np.array([r["split"]["featureIndex"] if x else -1 for r, x in zip(rows, inner)], dtype=np.int64),
+            np.array([r["split"]["leftCategoriesOrThreshold"][0] if x else 0.0 for r, x in zip(rows, inner)]),
+            np.array([r["leftChild"] if x else 0 for r, x in zip(rows, inner)], dtype=np.int64),
+            np.array([r["rightChild"] if x else 0 for r, x in zip(rows, inner)], dtype=np.int64),
+            np.array([0.0 if x else r["prediction"] for r, x in zip(rows, inner)])))
+    return out
 
 
 def _near(text: str, start: int, end: int) -> tuple[str, str]:
@@ -202,7 +210,7 @@ def by_evidence(found: DataFrame) -> DataFrame:
 def made_up(dictionary: frozenset[str], each: int = 12, seed: int = 5) -> list[tuple[list[float], int]]:
     """Features and labels of invented findings, so that formats which the sample lacks are known too."""
     rng = random.Random(seed)
-    words = sorted(dictionary)[:2000] or ["word"]
+    words = sorted(dictionary) or ["word"]
     paths = ("", "web", "src/app.py", "docs/readme.md", "config/settings.yml", "tests/test_app.py")
 
     def of(signs: str, n: int) -> str:
@@ -272,8 +280,11 @@ def _rows(docs: DataFrame, id_column: str, text_column: str, path_column: str |
     return docs.select(column(id_column).alias("doc_id"), text_of(text_column).alias("text"), path.alias("path"))
 
 
-def dictionary_of(docs: DataFrame, words: int = 5000, text_column: str = "text") -> frozenset[str]:
-    """The words of four to twelve small letters that occur most often."""
+def dictionary_of(docs: DataFrame, share: float = 0.001, text_column: str = "text") -> frozenset[str]:
+    """The words of four or more letters of any alphabet, in small letters, that stand in at least ``share`` of all documents.
+
+    There are at most (distinct words of a document on average) / ``share`` of them, however many documents there are.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def table() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), type=pa.string()), pa.array(list(seen.values()), type=pa.int64())], ["word", "n"])
@@ -281,15 +292,14 @@ def dictionary_of(docs: DataFrame, words: int = 5000, text_column: str = "text")
         seen: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(re.findall(r"\b[a-z]{4,12}\b", text))
+                seen.update(set(_WORD.findall(text.lower())))
                 if len(seen) > WORDS_HELD:
                     yield table()
                     seen.clear()
         yield table()
 
-    best = docs.select(text_of(text_column).alias("text")).mapInArrow(released(count), "word string, n long").groupBy("word").agg(
-        F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).collect()  # at most `words` rows
-    return frozenset(r["word"] for r in best)
+    found = docs.select(text_of(text_column).alias("text")).mapInArrow(released(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return frozenset(r["word"] for r in found.filter(F.col("n") >= share * docs.count()).collect())
 
 
 def sample_of(docs: DataFrame, max_documents: int = 20_000, id_column: str = "doc_id") -> DataFrame:
@@ -308,7 +318,7 @@ def fit(labelled: DataFrame, dictionary: frozenset[str], trees: int = 20, depth:
     if len(seen) < 2:
         return SecretModel(dictionary=dictionary, constant=float(next(iter(seen), 0.5)))
     fitted = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(rows)
-    return SecretModel([_tree(t.toDebugString) for t in fitted.trees], dictionary)
+    return SecretModel(_trees(fitted, labelled.sparkSession), dictionary)
 
 
 def _scored(model: SecretModel, texts: Sequence[str], paths: Sequence[str]) -> list[list[tuple[int, int, float]]]:

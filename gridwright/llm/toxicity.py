@@ -4,9 +4,10 @@ Features are the character n-grams (``SIZES``) inside lower-cased words, a word
 being bounded by anything that is not a letter or digit; a feature counts once a
 text. Each n-gram is hashed into ``2 ** HASH_BITS`` cells. From the labelled
 texts come, per cell, the number of toxic and of clean texts that hold it; the
-log ratio of the two (smoothed) scales the feature. The ``features`` cells that
-tell the classes apart best (likelihood ratio) enter a logistic regression over
-the scaled values. A text's score is the regression's probability of label 1.
+log ratio of the two (smoothed) scales the feature. Every cell that tells the
+classes apart by ``least_gain`` (log likelihood ratio; 2 is what an n-gram gains
+that stands in one toxic text only where one text in eight is toxic) enters a
+logistic regression over the scaled values; there is no largest number of them. A text's score is the regression's probability of label 1.
 
 Scoring reads whole texts in one pass without a shuffle: the model (a table of
 fixed size) goes to the tasks, and long texts are worked through in windows that
@@ -145,7 +146,7 @@ def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-    label_column: str = "toxic", max_rows: int = 20_000, features: int = 4096,
+    label_column: str = "toxic", max_rows: int = 20_000, least_gain: float = 3.0,
     smoothing: float = 1.0, ridge: float = 1e-3,
 ) -> ToxicityModel:
     """Fit on the labelled rows, or where there are more than ``max_rows`` on about so many.
@@ -184,7 +185,7 @@ def fit(
     best = counted.select(
         "cell", F.log(share_of("toxic", 1) / share_of("clean", 0)).alias("ratio"),
         (surprise("clean", 0) + surprise("toxic", 1)).alias("gain"),
-    ).orderBy(F.desc("gain"), "cell").limit(features).collect()  # at most `features` rows
+    ).filter(F.col("gain") >= least_gain).orderBy("cell").collect()  # at most a row a hash cell
     slots, ratios = none.copy(), np.array([r["ratio"] for r in best])
     slots[[r["cell"] for r in best]] = np.arange(len(best))
 
@@ -211,7 +212,7 @@ def score(
     keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """``doc_id`` (or the columns ``keep``, as they are) and ``score`` in [0, 1] for every row, from its whole text."""
-    # fixed size: 2 ** HASH_BITS slots and at most `features` weights
+    # fixed size: 2 ** HASH_BITS slots and at most as many weights
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(columns: list[pa.Array]) -> list[pa.Array]:

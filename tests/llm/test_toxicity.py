@@ -1,5 +1,8 @@
+import math
+import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +44,65 @@ def test_score_reads_whole_long_texts(spark, labelled):
     assert score[1] < 0.5 <= score[2]
 
 
+def plain_grams(text):
+    """All n-grams of the words between two boundaries, by slicing."""
+    out = set()
+    for word in re.findall("[a-z0-9]+", text.lower()):
+        bounded = f" {word} "
+        out |= {bounded[a: a + n] for n in toxicity.SIZES for a in range(len(bounded) - n + 1)}
+    return out
+
+
+def cell_of(gram):
+    codes = np.array([0 if c == " " else ord(c) for c in gram], dtype=np.uint32)
+    return next(int(cell[0]) for n, (cell, _) in zip(toxicity.SIZES, toxicity.cells(codes)) if n == len(gram))
+
+
+def test_counts_ratios_choice_and_scores_by_hand(spark, labelled):
+    docs, labels = labelled
+    model = toxicity.fit(docs, labels, least_gain=2.0, ridge=1e-2)
+    label = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    held = {r["doc_id"]: {cell_of(g) for g in plain_grams(r["text"])} for r in docs.collect()}
+    size = [sum(v == k for v in label.values()) for k in (0, 1)]
+    count = {}
+    for i, cells in held.items():
+        for c in cells:
+            count.setdefault(c, [0, 0])[label[i]] += 1
+    chosen = {}
+    for c, (clean, toxic) in count.items():
+        p, q = (clean + 1) / (size[0] + 2), (toxic + 1) / (size[1] + 2)
+        both = (clean + toxic + 1) / (sum(size) + 2)
+        gain = sum(n * math.log(x / both) + (s - n) * math.log((1 - x) / (1 - both)) for n, s, x in ((clean, size[0], p), (toxic, size[1], q)))
+        if gain >= 2.0:
+            chosen[c] = math.log(q / p)
+    assert set(np.flatnonzero(model.slots >= 0).tolist()) == set(chosen) and len(chosen) > 20
+    for c, ratio in chosen.items():
+        assert model.ratios[model.slots[c]] == pytest.approx(ratio)
+    # the weights are at the optimum of the ridge regression over the scaled features
+    x = np.zeros((len(held), len(chosen)))
+    for row, cells in enumerate(held.values()):
+        for c in cells & set(chosen):
+            x[row, model.slots[c]] = model.ratios[model.slots[c]]
+    y = np.array([label[i] for i in held])
+    coefficient = np.divide(model.weights, model.ratios, out=np.zeros(len(model.ratios)), where=model.ratios != 0)
+    score = 1 / (1 + np.exp(-(x @ coefficient + model.bias)))
+    assert np.abs(x.T @ (score - y) / len(y) + 1e-2 * coefficient).max() < 2e-3 and abs((score - y).mean()) < 2e-3
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    np.testing.assert_allclose([got[i] for i in held], score, rtol=1e-9)
+
+
+def test_no_largest_number_of_features(spark):
+    """A toxic word that stands in two of 6,000 texts alone decides, behind thousands of more frequent n-grams."""
+    rows = [(i, prose(i, 30) + (" vile" if i % 8 == 0 else "") + f" w{i % 977}q{i % 613}") for i in range(6000)]
+    rows += [(6000 + i, f"{prose(-i - 1, 10)} zyxgorp zyxgorp{i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0 or i >= 6000)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    asked = spark.createDataFrame([(1, prose(99, 10)), (2, prose(99, 10) + " zyxgorp")], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(asked, model).collect()}
+    assert score[1] < 0.5 < score[2]
+
+
 def test_windows_change_nothing(spark, labelled, monkeypatch):
     docs, labels = labelled
     model = toxicity.fit(docs, labels)
