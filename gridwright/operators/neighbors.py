@@ -1,6 +1,7 @@
 """Exact k-nearest-neighbour join without comparing every pair.
 
-Donor rows are cut into cells by quantile bins of a few coordinates. A query
+Donor rows are cut into cells: up to three coordinates by their quantile bins,
+more by the balls of a pivot tree over all coordinates. A query
 first visits part of its own cell, and of the nearest others until it has met k
 donors, which bounds its k-th distance; afterwards it visits only the cells whose
 nearest possible point lies within that bound. Big
@@ -20,8 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.functions.columns import col
+from gridwright.operators.pivots import PivotTree
 from gridwright.session import checkpoint
 
+#: Up to so many columns, quantile cells bound every one; beyond, balls do.
+BOXED_COLUMNS = 3
+#: Rows that a pivot tree is grown on: so many a leaf, and in all at most.
+SAMPLE_A_LEAF, SAMPLE_ROWS = 32, 50_000
 METRICS = ("euclidean", "manhattan", "nan_euclidean")
 OUT = "qid string, did string, distance double, v double"
 
@@ -75,8 +81,8 @@ def _nearest(q: pd.DataFrame, d: pd.DataFrame, k: int, metric: str, slice_rows:
 class CellGrid:
     """Quantile cells over a few coordinates and the bounds between them."""
 
-    def __init__(self, axes: list[int], cuts: list[np.ndarray]):
-        self.axes, self.cuts = axes, cuts
+    def __init__(self, axes: list[int], cuts: list[np.ndarray], metric: str = "euclidean"):
+        self.axes, self.cuts, self.metric = axes, cuts, metric
         self.size = int(np.prod([len(c) + 2 for c in cuts])) if cuts else 1
 
     def cell(self, x: np.ndarray) -> np.ndarray:
@@ -88,6 +94,21 @@ class CellGrid:
             out = out * (len(cut) + 2) + slot
         return out
 
+    @property
+    def splits(self) -> bool:
+        return bool(self.axes)
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.cell(x), np.zeros(len(x))
+
+    def bounded_by(self, near: dict[int, float], far: dict[int, float]) -> CellGrid:
+        return self  # a cell is its own bound
+
+    def reach(self, x: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For every row and cell: the rank by which cells are opened (a row's own first), and the least possible distance."""
+        low = self.lower_bounds(x, cells, self.metric)
+        return np.where(cells[None, :] == self.cell(x)[:, None], -1.0, low), low
+
     def lower_bounds(self, x: np.ndarray, cells: np.ndarray, metric: str) -> np.ndarray:
         """Smallest distance any point of a cell can have to each row."""
         total = np.zeros((len(x), len(cells)))
@@ -106,7 +127,7 @@ class CellGrid:
         return (total if metric == "manhattan" else np.sqrt(total)) * (1 - 1e-9)
 
 
-def build_grid(donors: DataFrame, n: int, width: int, rows_per_cell: int, max_cells: int) -> CellGrid:
+def build_grid(donors: DataFrame, n: int, width: int, metric: str, rows_per_cell: int, max_cells: int) -> CellGrid:
     cells = min(max_cells, n // max(1, rows_per_cell))
     if cells < 2 or width == 0:
         return CellGrid([], [])
@@ -122,20 +143,32 @@ def build_grid(donors: DataFrame, n: int, width: int, rows_per_cell: int, max_ce
         for j in axes
     ]).first()
     cuts = [np.array(sorted(set(row[i] or []))) for i in range(len(axes))]
-    return CellGrid(axes, cuts)
+    return CellGrid(axes, cuts, metric)
 
 
-def _with_cell(df: DataFrame, grid: CellGrid, name: str = "cell") -> DataFrame:
-    if not grid.axes:
-        return df.withColumn(name, F.lit(0).cast("long"))
+def build_tree(donors: DataFrame, n: int, metric: str, rows_per_cell: int, max_cells: int) -> PivotTree:
+    """A pivot tree grown on the donors with the lowest hashes, ``SAMPLE_ROWS`` at most."""
+    leaves = min(max_cells, n // max(1, rows_per_cell))
+    if leaves < 2:
+        return PivotTree(metric)
+    wanted = min(SAMPLE_ROWS, SAMPLE_A_LEAF * leaves)
+    sample = donors.orderBy(F.xxhash64("did"), "did").limit(wanted).select("x").toPandas()["x"]
+    return PivotTree.grown(np.stack(sample.to_numpy()).astype("float64"), leaves, metric)
+
+
+def _with_cell(df: DataFrame, grid: CellGrid | PivotTree) -> DataFrame:
+    """With the ``cell`` of every row, and how ``far`` it is from the cell's centre."""
+    if not grid.splits:
+        return df.withColumns({"cell": F.lit(0).cast("long"), "far": F.lit(0.0)})
 
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield b.assign(**{name: grid.cell(np.stack(b["x"].to_numpy()))})
+                cell, far = grid.place(np.stack(b["x"].to_numpy()).astype("float64"))
+                yield b.assign(cell=cell, far=far)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(tag, f"{fields}, {name} bigint")
+    return df.mapInPandas(tag, f"{fields}, cell bigint, far double")
 
 
 def knn_join(
@@ -147,12 +180,14 @@ def knn_join(
     max_cells: int = 4096,
     chunk_rows: int = 20_000,
     query_rows: int = 20_000,
+    visits: dict[str, int] | None = None,
 ) -> DataFrame:
     """The k nearest donors of every query: (qid, rank, did, distance, v).
 
     ``queries`` has (qid string, x array<double>), ``donors`` (did string,
     x array<double>, v double: a value to carry along); missing coordinates are NaN and allowed with
-    ``nan_euclidean`` only. Ties are broken by donor id.
+    ``nan_euclidean`` only. Ties are broken by donor id. ``visits`` is given the
+    number of donor blocks, of queries and of the blocks that queries visited.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -160,15 +195,22 @@ def knn_join(
     donors = donors.select("did", "x", "v")
     n = donors.count()
     head = donors.select(F.size("x")).first()
-    grid = build_grid(donors, n, head[0] if head else 0, rows_per_cell, max_cells)
+    width = head[0] if head else 0
+    if width <= BOXED_COLUMNS:
+        grid: CellGrid | PivotTree = build_grid(donors, n, width, metric, rows_per_cell, max_cells)
+    else:
+        grid = build_tree(donors, n, metric, rows_per_cell, max_cells)
     donors = _with_cell(donors, grid)
-    if grid.axes:
+    if grid.splits:
         donors = checkpoint(donors)
-        counts = {r["cell"]: r["count"] for r in donors.groupBy("cell").count().collect()}
+        sizes = donors.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("near"), F.max("far").alias("far")).collect()
+        counts = {r["cell"]: r["n"] for r in sizes}
+        grid = grid.bounded_by({r["cell"]: r["near"] for r in sizes}, {r["cell"]: r["far"] for r in sizes})
     else:
         counts = {0: n}
+    donors = donors.drop("far")
     chunks = {c: max(1, math.ceil(m / chunk_rows)) for c, m in counts.items()}
-    if grid.axes:
+    if grid.splits:
         donors = donors.join(_lookup(donors.sparkSession, chunks, "n_chunks"), "cell")
     else:
         donors = donors.withColumn("n_chunks", F.lit(chunks[0]))
@@ -178,34 +220,37 @@ def knn_join(
     # donors in the first chunk of each cell
     opening = np.array([counts[c] / parts[c] for c in cells])
 
-    def nearest_cells(x: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Which cells a query visits first: its own, then the nearest ones, until they hold k donors."""
-        rank = np.where(cells[None, :] == grid.cell(x)[:, None], -1.0, lower)
+    def reach(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which cells a query visits first: its own, then the nearest ones, until they hold k donors; and the bounds of all."""
+        rank, lower = grid.reach(x, cells)
         order = np.argsort(rank, axis=1, kind="stable")
         held = np.cumsum(opening[order], axis=1)
         wanted = held - opening[order] < k
-        out = np.zeros(lower.shape, dtype=bool)
+        out = np.zeros(rank.shape, dtype=bool)
         np.put_along_axis(out, order, wanted, axis=1)
-        return out
+        return out, lower
 
     home = queries
-    if grid.axes:
+    if grid.splits:
         home = checkpoint(home)
 
         def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for s in range(0, len(b), 1024):
                     part = b.iloc[s:s + 1024]
-                    x = np.stack(part["x"].to_numpy())
-                    qi, ci = np.nonzero(nearest_cells(x, grid.lower_bounds(x, cells, metric)))
+                    x = np.stack(part["x"].to_numpy()).astype("float64")
+                    qi, ci = np.nonzero(reach(x)[0])
                     yield pd.DataFrame({"qid": part["qid"].to_numpy()[qi], "x": part["x"].to_numpy()[qi], "cell": cells[ci]})
 
         opened = home.mapInPandas(begin, "qid string, x array<double>, cell bigint")
     else:
         opened = home.withColumn("cell", F.lit(0).cast("long"))
     # 1. the nearest cells bound the k-th distance
-    first = _search(opened.withColumn("chunk", F.lit(0)), donors, k, metric, query_rows)
-    only_one = len(counts) == 1 and sum(chunks.values()) == 1 and not grid.axes
+    opened = checkpoint(opened.withColumn("chunk", F.lit(0)))
+    first = _search(opened, donors, k, metric, query_rows)
+    if visits is not None:
+        visits |= {"blocks": sum(chunks.values()), "queries": queries.count(), "visited": opened.count()}
+    only_one = len(counts) == 1 and sum(chunks.values()) == 1 and not grid.splits
     if only_one:
         found = first
     else:
@@ -222,9 +267,8 @@ def knn_join(
             for b in batches:
                 for s in range(0, len(b), 1024):
                     part = b.iloc[s:s + 1024]
-                    x = np.stack(part["x"].to_numpy())
-                    lower = grid.lower_bounds(x, cells, metric)
-                    seen = nearest_cells(x, lower) if grid.axes else np.ones(lower.shape, dtype=bool)
+                    x = np.stack(part["x"].to_numpy()).astype("float64")
+                    seen, lower = reach(x) if grid.splits else (np.ones((len(x), 1), dtype=bool), np.zeros((len(x), 1)))
                     qi, ci = np.nonzero(lower <= part["far"].to_numpy()[:, None])
                     if not len(qi):
                         continue
@@ -240,7 +284,10 @@ def knn_join(
                     })
 
         routed = bounded.mapInPandas(route, "qid string, x array<double>, cell bigint, chunk int")
+        routed = checkpoint(routed)
         second = _search(routed, donors, k, metric, query_rows)
+        if visits is not None:
+            visits["visited"] += routed.count()
         found = first.unionByName(second)
     w = Window.partitionBy("qid").orderBy("distance", "did")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -253,8 +300,7 @@ def _lookup(spark, values: dict[int, int], name: str) -> DataFrame:
 
 
 def _search(queries: DataFrame, donors: DataFrame, k: int, metric: str, query_rows: int) -> DataFrame:
-    """Compare queries with donors block by block and keep k per query and block."""
-    queries = checkpoint(queries)
+    """Compare checkpointed queries with donors block by block and keep k per query and block."""
     busy = queries.groupBy("cell", "chunk").count()
     splits = checkpoint(busy.select(
         "cell", "chunk", F.ceil(F.col("count") / query_rows).cast("int").alias("splits")

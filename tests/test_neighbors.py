@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridwright.operators.neighbors import CellGrid, distances, impute_nearest, knn_join
+from gridwright.operators.pivots import PivotTree
 
 LOW = {"rows_per_cell": 20, "chunk_rows": 15, "query_rows": 10}
 
@@ -79,3 +80,68 @@ def test_cells_smaller_than_k(spark):
     for q in range(40):
         mine = got[got["qid"] == f"{q:04d}"].sort_values("rank")
         assert [int(x) for x in mine["did"]] == list(np.lexsort((np.arange(300), d[q]))[:30])
+
+
+def exact(queries, donors, k, metric):
+    d = distances(queries, donors, metric)
+    return [[int(j) for j in np.lexsort((np.arange(len(donors)), row)) if not np.isnan(row[j])][:k] for row in d]
+
+
+def found(got, queries):
+    rows = {f"{q:04d}": [] for q in range(queries)}
+    for r in got.sort_values("rank").itertuples():
+        rows[r.qid].append(int(r.did))
+    return list(rows.values())
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "nan_euclidean"])
+def test_balls_over_many_columns_are_exact(spark, metric):
+    rng = np.random.default_rng(5)
+    middle = rng.normal(size=(6, 9)) * 3
+    donors = np.round(middle[rng.integers(0, 6, 400)] + rng.normal(size=(400, 9)) * 0.4, 1)
+    donors[:130] = donors[0]  # a third is one point
+    queries = np.round(middle[rng.integers(0, 6, 50)] + rng.normal(size=(50, 9)) * 0.6, 1)
+    queries[:15] = donors[0]
+    if metric == "nan_euclidean":
+        donors[rng.random(donors.shape) < 0.05] = np.nan
+        donors[7] = np.nan
+        queries[rng.random(queries.shape) < 0.2] = np.nan
+        queries[3] = np.nan
+    got = knn_join(frame(spark, queries, range(50), "qid"), frame(spark, donors, range(400), "did"), 4, metric, **LOW).toPandas()
+    assert found(got, 50) == exact(queries, donors, 4, metric)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "nan_euclidean"])
+def test_ball_bounds_never_exceed_distances(metric):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 6)) + 4 * rng.integers(0, 3, (600, 1))
+    if metric == "nan_euclidean":
+        x[rng.random(x.shape) < 0.15] = np.nan
+    tree = PivotTree.grown(x[:200], 12, metric)
+    assert tree.splits
+    leaf, far = tree.place(x)
+    leaves = np.unique(leaf)
+    tree.bounded_by({int(c): far[leaf == c].min() for c in leaves}, {int(c): far[leaf == c].max() for c in leaves})
+    q = rng.normal(size=(40, 6)) * 3
+    if metric == "nan_euclidean":
+        q[rng.random(q.shape) < 0.2] = np.nan
+    _, low = tree.reach(q, leaves)
+    d = distances(q, x, metric)
+    for i, c in enumerate(leaves):
+        inside = d[:, leaf == c]
+        assert (low[:, [i]] <= inside + 1e-12)[~np.isnan(inside)].all()
+        assert np.isnan(inside[np.isinf(low[:, i])]).all()
+
+
+def test_queries_visit_few_blocks_of_wide_clustered_rows(spark, sf):
+    """The 64 columns of the embeddings, scaled up: twenty rows around each vector."""
+    rng = np.random.default_rng(2)
+    middle = np.array([r["embedding"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").limit(100).collect()])
+    donors = np.repeat(middle, 20, axis=0) + rng.normal(size=(2000, 64)) * 0.004
+    queries = middle[:60] + rng.normal(size=(60, 64)) * 0.004
+    visits = {}
+    got = knn_join(frame(spark, queries, range(60), "qid"), frame(spark, donors, range(2000), "did"), 5, "euclidean",
+                   rows_per_cell=20, chunk_rows=1000, query_rows=50, visits=visits).toPandas()
+    assert found(got, 60) == exact(queries, donors, 5, "euclidean")
+    assert visits["blocks"] >= 60 and visits["queries"] == 60
+    assert visits["visited"] < 0.2 * visits["queries"] * visits["blocks"]
