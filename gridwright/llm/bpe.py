@@ -48,7 +48,7 @@ from gridwright.llm.frames import column, ragged, released, slices, text_of
 from gridwright.session import scratch_path
 
 #: Bytes of text to a block.
-BLOCK_BYTES = 96 << 20
+BLOCK_BYTES = 48 << 20
 #: Bytes of text split at once.
 TEXT_RUN = 4 << 20
 #: Words in a row of a block's word list, and ids that become pieces at once.
