@@ -11,17 +11,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, OneVsRest, RandomForestClassifier,
-)
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.functions.columns import add_all, col
 from gridwright.models.base import FittedStage
 from gridwright.models.common import (
-    VECTOR, Problem, argmax, fit_vector, score_matrix, softmax, sum_over_rows, with_outputs,
+    Problem, argmax, fit_vector, score_matrix, softmax, sum_over_rows, with_outputs,
 )
 from gridwright.session import scratch_path
 
@@ -87,29 +85,6 @@ def random_forest(df: DataFrame, problem: Problem, params: dict) -> PipelineMode
     return fit_vector(RandomForestRegressor(featureSubsetStrategy="all", **args), df, problem)
 
 
-def _boosting(df: DataFrame, problem: Problem, args: dict) -> PipelineModel:
-    args = {**args, "seed": problem.seed}
-    if not problem.is_classification:
-        return fit_vector(GBTRegressor(**args), df, problem)
-    if problem.n_classes == 2:
-        return fit_vector(GBTClassifier(**args), df, problem, "vector")
-    one = GBTClassifier(featuresCol=VECTOR, labelCol=problem.label, **args)
-    # the probability of a boosted margin m is the logistic of 2 m
-    return fit_vector(OneVsRest(classifier=one), df, problem, "raw", scale=2.0)
-
-
-def gradient_boosting(df: DataFrame, problem: Problem, params: dict) -> PipelineModel:
-    return _boosting(df, problem, {
-        "maxIter": int(params.get("n_estimators", 100)),
-        "stepSize": float(params.get("learning_rate", 0.1)), "maxDepth": 3})
-
-
-def histogram_boosting(df: DataFrame, problem: Problem, params: dict) -> PipelineModel:
-    return _boosting(df, problem, {
-        "maxIter": int(params.get("max_iter", 100)),
-        "stepSize": float(params.get("learning_rate", 0.1)), "maxDepth": 5, "maxBins": 255})
-
-
 # -- boosting by re-weighting ---------------------------------------------------------------
 
 # Quantiles tried as thresholds of a column (parameter ``cut_points``).

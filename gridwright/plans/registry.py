@@ -9,7 +9,7 @@ from itertools import product
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from gridwright.models import bayes, kernels, linear, nearest, networks, trees
+from gridwright.models import bayes, boosting, kernels, linear, nearest, networks, trees
 
 
 @dataclass(frozen=True)
@@ -47,13 +47,13 @@ CLASSIFIERS = [
     Algorithm("Random Forest", "Ensemble",
               {"n_estimators": [50, 100, 200], "max_depth": [None, 10, 20]}, trees.random_forest),
     Algorithm("Gradient Boosting", "Ensemble",
-              {"n_estimators": [50, 100], "learning_rate": [0.05, 0.1, 0.2]}, trees.gradient_boosting),
+              {"n_estimators": [50, 100], "learning_rate": [0.05, 0.1, 0.2]}, boosting.gradient_boosting),
     Algorithm("AdaBoost", "Ensemble",
               {"n_estimators": [50, 100], "learning_rate": [0.5, 1.0]}, trees.ada_boost),
     Algorithm("Extra Trees", "Ensemble",
               {"n_estimators": [50, 100], "max_depth": [None, 10]}, trees.extra_trees),
     Algorithm("Hist Gradient Boosting", "Ensemble",
-              {"learning_rate": [0.05, 0.1], "max_iter": [100, 200]}, trees.histogram_boosting),
+              {"learning_rate": [0.05, 0.1], "max_iter": [100, 200]}, boosting.histogram_boosting),
     Algorithm("SVM (RBF)", "SVM",
               {"C": [0.1, 1, 10], "gamma": ["scale", "auto"]}, kernels.rbf_classifier),
     Algorithm("K-Nearest Neighbors", "Instance-Based",
@@ -88,12 +88,12 @@ REGRESSORS = [
     Algorithm("Random Forest", "Ensemble",
               {"n_estimators": [50, 100, 200], "max_depth": [None, 10, 20]}, trees.random_forest),
     Algorithm("Gradient Boosting", "Ensemble",
-              {"n_estimators": [50, 100], "learning_rate": [0.05, 0.1]}, trees.gradient_boosting),
+              {"n_estimators": [50, 100], "learning_rate": [0.05, 0.1]}, boosting.gradient_boosting),
     Algorithm("AdaBoost", "Ensemble",
               {"n_estimators": [50, 100], "learning_rate": [0.5, 1.0]}, trees.ada_boost),
     Algorithm("Extra Trees", "Ensemble", {"n_estimators": [50, 100]}, trees.extra_trees),
     Algorithm("Hist Gradient Boosting", "Ensemble",
-              {"learning_rate": [0.05, 0.1], "max_iter": [100, 200]}, trees.histogram_boosting),
+              {"learning_rate": [0.05, 0.1], "max_iter": [100, 200]}, boosting.histogram_boosting),
     Algorithm("SVR", "SVM",
               {"C": [0.1, 1, 10], "kernel": ["rbf", "linear"], "gamma": ["scale", "auto"]},
               kernels.support_vector_regressor),
