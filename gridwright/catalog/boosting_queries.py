@@ -1,4 +1,4 @@
-"""The first trees of the boosted ensembles against the same trees grown in SQL over the bins."""
+"""Single trees and the first trees of the boosted ensembles against the same trees grown in SQL over the bins."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridwright.catalog.base import query, table
 from gridwright.functions.columns import r
-from gridwright.models import boosting
+from gridwright.models import boosting, grower
 from gridwright.models.common import Problem
 
 FEATURES = ["quantity", "price", "discount", "tax"]
@@ -17,12 +17,15 @@ ROWS_SQL = """SELECT l_quantity AS quantity, CASE WHEN l_orderkey % 13 <> 0 THEN
   CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS flag FROM lineitem"""
 
 
-def rows_of(spark, sf, label) -> DataFrame:
+WHOLE_SQL = ROWS_SQL.replace("CASE WHEN l_orderkey % 13 <> 0 THEN floor(l_extendedprice / 2500) END", "floor(l_extendedprice / 2500)")
+
+
+def rows_of(spark, sf, label, gaps: bool = True) -> DataFrame:
     net = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
     return table(spark, sf, "lineitem").withColumns({"net": net, "flag": F.when(
         F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)}).select(
         F.col("l_quantity").cast("double").alias("quantity"),
-        F.when(F.col("l_orderkey") % 13 != 0, F.floor(F.col("l_extendedprice") / 2500).cast("double")).alias("price"),
+        F.when((F.col("l_orderkey") % 13 != 0) | F.lit(not gaps), F.floor(F.col("l_extendedprice") / 2500).cast("double")).alias("price"),
         F.round(F.col("l_discount") * 100).alias("discount"), F.round(F.col("l_tax") * 100).alias("tax"), label.cast("double").alias("label"))
 
 
@@ -45,14 +48,15 @@ def _best(name: str, rows: str, below: str, least: int) -> str:
     FROM (SELECT *, max(gain) OVER (PARTITION BY k, node) AS most FROM {name}_g) WHERE gain >= most * (1 - 1e-9) AND most > 1e-9) WHERE i = 1)"""
 
 
-def first_trees_sql(y: str, loss: str, trees: int, splits: int, rate: float, by_rows: bool, least: int, best_first: bool) -> str:
+def first_trees_sql(y: str, loss: str, trees: int, splits: int, rate: float, by_rows: bool, least: int, best_first: bool,
+                    source: str = ROWS_SQL, digits: int | None = None) -> str:
     """``trees`` rounds; a tree is split ``splits`` times, at the best leaf or (levels) at all leaves at once."""
     classes = {"squared": 1, "logistic": 1, "softmax": 3}[loss]
     below = "n" if by_rows else "h"
     unpivot = " UNION ALL ".join(f"SELECT id, {i} AS f, {c}::DOUBLE AS v FROM d" for i, c in enumerate(FEATURES))
     base = {"squared": "SELECT 0 AS k, avg(y) AS m FROM d", "logistic": "SELECT 0 AS k, ln(avg(y) / (1 - avg(y))) AS m FROM d",
             "softmax": "SELECT k, ln(n) - avg(ln(n)) OVER () AS m FROM (SELECT y::INT AS k, count(*) AS n FROM d GROUP BY 1)"}[loss]
-    steps = [f"d AS MATERIALIZED (SELECT row_number() OVER () AS id, {', '.join(FEATURES)}, ({y})::DOUBLE AS y FROM ({ROWS_SQL}))",
+    steps = [f"d AS MATERIALIZED (SELECT row_number() OVER () AS id, {', '.join(FEATURES)}, ({y})::DOUBLE AS y FROM ({source}))",
              f"u AS MATERIALIZED ({unpivot})", f"m0 AS MATERIALIZED (SELECT id, k, m FROM d, ({base}))"]
     slopes = {"squared": "m - y AS g, 1.0 AS h", "logistic": "p - y AS g, p * (1 - p) AS h", "softmax": "p - (y = k)::INT AS g, p * (1 - p) AS h"}[loss]
     share = {"squared": "m", "logistic": "1 / (1 + exp(-m))", "softmax": "exp(m) / sum(exp(m)) OVER (PARTITION BY id)"}[loss]
@@ -68,7 +72,7 @@ def first_trees_sql(y: str, loss: str, trees: int, splits: int, rate: float, by_
   FROM {rows} r LEFT JOIN {pick} b ON b.k = r.k AND b.node = r.node LEFT JOIN u ON u.id = r.id AND u.f = b.f)""")
         steps.append(f"""m{t + 1} AS MATERIALIZED (SELECT id, k, m - {scale!r} * sum(g) OVER w / sum(h) OVER w AS m
   FROM m{t} JOIN a{t}_{splits} USING (id, k) WINDOW w AS (PARTITION BY k, node))""")
-    digits = 2 if loss == "squared" else 6
+    digits = digits or (2 if loss == "squared" else 6)
     return (f"WITH {', '.join(steps)} SELECT k, round({share if loss == 'squared' else 'p'}, {digits}) + 0.0 AS value, count(*) AS rows "
             f"FROM (SELECT id, k, m, {share} AS p FROM m{trees}) GROUP BY ALL")
 
@@ -113,3 +117,17 @@ def _(spark, sf):
     rows = rows_of(spark, sf, F.col("net"))
     model = boosting.gradient_boosting(rows, Problem(FEATURES, "regression", 0), {"n_estimators": 2, "max_depth": 2, "learning_rate": 0.1})
     return _values(model, rows, "squared")
+
+
+# A tree on numbers is one round at rate 1; of two classes, Gini's impurity is twice the variance of the mark.
+@query("m02_whole_tree", first_trees_sql("net > 40000", "squared", 1, 3, 1.0, True, 1, False, WHOLE_SQL, 6))
+def _(spark, sf):
+    rows = rows_of(spark, sf, F.col("net") > 40000, gaps=False)
+    model = grower.decision_tree(rows, Problem(FEATURES, "classification", 2), {"max_depth": 3})
+    return _values(model, rows, "logistic")
+
+
+@query("m21_whole_tree", first_trees_sql("net", "squared", 1, 3, 1.0, True, 1, False, WHOLE_SQL))
+def _(spark, sf):
+    rows = rows_of(spark, sf, F.col("net"), gaps=False)
+    return _values(grower.decision_tree(rows, Problem(FEATURES, "regression", 0), {"max_depth": 3}), rows, "squared")

@@ -1,89 +1,17 @@
-"""Trees and ensembles: MLlib's histogram trees, boosting by re-weighting, and
-extra trees grown level by level."""
+"""Boosting by re-weighting of small trees, and the importances of all models."""
 
 from __future__ import annotations
 
-import itertools
 import math
-import os
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
-from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.functions.columns import add_all, col
 from gridwright.models.base import FittedStage
-from gridwright.models.common import (
-    Problem, argmax, fit_vector, score_matrix, softmax, sum_over_rows, with_outputs,
-)
-from gridwright.session import scratch_path
-
-# MLlib grows no deeper than this; stands for "no limit".
-DEEPEST = 30
-# Split candidates evaluated in one pass over the data.
-CELLS_PER_PASS = 200_000
-
-
-def _depth(params: dict, default: int | None = None) -> int:
-    depth = params.get("max_depth", default)
-    return DEEPEST if depth is None else int(depth)
-
-
-def decision_tree(df: DataFrame, problem: Problem, params: dict) -> PipelineModel | RandomSplitForest:
-    """A node of fewer than ``min_samples_split`` rows is not split.
-
-    Growing goes from the root down, so cutting such nodes off the grown tree
-    leaves the tree that would have been grown under the rule.
-    """
-    least = int(params.get("min_samples_split", 2))
-    args = {"maxDepth": _depth(params), "seed": problem.seed}
-    if problem.is_classification:
-        fitted = fit_vector(DecisionTreeClassifier(**args), df, problem, "vector")
-    else:
-        fitted = fit_vector(DecisionTreeRegressor(**args), df, problem)
-    return fitted if least <= 2 else _pruned(df, fitted.stages[1], problem, least)
-
-
-def _pruned(df: DataFrame, tree, problem: Problem, least: int) -> RandomSplitForest:
-    path = scratch_path(df.sparkSession, "tree")
-    tree.save(path)
-    nodes = {r["id"]: r for r in df.sparkSession.read.parquet(os.path.join(path, "data")).collect()}  # the model's own nodes
-    out: dict[str, list] = {name: [] for name in ("feature", "threshold", "left", "right", "value")}
-    gains = np.zeros(len(problem.features))
-    waiting = [(0, None, "")]
-    while waiting:
-        number, parent, side = waiting.pop()
-        node, here = nodes[number], len(out["feature"])
-        if parent is not None:
-            out[side][parent] = here
-        inner = node["leftChild"] >= 0 and node["rawCount"] >= least
-        out["feature"].append(node["split"]["featureIndex"] if inner else -1)
-        out["threshold"].append(node["split"]["leftCategoriesOrThreshold"][0] if inner else 0.0)
-        out["left"].append(-1), out["right"].append(-1)
-        stats = np.array(node["impurityStats"])
-        out["value"].append((stats / stats.sum()).tolist() if problem.is_classification else [node["prediction"]])
-        if inner:
-            gains[node["split"]["featureIndex"]] += node["gain"] * node["rawCount"]
-            waiting += [(node["rightChild"], here, "right"), (node["leftChild"], here, "left")]
-    return RandomSplitForest({"features": problem.features, "trees": [out], "classification": problem.is_classification,
-                              "importances": _shares(gains)})
-
-
-def _shares(gains: np.ndarray) -> list[float]:
-    return (gains / gains.sum() if gains.sum() > 0 else gains).tolist()
-
-
-def random_forest(df: DataFrame, problem: Problem, params: dict) -> PipelineModel:
-    args = {"numTrees": int(params.get("n_estimators", 100)), "maxDepth": _depth(params), "seed": problem.seed}
-    if problem.is_classification:
-        return fit_vector(RandomForestClassifier(featureSubsetStrategy="sqrt", **args), df, problem, "vector")
-    return fit_vector(RandomForestRegressor(featureSubsetStrategy="all", **args), df, problem)
-
+from gridwright.models.common import Problem, argmax, softmax, sum_over_rows
 
 # -- boosting by re-weighting ---------------------------------------------------------------
 
@@ -277,20 +205,8 @@ def ada_boost(df: DataFrame, problem: Problem, params: dict) -> BoostedRules:
                          "weights": weights, "n_classes": k, "importances": _shares(drops)})
 
 
-# -- extra trees ------------------------------------------------------------------------------
-
-class RandomSplitForest(FittedStage):
-    def _transform(self, df: DataFrame) -> DataFrame:
-        s = self.state
-        trees = [{name: np.array(v) for name, v in t.items()} for t in s["trees"]]
-
-        def score(x: np.ndarray) -> np.ndarray:
-            total = 0.0
-            for t in trees:
-                total = total + t["value"][_descend(x, t)]
-            return total / len(trees)
-
-        return with_outputs(df, score_matrix(df, s["features"], score), s["classification"])
+def _shares(gains: np.ndarray) -> list[float]:
+    return (gains / gains.sum() if gains.sum() > 0 else gains).tolist()
 
 
 def _descend(x: np.ndarray, tree: dict) -> np.ndarray:
@@ -306,134 +222,6 @@ def _descend(x: np.ndarray, tree: dict) -> np.ndarray:
     return node
 
 
-def extra_trees(df: DataFrame, problem: Problem, params: dict) -> RandomSplitForest:
-    """Extremely randomised trees, all trees of the forest level by level.
-
-    Each level takes two passes: value ranges of the sampled features per node,
-    then label sums on both sides of one random threshold per candidate. Tasks
-    emit sums per candidate, never rows; nodes are taken in batches of bounded
-    size, so neither tasks nor the driver hold more than a batch.
-    """
-    x, k = problem.features, problem.n_classes
-    p = len(x)
-    classification = problem.is_classification
-    n_trees = int(params.get("n_estimators", 100))
-    limit = params.get("max_depth")
-    limit = None if limit is None else int(limit)  # None: until no split helps
-    tries = max(1, int(math.sqrt(p))) if classification else p
-    width = k if classification else 3
-    rng = np.random.default_rng(problem.seed)
-    data = df.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)],
-                     col(problem.label).cast("double").alias("y"))
-    forest = [{"feature": [-1], "threshold": [0.0], "left": [-1], "right": [-1], "value": [None]}
-              for _ in range(n_trees)]
-    open_nodes = [(t, 0) for t in range(n_trees)]
-    gains = np.zeros((n_trees, p))
-
-    def stats_of(y: np.ndarray) -> np.ndarray:
-        if classification:
-            return np.eye(k)[y.astype(int)]
-        return np.column_stack([np.ones(len(y)), y, y * y])
-
-    def run(nodes, candidates, thresholds):
-        """Per candidate: value range (no thresholds yet), or left and total sums."""
-        frozen = [{"feature": np.array(t["feature"]), "threshold": np.array(t["threshold"]),
-                   "left": np.array(t["left"]), "right": np.array(t["right"])} for t in forest]
-        by_tree: dict[int, list[int]] = {}
-        for i, (t, _) in enumerate(nodes):
-            by_tree.setdefault(t, []).append(i)
-        size = len(nodes) * tries
-        cells = 2 if thresholds is None else 2 * width
-
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros((size, cells))
-            if thresholds is None:
-                out[:, 0], out[:, 1] = np.inf, -np.inf
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                z = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(p + 1)])
-                m, labels = z[:, :p], stats_of(z[:, p])
-                for t, members in by_tree.items():
-                    place = np.full(len(frozen[t]["feature"]), -1)
-                    for i in members:
-                        place[nodes[i][1]] = i
-                    slot = place[_descend(m, frozen[t])]
-                    live = np.nonzero(slot >= 0)[0]
-                    if not len(live):
-                        continue
-                    s = slot[live]
-                    for j in range(tries):
-                        v = m[live, candidates[s, j]]
-                        cell = s * tries + j
-                        if thresholds is None:
-                            np.minimum.at(out[:, 0], cell, v)
-                            np.maximum.at(out[:, 1], cell, v)
-                            continue
-                        left = v <= thresholds[cell]
-                        for w in range(width):
-                            value = labels[live, w]
-                            out[:, w] += np.bincount(cell[left], value[left], size)
-                            out[:, width + w] += np.bincount(cell, value, size)
-            seen = np.isfinite(out[:, 0]) if thresholds is None else out[:, width:].any(axis=1)
-            keep = np.nonzero(seen)[0]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keep.astype("int32")), *[pa.array(out[keep, c]) for c in range(cells)]],
-                names=["cell", *[f"s{c}" for c in range(cells)]])
-
-        schema = "cell int, " + ", ".join(f"s{c} double" for c in range(cells))
-        if thresholds is None:
-            aggs = [F.min("s0").alias("s0"), F.max("s1").alias("s1")]
-        else:
-            aggs = [F.sum(f"s{c}").alias(f"s{c}") for c in range(cells)]
-        got = data.mapInArrow(part, schema).groupBy("cell").agg(*aggs).toArrow()
-        out = np.zeros((size, cells))
-        out[got.column("cell").to_numpy()] = np.column_stack(
-            [got.column(f"s{c}").to_numpy() for c in range(cells)]) if got.num_rows else out[:0]
-        return out
-
-    for level in itertools.count():
-        if not open_nodes:
-            break
-        following = []
-        per_pass = max(1, CELLS_PER_PASS // (tries * 2 * width))
-        batches = [open_nodes[i:i + per_pass] for i in range(0, len(open_nodes), per_pass)]
-        grown = []
-        for nodes in batches:
-            picks = np.stack([rng.permutation(p)[:tries] for _ in nodes])
-            ranges = run(nodes, picks, None)
-            lo, hi = ranges[:, 0], ranges[:, 1]
-            cut = lo + rng.random(len(lo)) * (hi - lo)
-            cut = np.where(cut >= hi, lo, cut)
-            sums = run(nodes, picks, cut)
-            for i, (t, node) in enumerate(nodes):
-                rows = slice(i * tries, (i + 1) * tries)
-                total = sums[rows.start, width:]
-                grown.append((t, node, _leaf(total, classification)))
-                usable = hi[rows] > lo[rows]
-                if level == limit or not usable.any():
-                    continue
-                gain = np.where(usable, _gain(sums[rows, :width], total, classification), -np.inf)
-                best = int(np.argmax(gain))
-                if gain[best] <= 1e-12:
-                    continue
-                gains[t, picks[i, best]] += gain[best]
-                following.append((t, node, int(picks[i, best]), float(cut[rows][best])))
-        for t, node, value in grown:
-            forest[t]["value"][node] = value
-        open_nodes = []
-        for t, node, feature, at in following:
-            tree = forest[t]
-            left = len(tree["feature"])
-            tree["feature"][node], tree["threshold"][node] = feature, at
-            tree["left"][node], tree["right"][node] = left, left + 1
-            for name, blank in (("feature", -1), ("threshold", 0.0), ("left", -1), ("right", -1), ("value", None)):
-                tree[name] += [blank, blank]
-            open_nodes += [(t, left), (t, left + 1)]
-    drops = np.mean([_shares(g) for g in gains], axis=0)
-    return RandomSplitForest({"features": x, "trees": forest, "classification": classification, "importances": _shares(drops)})
-
-
 def _leaf(total: np.ndarray, classification: bool) -> list[float]:
     if classification:
         return (total / max(total.sum(), 1e-300)).tolist()

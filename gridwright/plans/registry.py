@@ -9,7 +9,7 @@ from itertools import product
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from gridwright.models import bayes, boosting, kernels, linear, nearest, networks, trees
+from gridwright.models import bayes, boosting, grower, kernels, linear, nearest, networks, trees
 
 
 @dataclass(frozen=True)
@@ -43,15 +43,15 @@ CLASSIFIERS = [
     Algorithm("Logistic Regression", "Linear",
               {"C": [0.01, 0.1, 1, 10], "solver": ["lbfgs", "saga"]}, linear.logistic_regression, unused=("solver",)),
     Algorithm("Decision Tree", "Tree",
-              {"max_depth": [3, 5, 10, None], "min_samples_split": [2, 5, 10]}, trees.decision_tree),
+              {"max_depth": [3, 5, 10, None], "min_samples_split": [2, 5, 10]}, grower.decision_tree),
     Algorithm("Random Forest", "Ensemble",
-              {"n_estimators": [50, 100, 200], "max_depth": [None, 10, 20]}, trees.random_forest),
+              {"n_estimators": [50, 100, 200], "max_depth": [None, 10, 20]}, grower.random_forest),
     Algorithm("Gradient Boosting", "Ensemble",
               {"n_estimators": [50, 100], "learning_rate": [0.05, 0.1, 0.2]}, boosting.gradient_boosting),
     Algorithm("AdaBoost", "Ensemble",
               {"n_estimators": [50, 100], "learning_rate": [0.5, 1.0]}, trees.ada_boost),
     Algorithm("Extra Trees", "Ensemble",
-              {"n_estimators": [50, 100], "max_depth": [None, 10]}, trees.extra_trees),
+              {"n_estimators": [50, 100], "max_depth": [None, 10]}, grower.extra_trees),
     Algorithm("Hist Gradient Boosting", "Ensemble",
               {"learning_rate": [0.05, 0.1], "max_iter": [100, 200]}, boosting.histogram_boosting),
     Algorithm("SVM (RBF)", "SVM",
@@ -84,14 +84,14 @@ REGRESSORS = [
     Algorithm("Huber Regressor", "Robust",
               {"epsilon": [1.1, 1.35, 1.5], "alpha": [0.0001, 0.001]}, linear.huber),
     Algorithm("Decision Tree", "Tree",
-              {"max_depth": [3, 5, 10, None], "min_samples_split": [2, 5]}, trees.decision_tree),
+              {"max_depth": [3, 5, 10, None], "min_samples_split": [2, 5]}, grower.decision_tree),
     Algorithm("Random Forest", "Ensemble",
-              {"n_estimators": [50, 100, 200], "max_depth": [None, 10, 20]}, trees.random_forest),
+              {"n_estimators": [50, 100, 200], "max_depth": [None, 10, 20]}, grower.random_forest),
     Algorithm("Gradient Boosting", "Ensemble",
               {"n_estimators": [50, 100], "learning_rate": [0.05, 0.1]}, boosting.gradient_boosting),
     Algorithm("AdaBoost", "Ensemble",
               {"n_estimators": [50, 100], "learning_rate": [0.5, 1.0]}, trees.ada_boost),
-    Algorithm("Extra Trees", "Ensemble", {"n_estimators": [50, 100]}, trees.extra_trees),
+    Algorithm("Extra Trees", "Ensemble", {"n_estimators": [50, 100]}, grower.extra_trees),
     Algorithm("Hist Gradient Boosting", "Ensemble",
               {"learning_rate": [0.05, 0.1], "max_iter": [100, 200]}, boosting.histogram_boosting),
     Algorithm("SVR", "SVM",

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridwright.functions import ordered
-from gridwright.models import common, trees
+from gridwright.models import common, grower
 from gridwright.models.common import Problem
 from gridwright.models.nearest import nearest_neighbors
 from gridwright.operators import gram, splits
@@ -102,9 +102,9 @@ def test_small_nodes_are_not_split(spark):
     rows = [(float(i), 1.0 if i == 0 else 0.0) for i in range(21)]
     df = spark.createDataFrame(rows, "x double, label double")
     problem = Problem(["x"], "classification", n_classes=2)
-    apart = trees.decision_tree(df, problem, {"min_samples_split": 21}).transform(df)
+    apart = grower.decision_tree(df, problem, {"min_samples_split": 21}).transform(df)
     assert apart.filter("prediction = label").count() == 21
-    whole = trees.decision_tree(df, problem, {"min_samples_split": 22}).transform(df)
+    whole = grower.decision_tree(df, problem, {"min_samples_split": 22}).transform(df)
     assert whole.filter("prediction = 0").count() == 21
 
 
@@ -114,7 +114,7 @@ def test_pruned_tree_equals_the_whole_one_above_the_minimum(spark):
     rows = [(float(a), float(b), float(np.sin(6 * a) + b * b)) for a, b in x]
     df = spark.createDataFrame(rows, "a double, b double, label double")
     problem = Problem(["a", "b"], "regression")
-    model = trees.decision_tree(df, problem, {"min_samples_split": 40, "max_depth": 8})
+    model = grower.decision_tree(df, problem, {"min_samples_split": 40, "max_depth": 8})
     tree = {k: np.array(v, dtype=object if k == "value" else None) for k, v in model.state["trees"][0].items()}
     counts = np.zeros(len(tree["feature"]), dtype=int)
     for point in x:
@@ -131,7 +131,7 @@ def test_extra_trees_without_a_limit_are_pure(spark):
     rng = np.random.default_rng(3)
     rows = [(float(i), float(rng.integers(2))) for i in range(300)]
     df = spark.createDataFrame(rows, "x double, label double")
-    model = trees.extra_trees(df, Problem(["x"], "classification", n_classes=2), {"n_estimators": 3})
+    model = grower.extra_trees(df, Problem(["x"], "classification", n_classes=2), {"n_estimators": 3})
     assert model.transform(df).filter("prediction = label").count() == 300
     depth = {0: 0}
     for node, left in enumerate(model.state["trees"][0]["left"]):
