@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,8 +58,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return memory that Arrow or the C library only keeps in reserve to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``work`` for ``mapInArrow``, giving memory that Arrow only keeps in reserve back to the system.
+    """``work`` for ``mapInArrow``, giving memory that is only kept in reserve back to the system.
 
     Python workers live on over the stages of a job, next to the executor's heap.
     """
@@ -66,8 +75,8 @@ def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
         for number, batch in enumerate(work(batches), 1):
             yield batch
             if number % 8 == 0:
-                pa.default_memory_pool().release_unused()
-        pa.default_memory_pool().release_unused()
+                give_back()
+        give_back()
 
     return run
 

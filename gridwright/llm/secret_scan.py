@@ -73,7 +73,7 @@ _PARTS = re.compile(r"[^\W\d_]+")
 _WORD = re.compile(r"(?<!\w)[^\W\d_]{4,}(?!\w)")
 _VOWELS = frozenset("aeiouy")
 #: Words that a task counts before it hands the counts on.
-WORDS_HELD = 200_000
+WORDS_HELD = 100_000
 #: How much text on either side counts as neighbouring words.
 NEAR = 40
 
