@@ -9,9 +9,12 @@
    k-th that the lower bounds grant if that is higher, is the query's threshold.
 4. A second round takes each query to those other cells only whose upper bound
    reaches the threshold.
-5. Work is done on tiles of up to ``TILE`` queries and about as many vectors of a
-   cell: big cells are split by hash, and so is the query set, so no task holds a
-   whole cell or all queries. Tiles give their k best, which are merged.
+5. Work is done on tiles of up to about ``TILE`` queries and about as many vectors
+   of a cell. Tiles are queries of one home cell, or of several whose pivots follow
+   each other from neighbour to neighbour; big cells are split by hash, queries and
+   vectors alike, so no task holds a whole cell or all queries. Which parts of
+   which cells a tile visits is worked out first, and only those vectors are
+   copied to it. Tiles give their k best, which are merged.
 
 Scores are exact integers (they must fit in a long); ties go to the smaller id.
 
@@ -36,6 +39,8 @@ from gridwright.llm.frames import column, released, written
 
 #: Most queries, and about the most vectors, that one task compares.
 TILE = 8192
+#: Visits (a tile to a part of a cell) that are broadcast; of more, the vectors are joined to them by a shuffle.
+BROADCAST_VISITS = 100_000
 #: Bounds are widened by this share against rounding.
 _SLACK = 1e-9
 
@@ -91,6 +96,29 @@ class Cells:
         return cells[held], centre - reach - slack, centre + reach + slack
 
 
+def _tiles(asks: np.ndarray, cells: Cells, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each cell's first tile and number of tiles, from how many queries it is home to; neighbouring small cells share one."""
+    first, number = np.zeros(len(asks), dtype=np.int64), np.ones(len(asks), dtype=np.int64)
+    made, held = -1, size  # the tile being filled, and the queries in it
+    for n, pivots in cells.pivots.items():
+        left = np.arange(len(pivots))
+        at = 0
+        while len(left):
+            place = left[at]
+            left = np.delete(left, at)
+            cell = cells.first[n] + place
+            if asks[cell] > size:
+                number[cell] = -(-asks[cell] // size)
+                first[cell], made, held = made + 1, made + number[cell], size
+            elif asks[cell]:
+                if held + asks[cell] > size:
+                    made, held = made + 1, 0
+                first[cell], held = made, held + asks[cell]
+            at = int(((pivots[left] - pivots[place]) ** 2).sum(axis=1).argmin()) if len(left) else 0
+        held = size
+    return first, number
+
+
 def _best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(query id, id, score) of each query's k best vectors; ``ids`` are ascending."""
     count = len(ids)
@@ -158,11 +186,12 @@ def _merged(found: DataFrame, k: int) -> DataFrame:
 
 def top_k(
     vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector: Column | str = "embedding",
-    rows_per_cell: int = 2000, most_pivots: int = 1024,
+    rows_per_cell: int = 2000, most_pivots: int = 1024, stats: dict[str, int] | None = None,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``id`` and ``score`` of the k vectors with the highest inner products with each query.
 
     ``vector`` has whole numbers (array<bigint>), ``is_query`` says which rows ask.
+    ``stats`` is given the number of vectors, of tiles and of vectors copied to tiles in both rounds.
     """
     vector = column(vector) if isinstance(vector, str) else vector
     rows = written(vectors.select(column(id_column).cast("long").alias("id"), vector.alias("vector"), is_query.alias("asks")).filter(
@@ -186,14 +215,29 @@ def top_k(
         cells.count[r["cell"]], cells.radius[r["cell"]] = r["n"], r["radius"]
     parts = np.maximum(1, -(-cells.count // TILE))
     asked = data.filter("asks").select("id", "vector", "cell")
-    tiles = max(1, -(-asked.count() // TILE))
-    tile = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(tiles))
-    part_of = F.pmod(F.xxhash64("id"), F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("cell").cast("int") + 1))
-    shelved = data.withColumns({"part": part_of, "tile": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")))}).select(
-        "tile", "cell", "part", "id", "vector")
-
-    def visit(home: bool):
-        """Queries once for each part of the cells they go to."""
+    asks = np.zeros(len(cells.count), dtype=np.int64)
+    for r in asked.groupBy("cell").count().collect():  # a row a cell
+        asks[r["cell"]] = r["count"]
+    first_tile, tiles_of = _tiles(asks, cells, TILE)
+
+    def by_cell(values: np.ndarray) -> Column:
+        return F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("cell").cast("int") + 1)
+
+    asked = asked.withColumn("tile", (by_cell(first_tile) + F.pmod(F.xxhash64("id", F.lit(1)), by_cell(tiles_of))).cast("long"))
+    shelved = data.withColumn("part", F.pmod(F.xxhash64("id"), by_cell(parts)).cast("long")).select("cell", "part", "id", "vector")
+
+    def copied(queries: DataFrame, home: bool) -> DataFrame:
+        """The vectors that some tile's queries visit, once for each such tile."""
+        visits = written(queries.mapInArrow(released(visit(home, True)), "tile long, cell long, part long").distinct(), "visits")
+        count = visits.count()
+        if stats is not None:
+            stats["tiles"] = int(first_tile.max(initial=0) + 1)
+            stats["copies"] = stats.get("copies", 0) + shelved.groupBy("cell", "part").count().join(visits, ["cell", "part"]).agg(
+                F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+        return shelved.join(F.broadcast(visits) if count <= BROADCAST_VISITS else visits, ["cell", "part"]).select("tile", "cell", "part", "id", "vector")
+
+    def visit(home: bool, places_only: bool = False):
+        """Queries once for each part of the cells they go to, or only the tiles' visits."""
         def visiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 sizes = _lengths(batch.column("vector"))
@@ -216,17 +260,25 @@ def top_k(
                     copies = parts[cell]
                     row, cell = np.repeat(row, copies), np.repeat(cell, copies)
                     part = np.arange(len(cell)) - np.repeat(np.cumsum(copies) - copies, copies)
+                    tile = batch.column("tile").to_numpy()[at[row]]
+                    if places_only:
+                        visits = np.unique(np.stack([tile, cell, part]), axis=1).astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in visits], ["tile", "cell", "part"])
+                        continue
                     for a in range(0, len(row), 20_000):
                         pick = pa.array(at[row[a: a + 20_000]])
                         yield pa.RecordBatch.from_arrays([
                             batch.column("id").take(pick), batch.column("vector").take(pick),
-                            pa.array(cell[a: a + 20_000]), pa.array(part[a: a + 20_000])], ["id", "vector", "cell", "part"])
+                            pa.array(cell[a: a + 20_000]), pa.array(part[a: a + 20_000]), pa.array(tile[a: a + 20_000])],
+                            ["id", "vector", "cell", "part", "tile"])
         return visiting
 
-    kind = "id long, vector array<long>, cell long, part long"
-    at_home = asked.mapInArrow(released(visit(True)), kind).withColumn("tile", tile)
-    first = written(_merged(_solve(at_home, shelved, k), k).drop("rank"), "home")
+    kind = "id long, vector array<long>, cell long, part long, tile long"
+    if stats is not None:
+        stats["vectors"] = int(cells.count.sum())
+    first = written(_merged(_solve(asked.mapInArrow(released(visit(True)), kind), copied(asked, True), k), k).drop("rank"), "home")
     floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("score")).filter(F.col("n") >= k)
-    more = asked.join(floors.select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor")), "id", "left")
-    second = _solve(more.select("id", "vector", "cell", "floor").mapInArrow(released(visit(False)), kind).withColumn("tile", tile), shelved, k)
+    more = asked.join(floors.select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor")), "id", "left").select(
+        "id", "vector", "cell", "tile", "floor")
+    second = _solve(more.mapInArrow(released(visit(False)), kind), copied(more, False), k)
     return _merged(first.unionByName(second), k).select("query_id", "rank", "id", "score")

@@ -54,6 +54,26 @@ def test_far_cells_are_not_visited(spark):
     assert names.tolist() == [0, 1, 2] and low[0, 0] > high[0, 1] and low[0, 0] > high[0, 2]
 
 
+def test_only_visited_vectors_are_copied(spark, monkeypatch):
+    """Clusters far apart: a tile gets the vectors around its queries, not the whole table."""
+    monkeypatch.setattr(voronoi, "TILE", 16)
+    rng = np.random.default_rng(3)
+    centres = 10 * np.eye(12)
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 12] + 0.05 * rng.normal(size=12)]) for i in range(1200)]
+    stats = {}
+    assert run(spark, rows, rows_per_cell=20, stats=stats) == brute(rows, lambda i: i % 10 == 0, 5)
+    assert stats["vectors"] == 1200 and stats["tiles"] >= 6
+    assert stats["copies"] < 0.5 * stats["vectors"] * stats["tiles"]
+
+
+def test_neighbouring_small_cells_share_a_tile():
+    cells = voronoi.Cells([[0, 0], [100, 0], [1, 0], [101, 0]], [2])
+    first, number = voronoi._tiles(np.array([3, 4, 5, 40]), cells, 10)
+    assert first[0] == first[2] and number.tolist() == [1, 1, 1, 4]
+    spans = [set(range(a, a + n)) for a, n in zip(first, number)]
+    assert not spans[3] & (spans[0] | spans[1])
+
+
 def test_large_scores(spark):
     rows = [(i, [float(2**17 * (i % 13)), float(i)]) for i in range(60)]
     assert run(spark, rows) == brute(rows, lambda i: i % 10 == 0, 5)
