@@ -6,7 +6,8 @@
    ``main`` and the like) or in boilerplate (menus, headers, footers, sidebars,
    notices, adverts, forms, comments, by element, role, class or id). A class or
    id counts if all its parts are names of boilerplate or of boxes (``share-box``,
-   not ``has-sidebar``), and not for an element around declared content (apart
+   not ``has-sidebar``), or one part tells of comments or adverts and none denies
+   it (``user-comments``, ``js-ad``, not ``with-comments``), and not for an element around declared content (apart
    from comments and links to other pages, where every card may be an ``article``)
    nor around most of the text of a page that declares none outside it.
 2. Pages of a host are ordered by the path of their address; a page is paired
@@ -20,11 +21,15 @@
 4. Lines that more than half of a host's differing pages carry, and three at
    least, are template as well, wherever they stand.
 5. What a page declares as content is an exception, as two articles may well
-   share a paragraph: its lines stay unless more than half of the differing pages
-   of the host carry them, and eight at least. Where such lines make up most of
-   the declared content, the pages are versions of one text and it stays whole.
-   Text outside the declared element is kept like that of any page. Boilerplate
-   lines go in any case.
+   share a paragraph, and all pages of a host a line: its lines stay unless they
+   are template by (4.) and some page of the host has them outside its declared
+   content. Where such lines make up most of the declared content, the pages are
+   versions of one text and it stays whole. Text outside the declared element is
+   kept like that of any page. Boilerplate lines go in any case.
+6. A page without a page to compare it with is judged block by block: outside
+   declared content, lines go that are mostly links, short lines with the words of
+   notices (cookies, terms, copyright ...), and, behind declared content that makes
+   up most of the page, lines that hold no sentence.
 
 A first pass counts per host how many differing pages carry a line. The order by
 host and path is cut into ranges of about equal counts. A range also gets the
@@ -37,7 +42,7 @@ Defined cases: a null page has an empty text, a null address is an empty one (a
 host and path of their own); on a host of two pages, lines that make up most of
 both by number and by length make them copies, template or not; pages of one address follow each other by id, a
 null id first; repeated rows are pages each; a page without a neighbour on its
-host, or with copies only, loses no line to differencing; extra columns are
+host, or with copies only, is judged by itself (6.); extra columns are
 ignored; empty tables give an empty result.
 """
 
@@ -83,13 +88,20 @@ _BESIDE = frozenset("""bar block bottom box btn button buttons container content
 _TOPS, _OF_TEXT = frozenset("header masthead banner".split()), frozenset("content group item post section text title".split())
 #: Boilerplate whose entries may be articles of their own.
 _CARDS = frozenset("ad ads comment comments reply replies disqus related recommended promo promotion sponsor sponsored".split())
+#: Words of a class or id that tell by themselves, and those that deny them.
+_TELLING = frozenset("ad ads advert adverts advertisement advertising comment comments disqus sponsored".split())
+_DENYING = frozenset("no non not has have with without hide hidden enable enabled disable disabled allow before after count".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+(?:x[0-9]+)?")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Of two pages with at least this share of equal lines, one is a copy of the other.
 COPY_SHARE = 0.8
-#: A line of the host's template is on more than half of its differing pages, and on so many at least; declared content needs more.
-TEMPLATE_PAGES, DECLARED_PAGES = 3, 8
+#: A line of the host's template is on more than half of its differing pages, and on so many at least.
+TEMPLATE_PAGES = 3
+#: Words of notices, and up to how many words a line with one of them is a notice.
+_NOTICE = re.compile(r"(?i)\b(?:cookies?|consent|gdpr|privacy|terms|imprint|copyright|all rights reserved|newsletter|subscribe|sign (?:in|up)|log ?in|skip to)\b|©")
+NOTICE_WORDS = 25
+_SENTENCE = re.compile(r"[.!?…:][\"'”’)]*$")
 #: Hosts whose number of pages goes along to every task; beyond, a join shuffles.
 BROADCAST_HOSTS = 200_000
 
@@ -102,6 +114,7 @@ PAGE = ("page_id", "url", "host", "path", "rank", "lines")
 class Line:
     text: str
     zone: int
+    linked: bool = False
 
 
 @dataclass(frozen=True)
@@ -118,7 +131,9 @@ def _hint(names: str) -> frozenset[str]:
     found: set[str] = set()
     for name in names.split():
         parts = [p.lower() for p in _PARTS.findall(name)]
-        if all(p in _WORDS or p in _BESIDE or p[0].isdigit() for p in parts):
+        if _TELLING.intersection(parts) and not _DENYING.intersection(parts):
+            found |= _TELLING.intersection(parts)
+        elif all(p in _WORDS or p in _BESIDE or p[0].isdigit() for p in parts):
             words = _WORDS.intersection(parts)
             found |= words - _TOPS if _OF_TEXT.intersection(parts) else words
     return frozenset(found)
@@ -165,23 +180,32 @@ def lines_of(page: str) -> list[Line]:
     out: list[tuple[Line, _Hinted | None]] = []
     open_: list[tuple[str, int, _Hinted | None]] = []
     pieces: list[str] = []
-    zone, hinted = PLAIN, None
+    zone, hinted, linked = PLAIN, None, 0
+
+    def add(text: str) -> None:
+        nonlocal linked
+        text = html.unescape(text)
+        pieces.append(text)
+        if any(tag == "a" for tag, _, _ in open_):
+            linked += len("".join(text.split()))
 
     def end_line() -> None:
+        nonlocal linked
         if pieces:
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
-                out.append((Line(text, zone), hinted))
+                out.append((Line(text, zone, 2 * linked > len(text.replace(" ", ""))), hinted))
+        linked = 0
 
     at = 0
     while at < len(page):
         token = _TOKEN.search(page, at)
         if token is None:
-            pieces.append(html.unescape(page[at:]))
+            add(page[at:])
             break
         if token.start() > at:
-            pieces.append(html.unescape(page[at: token.start()]))
+            add(page[at: token.start()])
         at = token.end()
         if token[2] is None:
             continue
@@ -242,7 +266,7 @@ def _settled(found: list[tuple[Line, _Hinted | None]]) -> list[Line]:
         return not scope.declares and (2 * scope.size <= size or content > scope.content)
 
     return [
-        Line(line.text, CHROME) if hinted and any(boilerplate(s) for s in hinted.outer()) else line
+        Line(line.text, CHROME, line.linked) if hinted and any(boilerplate(s) for s in hinted.outer()) else line
         for line, hinted in found
     ]
 
@@ -336,6 +360,18 @@ def kept(lines: list[Line], mine: list[int], gone: set[int], host: Host) -> str:
         if (whole or number not in host.declared if line.zone == CONTENT else i not in gone and number not in host.plain))
 
 
+def alone(lines: list[Line], host: Host) -> str:
+    """The text of a page that has no other one to compare it with."""
+    last = max((i for i, line in enumerate(lines) if line.zone == CONTENT), default=len(lines))
+    declared = sum(len(line.text) for line in lines if line.zone == CONTENT)
+    most = 2 * declared > sum(len(line.text) for line in lines)
+    gone = {
+        i for i, line in enumerate(lines) if line.zone == PLAIN and (
+            line.linked or len(line.text.split()) <= NOTICE_WORDS and _NOTICE.search(line.text)
+            or most and i > last and not _SENTENCE.search(line.text))}
+    return kept(lines, numbers(lines), gone, host)
+
+
 def main_text(lines: list[Line], path: str, neighbours: list[tuple[str, list[Line]]], host: Host = Host()) -> str:
     """The text of a page, given pages of its host, nearest first among those with equally much of the path."""
     lines = own(lines)
@@ -344,7 +380,7 @@ def main_text(lines: list[Line], path: str, neighbours: list[tuple[str, list[Lin
         gone = shared_lines(lines, mine, numbers(own(other)), host)
         if gone is not None:
             return kept(lines, mine, gone, host)
-    return kept(lines, mine, set(), host)
+    return alone(lines, host)
 
 
 def own(lines: list[Line]) -> list[Line]:
@@ -352,34 +388,39 @@ def own(lines: list[Line]) -> list[Line]:
 
 
 def packed(page: str) -> str:
-    """The lines of a page that aren't boilerplate as one text, each behind its zone."""
-    return "\n".join(f"{line.zone}{line.text}" for line in own(lines_of(page)))
+    """The lines of a page that aren't boilerplate as one text, each behind its zone (a digit, 4 more for a line of links)."""
+    return "\n".join(f"{line.zone + 4 * line.linked}{line.text}" for line in own(lines_of(page)))
 
 
 def unpacked(text: str) -> list[Line]:
-    return [Line(line[1:], int(line[0])) for line in text.split("\n")] if text else []
+    return [Line(line[1:], int(line[0]) % 4, int(line[0]) >= 4) for line in text.split("\n")] if text else []
 
 
 def host_rows(pages: DataFrame, spread: Broadcast[frozenset[str]]) -> DataFrame:
     """``host`` with the numbers of the lines that it repeats, or for hosts in ``spread`` the lines of some ``others``, from ``host`` and ``html``."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [numbers(own(lines_of(page))) for page in batch.column("html").to_pylist()]
+            pages_ = [own(lines_of(page)) for page in batch.column("html").to_pylist()]
+            found = [numbers(lines) for lines in pages_]
+            outside = [sorted({n for n, line in zip(x, lines) if line.zone != CONTENT}) for x, lines in zip(found, pages_)]
             signs = [int.from_bytes(blake2b(repr(x).encode(), digest_size=8).digest(), "big", signed=True) for x in found]
             wide = [name in spread.value for name in batch.column("host").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("host"), pa.array(wide, type=pa.bool_()), pa.array(signs, type=pa.int64()), pa.array(found, type=pa.list_(pa.int64()))],
-                ["host", "wide", "sign", "lines"])
+                [batch.column("host"), pa.array(wide, type=pa.bool_()), pa.array(signs, type=pa.int64()),
+                 *(pa.array(x, type=pa.list_(pa.int64())) for x in (found, outside))], ["host", "wide", "sign", "lines", "outside"])
 
-    found = pages.select("host", "html").mapInArrow(released(counted), "host string, wide boolean, sign long, lines array<long>")
+    found = pages.select("host", "html").mapInArrow(released(counted), "host string, wide boolean, sign long, lines array<long>, outside array<long>")
     differing = written(found.filter("size(lines) > 0").dropDuplicates(["host", "sign"]), "differing-pages")
     hosts = differing.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= TEMPLATE_PAGES)
     carried = differing.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(
         F.count("*").alias("n")).filter(F.col("n") >= TEMPLATE_PAGES)
     hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
     # at most twice as many lines a host as a page of it has on average
-    repeated = carried.join(hosts, "host").filter(2 * F.col("n") > F.col("pages")).groupBy("host").agg(
-        F.collect_list("line").alias("plain"), F.collect_list(F.when(F.col("n") >= DECLARED_PAGES, F.col("line"))).alias("declared"))
+    often = carried.join(hosts, "host").filter(2 * F.col("n") > F.col("pages"))
+    # pages of equal lines may differ in what they declare, so all count here
+    outside = found.select("host", F.explode("outside").alias("line")).distinct().withColumn("out", F.lit(True))
+    repeated = often.join(outside, ["host", "line"], "left").groupBy("host").agg(
+        F.collect_list("line").alias("plain"), F.collect_list(F.when(F.col("out"), F.col("line"))).alias("declared"))
     drawn = [by("lines", F.xxhash64("sign", F.lit(seed))) for seed in range(4) for by in (F.min_by, F.max_by)]
     others = differing.filter("wide").groupBy("host").agg(F.array_distinct(F.array(*drawn)).alias("others"))
     return repeated.unionByName(others, allowMissingColumns=True)
@@ -446,8 +487,8 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
                 if near:
                     gone = max(near, key=lambda side: shared_path(row["path"], group[side[0]]["path"]))[1]
                 else:
-                    gone = next((x for x in (shared_lines(lines, mine, other, host) for other in others) if x is not None), set())
-                yield row["page_id"], row["url"], kept(lines, mine, gone, host)
+                    gone = next((x for x in (shared_lines(lines, mine, other, host) for other in others) if x is not None), None)
+                yield row["page_id"], row["url"], alone(lines, host) if gone is None else kept(lines, mine, gone, host)
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         group: list[dict] = []
