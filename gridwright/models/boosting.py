@@ -31,15 +31,13 @@ from pyspark.sql import functions as F
 
 from gridwright.functions.columns import col
 from gridwright.models.base import FittedStage
-from gridwright.models.common import Problem, added_up, score_matrix, with_outputs
+from gridwright.models.common import FEW_TASKS, Problem, added_up, score_matrix, with_outputs
 from gridwright.session import checkpoint, spread
 
 #: Bins of a column, and the one of missing values behind them.
 BINS, MISSING = 255, 255
 #: Sums (doubles) that a pass may hold; more nodes take more passes.
 CELLS_PER_PASS = 4_000_000
-#: Sums of so many tasks are added up by the driver; of more, a few tasks do it first.
-FEW_TASKS = 32
 #: Rounds between two writings of the margins.
 RENEWED = 5
 #: Gains that differ by less than this share are ties, as sums of doubles depend on their order.

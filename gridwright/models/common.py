@@ -25,6 +25,8 @@ from gridwright.functions.columns import add_all, col
 from gridwright.models.base import FittedStage
 
 VECTOR = "_features"
+#: Sums of so many tasks are added up by the driver; of more, a few tasks do it first.
+FEW_TASKS = 32
 
 
 @dataclass
@@ -149,11 +151,12 @@ def with_outputs(df: DataFrame, values: Column, classification: bool, probabilit
 # -- summed gradients -------------------------------------------------------------------------
 
 def sum_over_rows(df: DataFrame, columns: Sequence[str], size: int,
-                  fn: Callable[[np.ndarray], np.ndarray], largest: int = 0) -> np.ndarray:
+                  fn: Callable[[np.ndarray], np.ndarray], largest: int = 0, tasks: int | None = None) -> np.ndarray:
     """Sum of a per-batch vector over all rows (its last ``largest`` cells: the maximum).
 
     Each task adds up its batches into one row; those are added up by a few
-    tasks, so the driver receives a few rows however many tasks ran.
+    tasks, so the driver receives a few rows however many tasks ran. Where the
+    caller knows that there are but few ``tasks``, their rows come at once.
     """
     narrow = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     plain = size - largest
@@ -172,7 +175,10 @@ def sum_over_rows(df: DataFrame, columns: Sequence[str], size: int,
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([total])], names=["v"])
 
-    parts = [np.array(r["v"]) for r in added_up(narrow.mapInArrow(partial, "v array<double>"), plain).collect()]
+    partials = narrow.mapInArrow(partial, "v array<double>")
+    if tasks is None or tasks > FEW_TASKS:
+        partials = added_up(partials, plain)
+    parts = [v.values.to_numpy() for v in partials.toArrow().column("v")]
     out = np.zeros(size)
     if parts:
         out[:plain] = np.sum([p[:plain] for p in parts], axis=0)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from gridwright.functions.columns import col
 from gridwright.models.base import FittedStage
 from gridwright.models.boosting import BINS, CELLS_PER_PASS, MISSING, TIE, bin_edges
-from gridwright.models.common import Problem, added_up, score_matrix, with_outputs
+from gridwright.models.common import FEW_TASKS, Problem, added_up, score_matrix, with_outputs
 from gridwright.session import checkpoint, spread
 
 #: Rows of a node that one task takes whole, and cells (rows by columns) of them at most.
@@ -296,7 +296,7 @@ def _upper_levels(data: DataFrame, growth: Growth, p: int, trees: int, rows: int
             yield pa.RecordBatch.from_arrays([pa.array([out.ravel()])], names=["v"])
 
         partials = data.mapInArrow(partial, "v array<double>")
-        parts = (added_up(partials, width * size) if tasks > 32 else partials).toArrow().column("v").combine_chunks()  # a few rows
+        parts = (added_up(partials, width * size) if tasks > FEW_TASKS else partials).toArrow().column("v").combine_chunks()  # a few rows
         return parts.flatten().to_numpy().reshape(-1, width * size).sum(axis=0).reshape(width, len(asked), p, BINS + 1).transpose(1, 2, 3, 0)
 
     waiting, depth = [(t, 0) for t in range(trees)], 0

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +14,14 @@ from pyspark.sql import functions as F
 from gridwright.functions.columns import add_all, col
 from gridwright.models.base import FittedStage
 from gridwright.models.common import Problem, argmax, softmax, sum_over_rows
+from gridwright.session import checkpoint, spread
 
 # -- boosting by re-weighting ---------------------------------------------------------------
 
 # Quantiles tried as thresholds of a column (parameter ``cut_points``).
 BOOST_BINS = 64
+# Rounds between two writings of the row weights.
+RENEWED = 5
 
 
 def _cut_points(df: DataFrame, features: list[str], bins: int) -> list[np.ndarray]:
@@ -27,13 +32,14 @@ def _cut_points(df: DataFrame, features: list[str], bins: int) -> list[np.ndarra
     return [np.array(sorted(set(row[i] or []))) for i in range(len(features))]
 
 
-def _grow(df: DataFrame, columns: list[str], cuts: list[np.ndarray], weigh, depth: int, classes: int) -> dict:
+def _grow(df: DataFrame, columns: list[str], cuts: list[np.ndarray], weigh, depth: int, classes: int, tasks: int) -> dict:
     """One weighted histogram tree; a pass over the data per level.
 
-    ``weigh(x, y)`` gives row weights inside the task, so weights are never stored.
-    ``classes`` is 0 for a regression tree. Trees are arrays indexed by node.
+    ``columns`` are the features' bins (numbers of the cuts below a value), the
+    label and the logarithm of the row's weight when it was last written, from which ``weigh(x, y, log)`` gives the weight of
+    now. ``classes`` is 0 for a regression tree. Trees are arrays indexed by node.
     """
-    p = len(columns) - 1
+    p = len(columns) - 2
     wide = max(len(c) for c in cuts) + 1
     stats = classes or 3
     tree = {"feature": np.array([-1]), "threshold": np.array([0.0]), "left": np.array([-1]),
@@ -47,18 +53,18 @@ def _grow(df: DataFrame, columns: list[str], cuts: list[np.ndarray], weigh, dept
 
         def part(z: np.ndarray) -> np.ndarray:
             x, y = z[:, :p], z[:, p]
-            w = weigh(x, y)
+            w = weigh(x, y, z[:, p + 1])
             slot = place[_descend(x, frozen)]
             rows = slot >= 0
             values = np.eye(classes)[y.astype(int)] * w[:, None] if classes else np.column_stack([w, w * y, w * y * y])
             out = np.zeros((shape[0] * p * wide, stats))
             for j in range(p):
-                cell = (slot[rows] * p + j) * wide + np.searchsorted(cuts[j], x[rows, j], side="left")
+                cell = (slot[rows] * p + j) * wide + x[rows, j].astype(np.int64)
                 for k in range(stats):
                     out[:, k] += np.bincount(cell, values[rows, k], len(out))
             return out.ravel()
 
-        sums = sum_over_rows(df, columns, int(np.prod(shape)), part).reshape(shape)
+        sums = sum_over_rows(df, columns, int(np.prod(shape)), part, tasks=tasks).reshape(shape)
         following = []
         for i, node in enumerate(live):
             total = sums[i, 0].sum(axis=0)
@@ -72,7 +78,7 @@ def _grow(df: DataFrame, columns: list[str], cuts: list[np.ndarray], weigh, dept
                 continue
             kids = [len(tree["feature"]), len(tree["feature"]) + 1]
             tree["gains"][j] += gain[j, cut]
-            tree["feature"][node], tree["threshold"][node] = j, cuts[j][cut]
+            tree["feature"][node], tree["threshold"][node] = j, cut
             tree["left"][node], tree["right"][node] = kids
             for name, blank in (("feature", -1), ("threshold", 0.0), ("left", -1), ("right", -1)):
                 tree[name] = np.append(tree[name], [blank, blank])
@@ -146,30 +152,50 @@ class BoostedRules(FittedStage):
 def ada_boost(df: DataFrame, problem: Problem, params: dict) -> BoostedRules:
     """SAMME for classes, R2 with linear loss for numbers.
 
-    Row weights follow from the trees so far, so every task computes them on the
-    fly: nothing is stored per row between rounds and no lineage builds up. A
-    round takes one pass (stumps) or four (depth-3 trees and their loss).
+    The logarithm of a row's weight is a column. Tasks add what the trees since it
+    was written change, and every ``RENEWED`` rounds a reliable checkpoint writes
+    it anew, so a round costs the same early and late. A round takes one pass
+    (stumps) or four (depth-3 trees and their loss).
     """
     rounds = int(params.get("n_estimators", 50))
     rate = float(params.get("learning_rate", 1.0))
     k = problem.n_classes if problem.is_classification else 0
-    columns = [*problem.features, problem.label]
     p = len(problem.features)
+    columns = [f"c{i}" for i in range(p + 2)]
     cuts = _cut_points(df, problem.features, int(params.get("cut_points", BOOST_BINS)))
     trees: list[dict] = []
     weights: list[float] = []
     tops: list[float] = []
-    offset = 0.0
+    offset, written = 0.0, 0  # of the logarithms; the trees that the column holds
 
-    def weigh(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        log = np.full(len(y), -offset)
-        for i, t in enumerate(trees):
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = [np.searchsorted(cut, b.column(j).to_numpy(zero_copy_only=False), side="left") for j, cut in enumerate(cuts)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.float64)) for c in codes), *b.columns[p:]], columns)
+
+    rows = df.select(*[col(c).cast("double").alias(n) for c, n in zip([*problem.features, problem.label], columns)], F.lit(0.0).alias(columns[-1]))
+    data = spread(checkpoint(rows.mapInArrow(binned, rows.schema)))
+    tasks = data.rdd.getNumPartitions()
+
+    def logs(x: np.ndarray, y: np.ndarray, log: np.ndarray) -> np.ndarray:
+        log = log.copy()
+        for t, weight, top in list(zip(trees, weights, tops))[written:]:
             guess = t["output"][_descend(x, t)]
-            log += weights[i] * (guess != y) if k else -weights[i] * (1 - np.abs(y - guess) / tops[i])
-        return np.exp(log)
+            log += weight * (guess != y) if k else -weight * (1 - np.abs(y - guess) / top)
+        return log
+
+    def weigh(x: np.ndarray, y: np.ndarray, log: np.ndarray) -> np.ndarray:
+        return np.exp(logs(x, y, log) - offset)
+
+    def renewed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            z = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(p + 2)])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(logs(z[:, :p], z[:, p], z[:, p + 1]))], columns)
 
-    for _ in range(rounds):
-        tree = _grow(df, columns, cuts, weigh, 1 if k else 3, k)
+    for number in range(rounds):
+        if number and number % RENEWED == 0:
+            data, written = checkpoint(data.mapInArrow(renewed, data.schema)), number
+        tree = _grow(data, columns, cuts, weigh, 1 if k else 3, k, tasks)
         if k:
             leaves = [w for w, f in zip(tree["weight"], tree["feature"]) if f < 0]
             total = float(sum(w.sum() for w in leaves))
@@ -184,10 +210,10 @@ def ada_boost(df: DataFrame, problem: Problem, params: dict) -> BoostedRules:
         else:
             def loss(z: np.ndarray) -> np.ndarray:
                 x, y = z[:, :p], z[:, p]
-                gap, w = np.abs(y - tree["output"][_descend(x, tree)]), weigh(x, y)
+                gap, w = np.abs(y - tree["output"][_descend(x, tree)]), weigh(x, y, z[:, p + 1])
                 return np.array([(w * gap).sum(), w.sum(), gap.max()])
 
-            lost, total, top = sum_over_rows(df, columns, 3, loss, largest=1)
+            lost, total, top = sum_over_rows(data, columns, 3, loss, largest=1, tasks=tasks)
             error = lost / total / top if top > 0 else 0.0
             if error <= 1e-12:
                 trees, weights, tops = [*trees, tree], [*weights, 1.0], [*tops, 1.0]
@@ -201,6 +227,9 @@ def ada_boost(df: DataFrame, problem: Problem, params: dict) -> BoostedRules:
     if not trees:
         raise ValueError("no tree does better than chance")
     drops = sum((w * np.array(_shares(t["gains"])) for t, w in zip(trees, weights)), np.zeros(p))
+    for t in trees:  # back from bins to values
+        inner = np.flatnonzero(t["feature"] >= 0)
+        t["threshold"][inner] = [cuts[t["feature"][i]][int(t["threshold"][i])] for i in inner]
     return BoostedRules({"features": problem.features, "trees": [_rules(t) for t in trees],
                          "weights": weights, "n_classes": k, "importances": _shares(drops)})
 
