@@ -8,6 +8,7 @@ from gridwright.catalog.base import QUERIES, SQL
 def _load() -> None:
     from gridwright.catalog import (  # noqa: F401
         boosting_queries, metric_queries, model_queries, prepare_queries, profile_queries, table_queries,
+        training_queries,
     )
 
 
