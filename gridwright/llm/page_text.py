@@ -410,15 +410,16 @@ def host_rows(pages: DataFrame, spread: Broadcast[frozenset[str]]) -> DataFrame:
                  *(pa.array(x, type=pa.list_(pa.int64())) for x in (found, outside))], ["host", "wide", "sign", "lines", "outside"])
 
     found = pages.select("host", "html").mapInArrow(released(counted), "host string, wide boolean, sign long, lines array<long>, outside array<long>")
-    differing = written(found.filter("size(lines) > 0").dropDuplicates(["host", "sign"]), "differing-pages")
+    # pages of equal lines may differ in what they declare
+    pages_ = written(found.filter("size(lines) > 0").withColumn("declares", F.xxhash64("outside")).dropDuplicates(["host", "sign", "declares"]), "differing-pages")
+    differing = pages_.dropDuplicates(["host", "sign"])
     hosts = differing.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= TEMPLATE_PAGES)
     carried = differing.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(
         F.count("*").alias("n")).filter(F.col("n") >= TEMPLATE_PAGES)
     hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
     # at most twice as many lines a host as a page of it has on average
     often = carried.join(hosts, "host").filter(2 * F.col("n") > F.col("pages"))
-    # pages of equal lines may differ in what they declare, so all count here
-    outside = found.select("host", F.explode("outside").alias("line")).distinct().withColumn("out", F.lit(True))
+    outside = pages_.select("host", F.explode("outside").alias("line")).distinct().withColumn("out", F.lit(True))
     repeated = often.join(outside, ["host", "line"], "left").groupBy("host").agg(
         F.collect_list("line").alias("plain"), F.collect_list(F.when(F.col("out"), F.col("line"))).alias("declared"))
     drawn = [by("lines", F.xxhash64("sign", F.lit(seed))) for seed in range(4) for by in (F.min_by, F.max_by)]
