@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from hashlib import md5
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.functions.columns import col, hash_key, r, ratio
@@ -104,9 +107,10 @@ def permutation_importance(
     """Drop in R^2 when one feature is shuffled among rows.
 
     A shuffle is a random one-to-one assignment of rows: the rows are ordered by
-    two different hashes and joined on the position. Positions come from sorting
-    hash buckets of equal size, never the whole table in one task. All features
-    of a repeat are scored in one ``transform``.
+    two different hashes and matched by position. Rows are dealt once to hash
+    buckets of equal size, and a task orders a bucket anew for every repeat, so the
+    rows cross the network once however many repeats there are. All features of a
+    repeat are scored in one ``transform``.
     """
     features = list(features)
     n = df.count()
@@ -117,23 +121,39 @@ def permutation_importance(
     e = y - F.col(prediction)
     r2 = 1 - ratio(F.sum(e * e), F.count(y).cast("double") * F.var_pop(y))
     plain = predict(base).agg(r2.alias("r2")).first()["r2"]
-    scored = None
-    for rep in range(repeats):
-        # rows keep their bucket; inside it they are matched by rank of a second hash
-        bucket = F.pmod(F.xxhash64(hash_key(keys, f"{seed}:{rep}:bucket")), F.lit(buckets))
-        ranked = base.withColumn("_b", bucket)
-        own = Window.partitionBy("_b").orderBy(hash_key(keys, f"{seed}:{rep}:a"))
-        other = Window.partitionBy("_b").orderBy(hash_key(keys, f"{seed}:{rep}:b"))
-        both = ranked.withColumn("_i", F.row_number().over(own)).withColumn("_j", F.row_number().over(other))
-        donors = both.select("_b", F.col("_j").alias("_i"), *[col(f).alias(f"_p_{f}") for f in features])
-        pairs = both.join(donors, ["_b", "_i"])
-        variants = F.array(*[
-            F.struct(F.lit(f).alias("feature"), F.lit(rep).alias("repeat"),
-                     *[(col(f"_p_{g}") if g == f else col(g)).alias(g) for g in features])
-            for f in features
-        ])
-        shuffled = pairs.select("_y", F.inline(variants))
-        scored = shuffled if scored is None else scored.unionByName(shuffled)
-    drops = predict(scored).groupBy("feature", "repeat").agg((F.lit(plain) - r2).alias("drop"))
+    own, given = ([f"{side}{i}" for i in range(len(features))] for side in ("f", "p"))
+    dealt = base.select(
+        F.pmod(F.xxhash64(hash_key(keys, f"{seed}:0:bucket")), F.lit(buckets)).alias("_b"),
+        F.concat_ws(":", F.lit(""), *[col(k).cast("string") for k in keys]).alias("_k"), "_y",
+        *[col(f).alias(c) for f, c in zip(features, own)])
+
+    def shuffled(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = pa.Table.from_batches(list(rows)).combine_chunks()
+        values = bucket.select(["_y", *own])
+        # rows of equal keys are told apart by their values
+        first = np.lexsort([c.to_numpy() for c in values.columns])
+        values = values.take(pa.array(first))
+        names = [k.encode() for k in bucket.column("_k").take(pa.array(first)).to_pylist()]
+
+        def order(salt: str) -> np.ndarray:
+            start = salt.encode()
+            parts = np.frombuffer(b"".join([md5(start + k).digest() for k in names]), dtype=">u8").reshape(-1, 2)
+            return np.lexsort((parts[:, 1], parts[:, 0]))
+
+        for rep in range(repeats):
+            takers, donors = (pa.array(order(f"{seed}:{rep}:{side}")) for side in ("a", "b"))
+            for at in range(0, len(names), 10_000):
+                mine, theirs = (values.take(x[at: at + 10_000]) for x in (takers, donors))
+                columns = [pa.array(np.full(mine.num_rows, rep, dtype=np.int32)), *mine.columns, *theirs.columns[1:]]
+                yield from pa.table(columns, ["_rep", "_y", *own, *given]).combine_chunks().to_batches()
+
+    pairs = dealt.groupBy("_b").applyInArrow(
+        shuffled, ", ".join(["_rep int", "_y double", *(f"{c} double" for c in [*own, *given])]))
+    variants = F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col("_rep").alias("repeat"),
+                 *[(F.col(p) if g == f else F.col(o)).alias(g) for g, o, p in zip(features, own, given)])
+        for f in features
+    ])
+    drops = predict(pairs.select("_y", F.inline(variants))).groupBy("feature", "repeat").agg((F.lit(plain) - r2).alias("drop"))
     return drops.groupBy("feature").agg(
         F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
