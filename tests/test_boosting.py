@@ -146,3 +146,28 @@ def test_saved_and_read_back_and_odd_columns(spark, tmp_path):
     want, got = (predicted(m, df, "prediction") for m in (model, again))
     assert want == got and all(k[1] == v for k, v in got.items())  # a tells the class
     assert MISSING == BINS
+
+
+@pytest.mark.parametrize("classes", [0, 2])
+def test_rows_of_the_same_bins_are_one_cell(spark, classes):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 4, (2000, 3)).astype(float)
+    y = x.sum(axis=1) + rng.normal(size=2000) if not classes else (x.sum(axis=1) + rng.normal(size=2000) > 4).astype(float)
+    df, names = frame(spark, x, y), ["a", "b", "c"]
+    edges = boosting.bin_edges(df, names)
+    rows = boosting.combined(boosting.binned(df, names, "label", edges, 0.3, 42), classes)
+    base = np.zeros(1)
+    cells = [c for batch in boosting.blocks(rows, 3, base).toArrow().to_batches() for c in boosting._arrays(batch, 3)]
+    codes, label, n, ss, held, m = (np.concatenate([c[i] for c in cells]) for i in range(6))
+    assert len(codes) <= 64 * 2 * max(1, classes) and n.sum() == 2000 and 0.2 < n[held].sum() / 2000 < 0.4 and m.shape == (len(codes), 1)
+    assert (n * label).sum() == pytest.approx(y.sum()) and (n * label ** 2 + ss).sum() == pytest.approx((y * y).sum())
+    assert codes.max() == 3 and (n * codes[:, 0]).sum() == x[:, 0].sum()
+
+
+def test_blocks_are_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "BLOCK_CELLS", 50)
+    x, y = rows_of(np.random.default_rng(8))
+    df, names = frame(spark, x, y), ["a", "b", "c"]
+    rows = boosting.combined(boosting.binned(df, names, "label", boosting.bin_edges(df, names), 0.0, 42), 0)
+    sizes = [len(c[1]) for batch in boosting.blocks(rows, 3, np.zeros(1)).toArrow().to_batches() for c in boosting._arrays(batch, 3)]
+    assert max(sizes) <= 50 and sum(sizes) == rows.count()
