@@ -99,3 +99,20 @@ def test_missing_values_and_one_class(spark, way):
     assert grower.decision_tree(df, problem, {}).transform(df).filter("prediction = label").count() == 200
     flat = grower.decision_tree(df.filter("label = 1"), problem, {}).transform(df)
     assert flat.filter("prediction = 1").count() == 200
+
+
+def test_leaves_are_not_dealt_and_sums_stay_in_tasks(spark, monkeypatch):
+    monkeypatch.setattr(grower, "TASK_ROWS", 60)
+    df, x, y, problem = table(spark, 0)
+    held, sent = [], []
+    upper_levels = grower._upper_levels
+    to_arrow = type(df).toArrow
+    monkeypatch.setattr(grower, "_upper_levels", lambda *a: held.extend(upper_levels(*a)) or held)
+    monkeypatch.setattr(type(df), "toArrow", lambda self: (lambda t: sent.append(t.nbytes) or t)(to_arrow(self)))
+    model = grower.random_forest(df, problem, {"n_estimators": 8, "max_depth": 3})
+    for upper in held:
+        deep = grower._depths(upper.tree)
+        assert all(deep[node] < 3 for node in upper.root) and max(deep) == 3
+    assert sent and max(sent) < 8 * 2 ** 3 * 200  # a short row a node, no sums of bins
+    scored = model.transform(df).toPandas().sort_values("i")
+    assert np.corrcoef(scored["prediction"], y)[0, 1] > 0.8
