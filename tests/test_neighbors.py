@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridwright.operators import neighbors
 from gridwright.operators.neighbors import CellGrid, distances, impute_nearest, knn_join
 from gridwright.operators.pivots import PivotTree
 
@@ -145,3 +146,43 @@ def test_queries_visit_few_blocks_of_wide_clustered_rows(spark, sf):
     assert found(got, 60) == exact(queries, donors, 5, "euclidean")
     assert visits["blocks"] >= 60 and visits["queries"] == 60
     assert visits["visited"] < 0.2 * visits["queries"] * visits["blocks"]
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+@pytest.mark.parametrize("kind", ["plain", "far", "copies", "rounded", "missing", "huge"])
+def test_rough_distances_lose_no_neighbour(metric, kind):
+    """Many columns: rough distances choose what is compared; far fewer than all pairs are compared exactly."""
+    rng = np.random.default_rng(4)
+    donors, queries, k = rng.normal(size=(1500, 12)), rng.normal(size=(90, 12)), 5
+    if kind == "far":
+        donors, queries = donors + 1e7, queries + 1e7
+    if kind == "copies":
+        donors[400:] = donors[0]
+        queries[:40] = donors[0]
+    if kind == "rounded":
+        donors, queries = np.round(donors), np.round(queries)
+    if kind == "missing":
+        queries[0, 3], donors[7, 5] = np.nan, np.nan
+    if kind == "huge":
+        queries[0], donors[3] = 1e200, 1e200
+    searched = neighbors._Donors(donors, metric)
+    assert searched.rough == (kind not in ("missing", "huge"))
+    with np.errstate(over="ignore", invalid="ignore"):
+        got = [np.concatenate(parts) for parts in zip(*searched.nearest(queries, k))]
+        want, d = exact(queries, donors, k, metric), distances(queries, donors, metric)
+    for q in range(90):
+        mine = got[0] == q
+        order = np.lexsort((got[1][mine], got[2][mine]))
+        assert got[1][mine][order].tolist() == want[q]
+        assert got[2][mine][order].tolist() == d[q, want[q]].tolist()
+
+
+def test_a_search_is_spread_over_tasks(spark, monkeypatch):
+    """One donor block, 2,000 queries: a block of few bytes is more work than one task should have."""
+    monkeypatch.setattr(neighbors, "LEAST_QUERIES", 50)
+    rng = np.random.default_rng(8)
+    donors, queries = frame(spark, rng.normal(size=(300, 2)), range(300), "did"), frame(spark, rng.normal(size=(2000, 2)), range(2000), "qid")
+    at = [q.withColumns({"cell": F.lit(0).cast("long"), "chunk": F.lit(0)}) for q in (queries, donors)]
+    found = neighbors._search(*at, 3, "euclidean", 20_000)
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert found.count() == 6000
